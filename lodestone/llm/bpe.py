@@ -159,14 +159,35 @@ class Codec:
                 self.first[token[0] * 256 + token[1]] = rank
         self.blob = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.find = regex.compile(pattern).findall
-        fast = ascii_pattern(pattern)
-        self.find_ascii = fast.findall if fast else self.find
+        self.pattern = regex.compile(pattern)
+        self.ascii = ascii_pattern(pattern) or self.pattern
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces = [(self.find_ascii if x.isascii() else self.find)(x) for x in texts]
+        pieces = [(self.ascii if x.isascii() else self.pattern).findall(x) for x in texts]
+        rest = self.learn(pieces)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
+        self.forget(rest)
+        return out
+
+    def measure(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(characters, tokens) of each text's pre-tokens."""
+        pieces = [(self.ascii if x.isascii() else self.pattern).findall(x) for x in texts]
+        rest = self.learn(pieces)
+        out = [[(len(x), len(self.known[x]) >> 2) for x in own] for own in pieces]
+        self.forget(rest)
+        return out
+
+    def measure_from(self, text: str, place: int) -> Iterator[tuple[int, int]]:
+        """The same for the text from `place` on, one by one."""
+        for found in self.pattern.finditer(text, place):
+            x = found.group()
+            ids = self.known.get(x)
+            yield len(x), len(ids) >> 2 if ids else len(merge_all([x.encode()], self.ranks, self.first)[0]) if x.encode() not in self.ranks else 1
+
+    def learn(self, pieces: list[list[str]]) -> list[str]:
+        """Make all pieces known; those that had to be merged."""
         if len(self.known) > CACHE:
             self.known = dict(list(self.known.items())[CACHE // 2 :])
         new = list({x for own in pieces for x in own}.difference(self.known))
@@ -175,11 +196,12 @@ class Codec:
         self.known |= {x: array("I", (rank,)).tobytes() for x, rank in whole.items()}
         if rest:
             self.known |= {x: array("I", ids).tobytes() for x, ids in zip(rest, merge_all([x.encode() for x in rest], self.ranks, self.first), strict=True)}
-        out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
-        for x in rest:
+        return rest
+
+    def forget(self, pieces: list[str]) -> None:
+        for x in pieces:
             if len(x) > 64:  # not worth remembering
-                del self.known[x]
-        return out
+                self.known.pop(x, None)
 
     def decode(self, ids: bytes) -> bytes:
         ids = np.frombuffer(ids, "<u4")
