@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.oracles import oracle_sql  # noqa: F401
+
 #: The tokenizer of the counting and encoding queries.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -60,7 +62,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("bigint")
     ids = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_simhash_near_dedup,
     )
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
