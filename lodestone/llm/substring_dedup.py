@@ -221,8 +221,10 @@ def first_places(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame
     distinct = placed.groupBy("anchor", "unit").agg(F.min(F.struct("id", "start", "words")).alias("f"), F.count("*").alias("n")).select("anchor", "unit", "n", "f.*")
     distinct = work.table(distinct)
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("units"), F.sum("n").alias("total")).where("total > 1")
-    sized = work.table(distinct.drop("n").join(groups, "anchor"))
-    spans = F.sequence(F.lit(0), F.size(F.split("words", " ")) - WINDOW)
+    counted = distinct.withColumn("windows", F.size(F.split("words", " ")) - (WINDOW - 1)).drop("n").join(groups, "anchor")
+    sized = work.table(counted.withColumn("words", F.when(F.col("units") > 1, F.col("words"))))  # the words are for automata only
+    work.drop(distinct)
+    spans = F.sequence(F.lit(0), F.col("windows") - 1)
     one = sized.where("units = 1").select("anchor", "unit", F.transform(spans, lambda i: F.col("id")).alias("ids"), F.transform(spans, lambda i: (F.col("start") + i).cast("int")).alias("starts"))
     cold = sized.where(f"units between 2 and {HOT}").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "unit", "words", "id", "start")
     cold = cold.mapInArrow(shards, "anchor bigint, unit binary, ids array<bigint>, starts array<int>")
