@@ -12,6 +12,7 @@ from lodestone.operators import link, merge, reports, views
 from lodestone.operators.views import View
 from lodestone.plans.proxies import NOW, VIEWS, Tables
 from lodestone.sources import html
+from lodestone.streaming import ingest
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -843,6 +844,20 @@ def brief_unknowns(t):
     return t.base.select("id", F.array_join(F.array_compact(F.array(F.when(F.col("state").isNull(), "place"), F.when(F.col("started").isNull(), "year"), F.when(F.col("founders").isNull(), "founders"))), ", ").alias("unknown"))
 
 
+@query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS STRING) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def windows_tumbling(t):
+    """Extension: tumbling windows over event time."""
+    return ingest.windowed_counts(t.raw("events")).withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query("""SELECT user_id, CAST(min(ts) AS STRING) AS session_start, count(*) AS n FROM (
+SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def windows_session(t):
+    """Extension: session windows."""
+    return ingest.sessions(t.raw("events")).withColumn("session_start", F.col("session_start").cast("string"))
+
+
 @query()
 def html_pages(t):
     """E-10, X-07, S-20."""
