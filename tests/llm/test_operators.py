@@ -183,7 +183,7 @@ def test_license_scan(spark):
         "Released under the MIT License. More, mit\nlicense",
         "licensed under the apache license, version 2.0 and the GNU General Public License",
         "Licensed under CC BY-NC 4.0.",
-        "Permission is hereby granted free of charge to any person obtaining copy of this software and associated documentation",
+        "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation",
         "mit licenses; MITLICENSE; mit-license",
     ]
     found = {r.doc_id: r for r in license_scan.scan(docs(spark, texts).withColumn("labels", F.lit(1))).collect()}
