@@ -220,7 +220,8 @@ def first_places(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame
     placed = work.table(repeated_units(docs, bitmap(repeated, "anchor", repeated.count())))
     distinct = placed.groupBy("anchor", "unit").agg(F.min(F.struct("id", "start", "words")).alias("f"), F.count("*").alias("n")).select("anchor", "unit", "n", "f.*")
     distinct = work.table(distinct)
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("units"), F.sum("n").alias("total")).where("total > 1")
+    # a table of its own, so that the join below can split an anchor with very many units
+    groups = work.table(distinct.groupBy("anchor").agg(F.count("*").alias("units"), F.sum("n").alias("total")).where("total > 1"))
     counted = distinct.withColumn("windows", F.size(F.split("words", " ")) - (WINDOW - 1)).drop("n").join(groups, "anchor")
     sized = work.table(counted.withColumn("words", F.when(F.col("units") > 1, F.col("words"))))  # the words are for automata only
     work.drop(distinct)
