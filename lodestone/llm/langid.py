@@ -27,8 +27,9 @@ DIM = 1 << 13
 SAMPLE, LANGUAGES = 600, 1000
 #: Centroids per language, rounds of k-means, and the share of a language's sample that a centroid must hold.
 CENTROIDS, ROUNDS, SHARE = 4, 10, 0.1
-#: A text is rejected below this part of the lowest cosine that a sample row of the language has.
-FLOOR = 0.5
+#: A text is rejected below this part of the lowest cosine that a sample row of the language has. The fewer n-grams a
+#: text has, the lower its cosines are: below FULL n-grams the floor falls with the square root of their number.
+FLOOR, FULL = 0.3, 100
 #: Bytes of a text whose n-grams are counted at a time.
 BLOCK = 1 << 20
 
@@ -53,15 +54,16 @@ def gram_counts(text: str) -> np.ndarray:
     return out
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """Normalised TF-IDF vectors, one row a text."""
-    out = np.empty((len(texts), DIM), np.float32)
+def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised TF-IDF vectors, one row a text, and how many n-grams each text has."""
+    out, sizes = np.empty((len(texts), DIM), np.float32), np.zeros(len(texts))
     for i, text in enumerate(texts):
         counts = gram_counts(text)
+        sizes[i] = counts.sum()
         seen = np.nonzero(counts)[0]
         out[i] = 0
         out[i, seen] = (1 + np.log(counts[seen])) * idf[seen]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), sizes
 
 
 def cluster(x: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, float]:
@@ -100,10 +102,12 @@ class LanguageModel:
         lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         for i in range(0, len(known), 64):
             some = known[i : i + 64]
-            cosine = vectors([texts[k] for k in some], self.idf) @ self.centroids.T
+            x, sizes = vectors([texts[k] for k in some], self.idf)
+            cosine = x @ self.centroids.T
             best = cosine.argmax(axis=1)
-            for k, b, c in zip(some, best, cosine.max(axis=1).tolist(), strict=True):
-                lang[k], score[k], out[k] = self.langs[b], min(1.0, max(0.0, c)), c < self.floors[b]
+            floors = self.floors[best] * np.minimum(1, np.sqrt(sizes / FULL))
+            for k, b, c, floor in zip(some, best.tolist(), cosine.max(axis=1).tolist(), floors.tolist(), strict=True):
+                lang[k], score[k], out[k] = self.langs[b], min(1.0, max(0.0, c)), c < floor
         return lang, score, out
 
 
@@ -132,7 +136,7 @@ def fit(rows: DataFrame, per_lang: int = SAMPLE) -> LanguageModel:
     idf = (np.log((1 + total) / (1 + sum((np.array(r.seen) for r in spread), np.zeros(DIM)))) + 1).astype(np.float32)
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        c, lowest = cluster(vectors(group.sort_values("text")["text"].tolist(), idf))
+        c, lowest = cluster(vectors(group.sort_values("text")["text"].tolist(), idf)[0])
         return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": FLOOR * lowest, "centroid": [v.tolist() for v in c]})
 
     found = sorted(held.groupBy("lang").applyInPandas(centroids, "lang string, floor double, centroid array<float>").collect())

@@ -55,6 +55,9 @@ def test_language_odd_rows(spark, small):
     found = {r.doc_id: r for r in langid.identify(docs(spark, ODD).withColumn("score", F.lit("clash")), model).collect()}
     assert all(found[i].lang_pred == "und" and found[i].rejected and found[i].score == 0 for i in (0, 1, 2, 3, 4))
     assert all(found[i].lang_pred != "und" and 0 <= found[i].score <= 1 for i in (5, 6, 7, 8, 9))
+    far = ["Всем привет, это простой текст на русском языке. " * 5, "这是一个简单的中文句子" * 10, "qxzjkvwpgb" * 50]
+    assert all(r.rejected and r.lang_pred != "und" for r in langid.identify(docs(spark, far), model).collect())
+    assert not any(r.rejected for r in langid.identify(docs(spark, ["Re.", "A.", "Avec."]), model).collect())
     none = langid.fit(docs(spark, ODD[:4]).select("text", "lang"))
     assert {r.lang_pred for r in langid.identify(docs(spark, ODD), none).collect()} == {"und"}
     assert langid.identify(docs(spark, []), model).count() == 0
