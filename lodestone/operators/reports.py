@@ -173,3 +173,31 @@ def papers_newest(works: DataFrame, n: int = 3) -> DataFrame:
     placed = newest.withColumn("r", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("newest"), "work_id")))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", "work_id")))), lambda x: x["work_id"].cast("string")), ",")
     return placed.groupBy("company_id").agg(F.count("*").alias("n"), top.alias("works"))
+
+
+def largest_per(rows: DataFrame, group: str, value: str, n: int) -> DataFrame:
+    """(group, value, n): the n commonest values of each group (O-13)."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    return counts.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).where(F.col("k") <= n).select(group, value, "n")
+
+
+def preview(rows: DataFrame) -> DataFrame:
+    """What each source's rows lack (A-34)."""
+    def missing(c: str) -> Column:
+        return F.coalesce(c, F.lit("")) == ""
+
+    return rows.groupBy("source").agg(F.count("*").alias("n"), count_if(missing("website")).alias("no_site"), count_if(missing("description")).alias("no_text"), count_if(F.col("founded_year").isNull() & F.col("origin_year").isNull()).alias("no_year"))
+
+
+def costs(log: DataFrame, by: str, prices: dict[str, float]) -> DataFrame:
+    """(by, cost, calls): usage columns times their prices (A-35, D-10)."""
+    cost = sum((F.col(c) * p for c, p in prices.items()), F.lit(0.0))
+    return log.groupBy(by).agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("calls"))
+
+
+def metered(df: DataFrame, name: str) -> tuple[DataFrame, object]:
+    """df and an observation of its rows, read after an action (A-33)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import dates, entity, ranking, said, tags, text
 from lodestone.operators import link, merge, reports, views
 from lodestone.operators.views import View
+from lodestone.plans import briefs
 from lodestone.plans.proxies import NOW, VIEWS, Tables
-from lodestone.sources import html
+from lodestone.sources import html, layout, listings
 from lodestone.streaming import ingest
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -858,6 +859,100 @@ def windows_session(t):
     return ingest.sessions(t.raw("events")).withColumn("session_start", F.col("session_start").cast("string"))
 
 
+@query(f"""SELECT id, CASE WHEN said_state = 'own' THEN product WHEN coalesce(description, '') <> '' AND NOT {LABEL} THEN description END AS text,
+CASE WHEN said_state = 'own' THEN 'own words' WHEN coalesce(description, '') <> '' AND NOT {LABEL} THEN 'a source' ELSE 'none' END AS source FROM base""")
+def brief_builds(t):
+    """SURVEY 2.13: the builds line."""
+    return t.base.select("id", briefs.builds(t.base).alias("b")).select("id", "b.text", "b.source")
+
+
+@query("""SELECT id, array_to_string(list_filter([CASE WHEN NOT is_company THEN 'not a company' END, CASE WHEN said_state NOT IN ('own', 'source') THEN 'name only' END,
+CASE WHEN started < 1996 THEN 'started ' || started END, CASE WHEN struck THEN 'struck off' END], lambda x: x IS NOT NULL), ', ') AS badges FROM base""")
+def row_badges(t):
+    """SURVEY 2.13: row badges."""
+    return t.base.select("id", F.array_join(briefs.badges(2001), ", ").alias("badges"))
+
+
+@query("SELECT company_id AS id, arg_min(type || ' ' || date, {'a': date, 'b': type}) FILTER (date IS NOT NULL) AS phrase FROM signals GROUP BY 1")
+def event_phrases(t):
+    """SURVEY 2.13: the source event."""
+    rows = reports.with_signals(t.companies.select("id"), t.signals).where(F.size("signals") > 0)
+    return rows.select("id", briefs.event_phrase(F.col("signals")).alias("phrase"))
+
+
+@query("""SELECT id, '# ' || name AS title, array_length(list_filter([NOT is_company, said_state <> 'own', started IS NULL, city IS NULL AND state IS NULL,
+(website LIKE 'http%' AND NOT coalesce(website_identity = 'verified', false)) OR (coalesce(website, '') = '' AND NOT website_checked), founders IS NULL], lambda x: x)) + (SELECT count(*) FROM signals s WHERE s.company_id = base.id) AS bullets FROM base""")
+def brief_markdown(t):
+    """K-06."""
+    text = briefs.markdown(reports.with_signals(t.base, t.signals))
+    return text.select("id", F.substring_index("brief", "\n", 1).alias("title"), F.regexp_count("brief", F.lit("(?m)^- ")).cast("bigint").alias("bullets"))
+
+
+@query("SELECT id, name FROM base ORDER BY trace_count, first_seen DESC NULLS LAST, id LIMIT 10")
+def compact_rows(t):
+    """P-12, E-17."""
+    return briefs.compact(views.first_rows(t.base, "quietest", 10)).select("id", "name")
+
+
+@query("SELECT id, json_object('name', name, 'state', state) AS json FROM companies")
+def json_documents(t):
+    """K-05."""
+    return briefs.documents(t.companies.select("id", "name", "state")).select("id", F.regexp_replace("json", '"id":"[^"]*",', "").alias("json"))
+
+
+@query("""SELECT sector_id, subsector_id, n FROM (SELECT *, row_number() OVER (PARTITION BY sector_id ORDER BY n DESC, subsector_id) AS k FROM (SELECT sector_id, subsector_id, count(*) AS n FROM base WHERE subsector_id IS NOT NULL GROUP BY 1, 2)) WHERE k <= 3""")
+def nearby_subsectors(t):
+    """O-13, A-36."""
+    return reports.largest_per(t.base.where("subsector_id is not null"), "sector_id", "subsector_id", 3)
+
+
+@query("""SELECT source, count(*) AS n, count(*) FILTER (website IS NULL OR website = '') AS no_site, count(*) FILTER (description IS NULL OR description = '') AS no_text, count(*) FILTER (founded_year IS NULL AND origin_year IS NULL) AS no_year
+FROM (SELECT DISTINCT company_id, source FROM signals) s JOIN companies c ON s.company_id = c.id GROUP BY source""")
+def scrape_preview(t):
+    """A-34."""
+    return reports.preview(t.companies.join(t.signals.select(F.col("company_id").alias("id"), "source").distinct(), "id"))
+
+
+@query("SELECT event_type, round(sum(user_id * 0.000001 + value * 0.000005), 6) AS cost, count(*) AS calls FROM events GROUP BY 1")
+def cost_estimate(t):
+    """A-35, D-10."""
+    return reports.costs(t.raw("events"), "event_type", {"user_id": 1e-6, "value": 5e-6})
+
+
+@query("SELECT CAST(o_orderkey AS STRING) AS k, '2000-02-03' AS date, '2000-02-03 to 2001-02-03' AS label, 2000 AS year FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT CAST(o_orderkey AS STRING), NULL, '2020-21', NULL FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(CAST(o_orderdate AS DATE) AS STRING), CAST(CAST(o_orderdate AS DATE) AS STRING), year(o_orderdate)::INT FROM orders WHERE o_orderkey % 4 > 1")
+def written_dates(t):
+    """D-06, S-10."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, "3-2-2000 - 3-2-2001").when(k % 4 == 1, "2020 - 21").otherwise(F.to_date("o_orderdate").cast("string"))
+    return t.raw("orders").select(k.cast("string").alias("k"), listings.written_date(text, 2026).alias("w")).select("k", "w.*")
+
+
+_CHARS = "SELECT CAST(event_id // 40 AS STRING) AS doc, 1 AS page, (event_id % 40) AS i, CAST(CASE WHEN event_id % 40 < 20 THEN 30 ELSE 42 END AS DOUBLE) AS x0, CAST(400 - (event_id % 20) * 5 - CASE WHEN event_id % 20 >= 10 THEN 10 ELSE 0 END AS DOUBLE) AS top, substr(event_type, 1, 1) AS ch FROM events"
+
+
+@query(f", ch AS ({_CHARS}) SELECT doc, trim(string_agg(CASE WHEN i IN (10, 30) THEN ' ' || ch WHEN i = 20 THEN ' ' || ch ELSE ch END, '' ORDER BY i)) AS name FROM ch GROUP BY doc")
+def margin_names(t):
+    """W-07, S-16."""
+    chars = t.spark.sql(_CHARS.replace("//", "DIV").replace("FROM events", "FROM {t}"), t=t.raw("events")).withColumn("bottom", F.col("top") + 4)
+    return layout.margin_names(chars).select("doc", "name")
+
+
+@query()
+def page_lines(t):
+    """W-06, S-14, E-20: words laid out as lines, and lines dealt to anchors."""
+    docs = t.raw("documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 24)).alias("i", "text"))
+    words = docs.select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), "text", (F.col("i") % 4 * 50.0).alias("x0"), (F.col("i") % 4 * 50.0 + 40).alias("x1"), (F.floor(F.col("i") / 4) * 12.0 + F.col("i") % 2).alias("top"), (F.floor(F.col("i") / 4) * 12.0 + 10).alias("bottom"))
+    lines = layout.page_lines(words)
+    anchors = lines.where("line % 2 = 0").select("doc", "page", "top", "bottom")
+    return layout.anchored_names(lines, anchors)
+
+
+@query()
+def html_cards(t):
+    """S-06, S-09, S-13, S-15."""
+    return t.raw("pages").select("page_id", F.explode(listings.cards(F.col("html"), "article")).alias("c")).select("page_id", "c.*")
+
+
 @query()
 def html_pages(t):
     """E-10, X-07, S-20."""
