@@ -16,7 +16,7 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 def closure(aliases: DataFrame, most: int = 64) -> DataFrame:
     """(from, into): every alias followed to its end (J-13). A cycle is an error. Each round doubles the steps."""
-    now = aliases.select("from", "into").distinct()
+    now = aliases.where("from <> into").select("from", "into").distinct()
     for _ in range(most.bit_length()):
         nxt = now.select(F.col("from").alias("into"), F.col("into").alias("far"))
         step = now.join(nxt, "into", "left").select("from", F.coalesce("far", "into").alias("into"), F.col("far").isNotNull().alias("moved"))

@@ -168,10 +168,10 @@ def row_with_enrichment(t):
     return cols(t.base, "id", "registry_year", "struck", "started")
 
 
-@query("SELECT c.id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE c.name END AS name FROM companies c LEFT JOIN supplier ON c.id = 'c' || CAST(s_suppkey AS STRING)")
+@query("SELECT c.id, coalesce(s_name, c.name) AS name FROM companies c LEFT JOIN supplier ON c.id = 'c' || CAST(s_suppkey AS STRING)")
 def hand_override(t):
     """P-10."""
-    over = t.raw("supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    over = t.raw("supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return reports.overlaid(t.companies.select("id", "name"), over, ["name"])
 
 
@@ -443,10 +443,10 @@ def completeness_score(t):
 
 
 def halves(t) -> tuple[DataFrame, DataFrame]:
-    """An old snapshot and a batch: ids not divisible by 3, and ids divisible by 2 with other values."""
+    """An old snapshot, the located records, and a batch, the records whose sites were looked for, with other values."""
     key = F.substring("id", 2, 20).cast("bigint")
-    old = t.companies.where(key % 3 != 0)
-    new = t.companies.where(key % 2 == 0).withColumns({
+    old = t.companies.where("state is not null")
+    new = t.companies.where("website_checked").withColumns({
         "name": F.concat("name", F.lit(" new")),
         "description": F.when(key % 4 == 0, F.lit(said.REGISTER_LABEL + " Drones.")).otherwise(F.lit("A new text")),
         "website_identity": F.when(key % 5 == 0, "discovered").when(key % 5 == 1, "verified"),
@@ -459,10 +459,10 @@ def halves(t) -> tuple[DataFrame, DataFrame]:
 
 _HALVES = f"""
 , keyed AS (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM companies),
-old AS (SELECT * FROM keyed WHERE k % 3 <> 0),
+old AS (SELECT * FROM keyed WHERE state IS NOT NULL),
 new AS (SELECT * REPLACE (name || ' new' AS name, CASE WHEN k % 4 = 0 THEN '{said.REGISTER_LABEL} Drones.' ELSE 'A new text' END AS description,
   CASE k % 5 WHEN 0 THEN 'discovered' WHEN 1 THEN 'verified' END AS website_identity, CASE WHEN k % 5 = 0 THEN 'https://other.example' END AS website,
-  CAST(1989 + k % 15 AS INT) AS origin_year, NULL::VARCHAR AS founders) FROM keyed WHERE k % 2 = 0)
+  CAST(1989 + k % 15 AS INT) AS origin_year, NULL::VARCHAR AS founders) FROM keyed WHERE website_checked)
 """
 
 
@@ -522,13 +522,13 @@ def date_from_event(t):
     return cols(merge.dated(t.companies, t.signals), "id", "first_seen", "first_seen_basis")
 
 
-@query("SELECT source, count(*) FILTER (status = 'ok' AND CAST(started_at AS DATE) < DATE '2024-01-02') = 0 AS backfill FROM runs WHERE id > 300 GROUP BY source")
+@query("SELECT source, count(*) FILTER (status = 'ok' AND CAST(started_at AS DATE) < DATE '2024-01-02') = 0 AS backfill FROM runs GROUP BY source")
 def backfill_inference(t):
     """U-08, U-09."""
-    return merge.is_backfill(t.runs.where("id > 300"), F.lit("2024-01-02").cast("date"))
+    return merge.is_backfill(t.runs, F.lit("2024-01-02").cast("date"))
 
 
-_MERGES = ", m AS (SELECT 'c' || CAST(k AS STRING) AS f, 'c' || CAST(k + 1 AS STRING) AS i FROM (SELECT CAST(substr(id, 2) AS BIGINT) AS k FROM companies) WHERE k % 10 = 3 AND 'c' || CAST(k + 1 AS STRING) IN (SELECT id FROM companies))"
+_MERGES = ", m AS (SELECT 'c' || CAST(k AS STRING) AS f, 'c' || CAST(k + 1 AS STRING) AS i FROM (SELECT CAST(substr(id, 2) AS BIGINT) AS k FROM companies WHERE product = '') WHERE 'c' || CAST(k + 1 AS STRING) IN (SELECT id FROM companies))"
 
 
 @query(_MERGES + """
@@ -537,7 +537,7 @@ FROM companies c LEFT JOIN m ON c.id = m.i LEFT JOIN companies d ON d.id = m.f W
 def merge_duplicates(t):
     """U-12, J-24, A.18."""
     key = F.substring("id", 2, 20).cast("bigint")
-    merges = t.companies.where(key % 10 == 3).select(F.col("id").alias("from"), F.concat(F.lit("c"), key + 1).alias("into"))
+    merges = t.companies.where("product = ''").select(F.col("id").alias("from"), F.concat(F.lit("c"), key + 1).alias("into"))
     return cols(merge.merge_duplicates(merge.Snapshot(t.companies, t.signals, t.gaps), merges).companies, "id", "first_seen")
 
 
@@ -715,10 +715,10 @@ def dup_groups_min_id(t):
     return link.duplicates(t.raw("customer").select(F.col("c_name").alias("id"), key.alias("key")))
 
 
-@query("SELECT k AS \"from\", (k // 16) * 16 AS \"into\" FROM (SELECT c_custkey AS k FROM customer) WHERE k % 16 <> 0")
+@query("SELECT k AS \"from\", (k // 16) * 16 AS \"into\" FROM (SELECT c_custkey AS k FROM customer) WHERE k > (k // 16) * 16")
 def dup_closure(t):
     """J-13, J-14: chains of up to 15 aliases."""
-    return link.closure(t.raw("customer").where("c_custkey % 16 <> 0").select(F.col("c_custkey").alias("from"), (F.col("c_custkey") - 1).alias("into")))
+    return link.closure(t.raw("customer").select(F.col("c_custkey").alias("from"), (F.col("c_custkey") - F.when(F.col("c_custkey") % 16 == 0, 0).otherwise(1)).alias("into")))
 
 
 _AWARDS = """
@@ -741,15 +741,16 @@ def award_match_unique(t):
     return link.match_awards(awards, held)
 
 
-_WORDS = "array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:30], ' ')"
+NEEDLES = ("the and", "of the", "de la", "in a", "the th", "and of")
+_WORDS = "array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')"
 
 
-@query(f"""SELECT DISTINCT p_partkey AS id, doc_id AS part_id FROM (SELECT doc_id, {_WORDS} AS t FROM documents) JOIN (SELECT p_partkey, split_part('the and,of the,de la,in a,the th,and of', ',', CAST(p_partkey % 6 + 1 AS INT)) AS needle FROM part WHERE p_partkey < 6) ON contains(' ' || t || ' ', ' ' || needle || ' ')""")
+@query(f"""SELECT DISTINCT needle AS id, doc_id AS part_id FROM (SELECT doc_id, {_WORDS} AS t FROM documents) JOIN (SELECT unnest({list(NEEDLES)}) AS needle) ON contains(' ' || t || ' ', ' ' || needle || ' ')""")
 def affiliation_contains(t):
     """J-18, E-09."""
-    parts = t.raw("documents").select(F.col("doc_id").alias("part_id"), F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), 1, 30), " ").alias("text"))
-    needle = F.split_part(F.lit("the and,of the,de la,in a,the th,and of"), F.lit(","), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return link.affiliations(t.raw("part").where("p_partkey < 6").select(F.col("p_partkey").alias("id"), needle.alias("needle")), parts)
+    parts = t.raw("documents").select(F.col("doc_id").alias("part_id"), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), " ").alias("text"))
+    needles = t.spark.range(1).select(F.explode(F.array(*map(F.lit, NEEDLES))).alias("id")).withColumn("needle", F.col("id"))
+    return link.affiliations(needles, parts)
 
 
 @query("""SELECT id, name, d::INT AS distance FROM (SELECT id, name, least(levenshtein('astor', w[1]), list_min(list_transform(w, lambda x: levenshtein('astor', x)))) AS d
@@ -771,7 +772,7 @@ def list_copy_containment(t):
     return link.contained_lists(t.raw("orders").select((k % 40).alias("list"), member.alias("member")))
 
 
-_CACHE = ", r AS (SELECT c_custkey AS id, c_custkey % 50 AS hash FROM customer), c AS (SELECT DISTINCT o_custkey AS id, o_custkey % 50 AS hash, 'a' || CAST(o_custkey % 7 AS STRING) AS answer FROM orders WHERE o_custkey % 50 < 30 AND o_custkey % 3 = 0), v AS (SELECT s_suppkey AS id, s_name AS answer FROM supplier WHERE s_suppkey % 4 = 0), w AS (SELECT hash, arg_min(answer, id) AS answer FROM c GROUP BY 1)"
+_CACHE = ", r AS (SELECT c_custkey AS id, c_custkey % 50 AS hash FROM customer), c AS (SELECT DISTINCT o_custkey AS id, o_custkey % 50 AS hash, 'a' || CAST(o_custkey % 7 AS STRING) AS answer FROM orders WHERE o_orderpriority = '1-URGENT'), v AS (SELECT s_suppkey AS id, s_name AS answer FROM supplier), w AS (SELECT hash, arg_min(answer, id) AS answer FROM c GROUP BY 1)"
 
 
 @query(_CACHE + """SELECT r.id, coalesce(v.answer, c.answer, w.answer) AS answer, CASE WHEN v.answer IS NOT NULL THEN 'override' WHEN c.answer IS NOT NULL THEN 'cache' WHEN w.answer IS NOT NULL THEN 'hash' ELSE 'todo' END AS origin
@@ -779,8 +780,8 @@ FROM r LEFT JOIN v USING (id) LEFT JOIN c ON r.id = c.id AND r.hash = c.hash LEF
 def cache_probe_cascade(t):
     """J-15, J-30, R-17."""
     k = F.col("o_custkey")
-    cache = t.raw("orders").where("o_custkey % 50 < 30 and o_custkey % 3 = 0").select(k.alias("id"), (k % 50).alias("hash"), F.concat(F.lit("a"), k % 7).alias("answer")).distinct()
-    over = t.raw("supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("answer"))
+    cache = t.raw("orders").where("o_orderpriority = '1-URGENT'").select(k.alias("id"), (k % 50).alias("hash"), F.concat(F.lit("a"), k % 7).alias("answer")).distinct()
+    over = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("answer"))
     return link.cache_probe(t.raw("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("hash")), cache, over)
 
 
@@ -940,8 +941,9 @@ def margin_names(t):
 @query()
 def page_lines(t):
     """W-06, S-14, E-20: words laid out as lines, and lines dealt to anchors."""
-    docs = t.raw("documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 24)).alias("i", "text"))
-    words = docs.select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), "text", (F.col("i") % 4 * 50.0).alias("x0"), (F.col("i") % 4 * 50.0 + 40).alias("x1"), (F.floor(F.col("i") / 4) * 12.0 + F.col("i") % 2).alias("top"), (F.floor(F.col("i") / 4) * 12.0 + 10).alias("bottom"))
+    docs = t.raw("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    row, place = F.floor(F.col("i") / 8) % 40, F.col("i") % 8
+    words = docs.select(F.col("doc_id").cast("string").alias("doc"), F.floor(F.col("i") / 320).cast("int").alias("page"), "text", (place * 50.0).alias("x0"), (place * 50.0 + 40).alias("x1"), (row * 12.0 + place % 2).alias("top"), (row * 12.0 + 10).alias("bottom"))
     lines = layout.page_lines(words)
     anchors = lines.where("line % 2 = 0").select("doc", "page", "top", "bottom")
     return layout.anchored_names(lines, anchors)
