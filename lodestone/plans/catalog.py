@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import dates, entity, ranking, said, tags, text
-from lodestone.operators import link, merge, reports, views
+from lodestone.functions import awards, dates, entity, ranking, said, tags, text
+from lodestone.operators import link, merge, reports, steps, views
 from lodestone.operators.views import View
 from lodestone.plans import briefs
 from lodestone.plans.proxies import NOW, VIEWS, Tables
@@ -65,12 +65,12 @@ def cols(df: DataFrame, *names: str) -> DataFrame:
 
 NEWEST = "first_seen DESC NULLS LAST"
 ORDERS = {
-    "list_default_order": ("quietest", f"trace_count, {NEWEST}, id"),
-    "list_newest": ("newest", f"{NEWEST}, id"),
-    "list_described_score": ("described", f"{SCORE} DESC, trace_count, name, id"),
-    "list_programmes": ("programmes", "programme_count DESC, trace_count, name, id"),
-    "list_name": ("name", "name, id"),
-    "list_tier_first": ("obscurity", f"CASE tier WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, {NEWEST}, id"),
+    "list_default_order": ("quietest", f"trace_count, {NEWEST}, id"),  # O-03
+    "list_newest": ("newest", f"{NEWEST}, id"),  # O-02
+    "list_described_score": ("described", f"{SCORE} DESC, trace_count, name, id"),  # O-04
+    "list_programmes": ("programmes", "programme_count DESC, trace_count, name, id"),  # O-05
+    "list_name": ("name", "name, id"),  # O-06
+    "list_tier_first": ("obscurity", f"CASE tier WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END, {NEWEST}, id"),  # O-01
 }
 for _name, (_sort, _keys) in ORDERS.items():
     QUERIES[_name] = lambda t, sort=_sort: cols(views.first_rows(t.base, sort, 200), "id", "name", "trace_count", "first_seen", "tier")
@@ -108,30 +108,30 @@ def late_materialize_rows(t):
 # --- filters ------------------------------------------------------------------------------------------------------
 
 FILTERS = {
-    "filter_search_like_escape": (View(search="r 1"), "name ILIKE '%r 1%' OR description ILIKE '%r 1%' OR product ILIKE '%r 1%'"),
-    "filter_search_literal_percent": (View(search="1%_"), "name ILIKE '%1!%!_%' ESCAPE '!' OR description ILIKE '%1!%!_%' ESCAPE '!'"),
-    "filter_semi_source": (View(source="grants-csv"), "id IN (SELECT company_id FROM signals WHERE source = 'grants-csv')"),
-    "filter_sector": (View(sector="2", subsector="2.3"), "sector_id = '2' AND subsector_id = '2.3'"),
-    "filter_tier": (View(tiers=("A", "B")), "tier IN ('A', 'B')"),
-    "filter_state_unknown": (View(state=""), "coalesce(state, '') = ''"),
-    "filter_state": (View(state="State 7"), "state = 'State 7'"),
-    "filter_trace_bucket": (View(traces="3+"), "trace_count >= 3"),
-    "filter_trace_one": (View(traces="1"), "trace_count <= 1"),
-    "filter_said": (View(described="said"), "said_state IN ('own', 'source')"),
-    "filter_unsaid_kind": (View(described="unsaid", kind="company"), "said_state NOT IN ('own', 'source') AND is_company"),
-    "filter_register_status": (View(dpiit="recognised"), "dpiit_status = 'recognised'"),
-    "filter_programmes": (View(programmes_at_least=2), "programme_count >= 2"),
-    "filter_alone_noticed": (View(alone=True), "other_count = 0"),
-    "filter_noticed_once": (View(noticed_once=True), "outside_count = 1"),
-    "filter_ids": (View(ids=("c1", "c5", "c77", "x")), "id IN ('c1', 'c5', 'c77', 'x')"),
-    "filter_tag_member": (View(build="software", domain="energy"), "list_contains(build_tags, 'software') AND list_contains(domain_tags, 'energy')"),
-    "filter_has_site": (View(website="has"), "coalesce(website, '') <> ''"),
-    "filter_no_site": (View(website="none"), "coalesce(website, '') = '' AND website_checked"),
-    "filter_dated": (View(dated=True), "first_seen IS NOT NULL"),
-    "filter_year_gate_null_passes": (View(min_started=1996), "started IS NULL OR started >= 1996"),
-    "filter_registry_gate": (View(min_registered=1994), "registry_year IS NULL OR registry_year >= 1994"),
-    "filter_anti_struck": (View(active=True), "NOT struck"),
-    "filter_combined": (View(search="labs", source="tides-iitr", traces="3+", dated=True), "name ILIKE '%labs%' AND id IN (SELECT company_id FROM signals WHERE source = 'tides-iitr') AND trace_count >= 3 AND first_seen IS NOT NULL"),
+    "filter_search_like_escape": (View(search="r 1"), "name ILIKE '%r 1%' OR description ILIKE '%r 1%' OR product ILIKE '%r 1%'"),  # F-04
+    "filter_search_literal_percent": (View(search="1%_"), "name ILIKE '%1!%!_%' ESCAPE '!' OR description ILIKE '%1!%!_%' ESCAPE '!'"),  # F-04
+    "filter_semi_source": (View(source="grants-csv"), "id IN (SELECT company_id FROM signals WHERE source = 'grants-csv')"),  # F-05, J-01, R-10
+    "filter_sector": (View(sector="2", subsector="2.3"), "sector_id = '2' AND subsector_id = '2.3'"),  # F-01, F-02
+    "filter_tier": (View(tiers=("A", "B")), "tier IN ('A', 'B')"),  # F-03
+    "filter_state_unknown": (View(state=""), "coalesce(state, '') = ''"),  # F-06
+    "filter_state": (View(state="State 7"), "state = 'State 7'"),  # F-06
+    "filter_trace_bucket": (View(traces="3+"), "trace_count >= 3"),  # F-07
+    "filter_trace_one": (View(traces="1"), "trace_count <= 1"),  # F-07
+    "filter_said": (View(described="said"), "said_state IN ('own', 'source')"),  # F-08
+    "filter_unsaid_kind": (View(described="unsaid", kind="company"), "said_state NOT IN ('own', 'source') AND is_company"),  # F-08, F-09
+    "filter_register_status": (View(dpiit="recognised"), "dpiit_status = 'recognised'"),  # F-10
+    "filter_programmes": (View(programmes_at_least=2), "programme_count >= 2"),  # F-11
+    "filter_alone_noticed": (View(alone=True), "other_count = 0"),  # F-12
+    "filter_noticed_once": (View(noticed_once=True), "outside_count = 1"),  # F-13
+    "filter_ids": (View(ids=("c1", "c5", "c77", "x")), "id IN ('c1', 'c5', 'c77', 'x')"),  # F-14
+    "filter_tag_member": (View(build="software", domain="energy"), "list_contains(build_tags, 'software') AND list_contains(domain_tags, 'energy')"),  # F-15, J-02
+    "filter_has_site": (View(website="has"), "coalesce(website, '') <> ''"),  # F-16
+    "filter_no_site": (View(website="none"), "coalesce(website, '') = '' AND website_checked"),  # F-16
+    "filter_dated": (View(dated=True), "first_seen IS NOT NULL"),  # F-17
+    "filter_year_gate_null_passes": (View(min_started=1996), "started IS NULL OR started >= 1996"),  # F-18
+    "filter_registry_gate": (View(min_registered=1994), "registry_year IS NULL OR registry_year >= 1994"),  # F-19
+    "filter_anti_struck": (View(active=True), "NOT struck"),  # F-20, J-04
+    "filter_combined": (View(search="labs", source="tides-iitr", traces="3+", dated=True), "name ILIKE '%labs%' AND id IN (SELECT company_id FROM signals WHERE source = 'tides-iitr') AND trace_count >= 3 AND first_seen IS NOT NULL"),  # F-04, F-05, F-07, F-17
 }
 for _name, (_view, _where) in FILTERS.items():
     QUERIES[_name] = lambda t, view=_view: cols(views.filtered(t.base, t.signals, view), "id", "name", "trace_count")
@@ -955,6 +955,57 @@ def html_cards(t):
     return t.raw("pages").select("page_id", F.explode(listings.cards(F.col("html"), "article")).alias("c")).select("page_id", "c.*")
 
 
+@query("SELECT id AS company_id, name FROM companies WHERE classify_basis = 'register-label' AND coalesce(subsector_id NOT IN ('2.3', '2.7'), true) AND id NOT IN (SELECT id FROM enrichment)")
+def stale_label_sweep(t):
+    """J-22, U-18."""
+    return steps.stale_labels(t.companies, t.enrichment).select("company_id", "name")
+
+
+@query("""SELECT company_id, type, label, CASE type WHEN 'incubator' THEN source || ' portfolio' WHEN 'grant' THEN regexp_replace(label, ' [0-9]+$', '') WHEN 'press' THEN 'press mention' WHEN 'website' THEN 'own website' END AS trace FROM signals""")
+def trace_names(t):
+    """X-17."""
+    return t.signals.select("company_id", "type", "label", steps.trace_name(F.col("type"), F.col("label"), F.col("source"), F.lit(None).cast("string")).alias("trace"))
+
+
+@query("SELECT company_id, CASE WHEN length(date) = 4 THEN date ELSE strftime(CAST(date AS DATE), '%-d %b %Y') END AS shown, CASE WHEN length(date) = 4 THEN date ELSE strftime(CAST(date AS DATE), '%b %Y') END AS month FROM signals")
+def short_dates(t):
+    """D-07."""
+    return t.signals.select("company_id", steps.short_date(F.col("date")).alias("shown"), steps.short_date(F.col("date"), day=False).alias("month"))
+
+
+@query("SELECT id, CAST(floor((row_number() OVER (PARTITION BY sector_id ORDER BY id) - 1) / 50) AS INT) AS slice FROM companies")
+def upload_slices(t):
+    """K-01."""
+    return steps.slices(t.companies.withColumn("source", F.col("sector_id"))).select("id", "slice")
+
+
+@query("SELECT c.id, coalesce(e.reg_status, c.dpiit_status) AS dpiit_status FROM companies c LEFT JOIN enrichment e ON c.id = e.id AND e.reg_status IS NOT NULL")
+def replace_known_rows(t):
+    """K-09, J-28, U-17."""
+    fresh = t.enrichment.where("reg_status is not null").select("id", F.col("reg_status").alias("dpiit_status"))
+    return steps.replace_known(t.companies.select("id", "dpiit_status"), fresh, t.companies)
+
+
+@query("SELECT company_id, source, date, label FROM (SELECT *, row_number() OVER (PARTITION BY company_id, source ORDER BY date IS NULL, date, found_at, label) AS k FROM signals) WHERE k = 1")
+def one_signal_per_hub(t):
+    """W-05, S-10."""
+    events = t.signals.withColumnsRenamed({"source": "hub"}).withColumn("pos", F.struct("found_at", "label"))
+    return steps.one_signal_per_hub(events).select("company_id", F.col("hub").alias("source"), "date", "label")
+
+
+@query("SELECT event_id, coalesce(sum(value) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 <= 500 AS allowed FROM events")
+def reserved_questions(t):
+    """U-15."""
+    log = t.raw("events").select(F.col("event_id").alias("id"), F.concat_ws("|", F.to_date("ts").cast("string"), "event_type").alias("day"), F.col("ts").alias("asked_at"), F.col("value").alias("cost_usd"))
+    return steps.reserved(log, 1.0, 500.0).select(F.col("id").alias("event_id"), "allowed")
+
+
+@query("SELECT p_partkey, NOT regexp_matches(p_name, '^[A-Za-z]+ [A-Za-z]+$') AS company FROM part")
+def award_companies(t):
+    """E-07: two plain words read as a person's name."""
+    return t.raw("part").select("p_partkey", awards.is_company(F.col("p_name")).alias("company"))
+
+
 @query()
 def html_pages(t):
     """E-10, X-07, S-20."""
