@@ -1,4 +1,7 @@
-"""Steps of a nightly run around the merge: eligibility, guards, sweeps, queues, sinks (K-01, K-03, K-09, P-14, F-27, F-28, J-22, J-28 to J-32, W-05, O-14, O-15, T-02 to T-07, X-17, X-20, U-15, U-17, E-16, E-19, E-21, E-23)."""
+"""Steps of a nightly run around the merge: eligibility, guards, sweeps, queues, placements and sinks.
+
+K-01, K-03, K-09, P-14, F-27, F-28, J-22, J-28 to J-32, W-05, O-14, O-15, T-02 to T-07, X-17, X-20, U-15, U-17, E-13, E-16, E-19 to E-23.
+"""
 
 from __future__ import annotations
 
@@ -182,3 +185,24 @@ def distinct_roles(titles: Column, n: int = 6) -> Column:
 def config(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file of hand-kept rows: taxonomy, aliases, overrides (S-21)."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def valid_placements(answers: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """A classifier's answers made consistent: a sub-sector of its sector, a project of its sub-sector, else null (E-13, A.20).
+
+    answers: id, sector_id, subsector_id, project_type; taxonomy: sector_id, subsector_id, projects. on_map says whether
+    the record has a place. The classifier itself is the caller's; cache_probe and admit say whom to ask.
+    """
+    known = taxonomy.select(F.col("sector_id").alias("s"), F.col("subsector_id").alias("u"), "projects")
+    joined = answers.join(known, (answers.sector_id == known.s) & (answers.subsector_id == known.u), "left")
+    project = F.when(F.array_contains("projects", F.col("project_type")), F.col("project_type"))
+    return joined.select("id", "sector_id", F.col("u").alias("subsector_id"), project.alias("project_type"), (F.col("sector_id").isNotNull() & F.col("u").isNotNull()).alias("on_map"))
+
+
+def regrouped(labels: DataFrame, answers: DataFrame) -> DataFrame:
+    """(label, topic): numbered labels under the first topic that names their number; those that none names keep their own (E-22).
+
+    labels: number, label; answers: place, topic, numbers. Numbers out of range match nothing.
+    """
+    named = answers.select("place", "topic", F.explode("numbers").alias("number")).groupBy("number").agg(F.min_by("topic", "place").alias("topic"))
+    return labels.join(named, "number", "left").select("label", F.coalesce("topic", "label").alias("topic"))

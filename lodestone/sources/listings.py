@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -161,3 +162,28 @@ def written_date(text: Column, this_year: int) -> Column:
         .when(fy.rlike(r"^\d{4}-(?:\d{2}|\d{4})$") & follows, out(null, fy, null))
         .otherwise(out(null, line, null))
     )
+
+
+def deep_records(text: Column, keys: tuple[str, ...]) -> Column:
+    """array<string>: every object in a JSON text that has all the keys, at any depth, as JSON (S-12, N-05); none for malformed text."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def walk(texts: pd.Series) -> pd.Series:
+        def of(x):
+            try:
+                todo = [json.loads(x or "null")]
+            except ValueError:
+                return []
+            found = []
+            while todo:
+                node = todo.pop()
+                if isinstance(node, dict):
+                    if set(keys) <= node.keys():
+                        found.append(json.dumps(node))
+                    todo += reversed(list(node.values()))
+                elif isinstance(node, list):
+                    todo += reversed(node)
+            return found
+
+        return texts.map(of)
+
+    return walk(text)

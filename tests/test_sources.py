@@ -86,3 +86,9 @@ def test_brief(spark):
     seen, counted = reports.metered(t.companies, "rows")
     seen.collect()
     assert counted.get["rows"] == 150
+
+
+def test_deep_records(spark):
+    df = spark.createDataFrame([('{"a": [{"t": 1, "d": 2}, {"t": 3}], "b": {"t": 4, "d": 5}}',), ("oops",), (None,)], "j string")
+    rows = [r[0] for r in df.select(listings.deep_records(F.col("j"), ("t", "d"))).collect()]
+    assert rows == [['{"t": 1, "d": 2}', '{"t": 4, "d": 5}'], [], []]

@@ -88,3 +88,13 @@ def test_small_expressions(spark):
     assert [r.name for r in changed.orderBy("id").collect()][2] == "Z"
     status = spark.createDataFrame([("verified", "t", None, "p"), ("verified", "t", None, None), ("discovered", "t", None, None), (None, None, "refused", None)], "i string, t string, o string, p string")
     assert [r[0] for r in status.select(steps.product_status(*map(F.col, "itop"))).collect()] == ["read", "nothing-stated", "unverified", "refused"]
+
+
+def test_placements(spark):
+    taxonomy = spark.createDataFrame([("1", "1.1", ["x"]), ("2", "2.1", ["y"])], "sector_id string, subsector_id string, projects array<string>")
+    answers = spark.createDataFrame([("a", "1", "1.1", "x"), ("b", "1", "2.1", "y"), ("c", "2", "2.1", "x"), ("d", "1", None, None)], "id string, sector_id string, subsector_id string, project_type string")
+    found = {r.id: (r.subsector_id, r.project_type, r.on_map) for r in steps.valid_placements(answers, taxonomy).collect()}
+    assert found == {"a": ("1.1", "x", True), "b": (None, None, False), "c": ("2.1", None, True), "d": (None, None, False)}
+    labels = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "number int, label string")
+    topics = spark.createDataFrame([(0, "T", [1, 2, 9]), (1, "U", [2])], "place int, topic string, numbers array<int>")
+    assert sorted(map(tuple, steps.regrouped(labels, topics).collect())) == [("p", "T"), ("q", "T"), ("r", "r")]
