@@ -91,4 +91,6 @@ def anchored_names(lines: DataFrame, anchors: DataFrame) -> DataFrame:
         names = [" ".join(x[2] for x in held[i:k]) for i, k in runs]
         return pd.DataFrame({"doc": b["doc"].iloc[0], "page": b["page"].iloc[0], "anchor": range(len(runs)), "name": names})
 
+    lines = lines.select("doc", "page", "top", "bottom", "text")
+    anchors = anchors.select(*[F.col(c).alias(c) for c in ("doc", "page", "top", "bottom")])  # may come from the same lines
     return lines.groupBy("doc", "page").cogroup(anchors.groupBy("doc", "page")).applyInPandas(deal, "doc string, page int, anchor int, name string")
