@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import slices
 
 #: Pre-tokens that a worker remembers, with their ids.
-CACHE = 500_000
+CACHE = 250_000
 #: Bits of a bitmap word.
 WIDTH = 256
 

@@ -34,7 +34,7 @@ HOT = 256
 #: Words of an automaton, at least, when there are more; and words of a reference shard.
 SHARD_WORDS, REFERENCE_WORDS = 20_000, 200_000
 #: Words whose hashes a worker remembers.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class SuffixAutomaton:
