@@ -112,13 +112,13 @@ class LanguageModel:
 
 
 def sample_rows(rows: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
-    """At most per_lang rows of each language, by a hash of the text; texts are not shuffled beyond twice that many."""
+    """At most per_lang texts of each language, by a hash of the text; about twice that many are shuffled, copies once a task."""
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return rows.limit(0)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, 2 * per_lang / r.n))])
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang")))
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).distinct()
     return drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("k") <= per_lang).select("text", "lang")
 
 
