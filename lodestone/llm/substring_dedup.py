@@ -15,7 +15,6 @@ window by window through keyed minima, so no task holds an unbounded group.
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Iterator
 
