@@ -129,6 +129,41 @@ def test_line_dedup_brute_force(spark, hot, monkeypatch):
     assert [r.text for r in line_dedup.dedup(docs(spark, ["a b", "a b"], ids=[None, None])).collect()] == ["a b", "a b"]
 
 
+def changed_lines(seed, sizes, kinds, each=12):
+    """(line, near copy) pairs by edit similarity alone: words replaced, and characters replaced anywhere."""
+    rng, letters, out = random.Random(seed), "abcdefghijklmnopqrstuvwxyz", []
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 10)))
+    for n in sizes:
+        for kind in kinds:
+            found = 0
+            while found < each:
+                words = [word() for _ in range(n)]
+                a = b = " ".join(words)
+                if kind == "characters":
+                    for _ in range(int(len(a) * 0.04)):
+                        i = rng.randrange(len(b))
+                        b = b[:i] + (rng.choice(letters) if b[i] != " " else " ") + b[i + 1 :]
+                else:
+                    for i in rng.sample(range(n), min(kind, n)):
+                        words[i] = word()
+                    b = " ".join(words)
+                if a != b and distance(a, b) <= (1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9:
+                    out.append((a, b))
+                    found += 1
+    return out
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_line_dedup_finds_near_lines_by_edit_similarity(spark, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    pairs = changed_lines(11, (10, 20, 30, 50), (1,)) + changed_lines(12, (30, 50), (2, 3, "characters"))
+    found = {r.doc_id: r for r in line_dedup.dedup(docs(spark, [x for p in pairs for x in p])).collect()}
+    assert all(found[2 * k].n_removed == 0 for k in range(len(pairs)))
+    one = 4 * 12
+    assert all(found[2 * k + 1].n_removed == 1 for k in range(one))  # one stretch: none is missed
+    assert sum(found[2 * k + 1].n_removed for k in range(one, len(pairs))) >= 0.95 * (len(pairs) - one)
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------
 
 
