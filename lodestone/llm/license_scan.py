@@ -6,6 +6,10 @@ Tokens are ordered by their number of lines in the whole table, the rarest first
 tokens (length filter), and enough template tokens must be left after the first one found, in the template and in the
 block (positional filter). What passes is counted exactly. Blocks meet templates by a broadcast join on prefix tokens;
 the templates are constants, so their size is fixed.
+
+A notice may be wrapped over several lines. A template that no line of a document matches is looked for in windows of
+words across line feeds, as long as the template and a tenth more. Only documents that hold enough of its tokens are cut
+into windows, which start at its tokens.
 """
 
 from __future__ import annotations
@@ -86,6 +90,23 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     return found.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "row", "label", "template", (F.col("overlap") / F.size("own")).alias("score"))
 
 
+def wrapped(own: DataFrame, lines: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """Matches of `templates` in windows across line feeds, where `lines` (the matches within lines) has none. own: doc_id, row, words."""
+    parsed = template_tokens(templates)
+    clean = str.maketrans({c: " " for c in BETWEEN + "\n"})
+    values = [(k, label, tokens, math.ceil(containment * len(tokens) - 1e-9), math.ceil(len(text.translate(clean).split()) / containment - 1e-9)) for k, ((label, tokens), (_, text)) in enumerate(zip(parsed, templates, strict=True))]
+    constants = rows(own.sparkSession, values, ["template", "label", "own", "need", "span"])
+    vocabulary = F.array(*map(F.lit, sorted({t for _, tokens in parsed for t in tokens})))
+    least = min((v[3] for v in values), default=1)
+    near = own.select("doc_id", "row", "words", F.array_intersect("words", vocabulary).alias("seen")).where(F.size("seen") >= least)
+    near = near.join(F.broadcast(constants), F.size(F.array_intersect("seen", "own")) >= F.col("need"))
+    done = lines.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("template").alias("t")).distinct()
+    near = near.join(done, near.doc_id.eqNullSafe(done.d) & (near.row == done.r) & (near.template == done.t), "left_anti")
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("own", F.get("words", i - 1)))
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), "own"))))
+    return near.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "row", "label", "template", (F.col("overlap") / F.size("own")).alias("score"))
+
+
 def stands_at(phrase: list[str]):
     """Whether the phrase stands in `words` from a place on."""
     return lambda i: reduce(and_, [F.get("words", i + j) == w for j, w in enumerate(phrase)])
@@ -112,7 +133,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PH
     at = F.concat(*[F.col(f"p{k}") for k in range(len(places))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, label) for k, label in enumerate(phrases.values())]))
     base = base.select("doc_id", "row", "n_words", F.size(at).cast("bigint").alias("n_base"), F.array_min(at).cast("bigint").alias("first_word"), F.array_max(at).cast("bigint").alias("last_word"), labels.alias("base"))
-    found = matches(held, templates, containment).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    lines = matches(held, templates, containment)
+    found = lines.union(wrapped(own, lines, templates, containment)).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "more", "best")
     both = base.join(found, base.doc_id.eqNullSafe(found.d) & (base.row == found.r), "left")
     text_of = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import public_tokenizers
@@ -236,6 +237,18 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", "# ", " * "])
+def test_license_scan_wrapped_notices(spark, lead):
+    wrap = lambda t, width: "\n".join(lead + x for x in textwrap.wrap(t, width))
+    notices = [f"Some words before.\n\n{wrap(t, width)}\nand after" for _, t in license_scan.TEMPLATES for width in (30, 72)]
+    apart = license_scan.TEMPLATES[7][1].split()
+    spread = " ".join(w + "\n" + "filler " * 9 for w in apart)  # every word, but in no one place
+    found = {r.doc_id: r for r in license_scan.scan(docs(spark, [*notices, spread])).collect()}
+    for i in range(len(notices)):
+        assert license_scan.TEMPLATES[i // 2][0] in found[i].labels.split(",") and found[i].score == 1.0
+    assert (found[len(notices)].labels, found[len(notices)].score) == ("", 0.0)
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------
 
 
