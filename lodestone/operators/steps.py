@@ -168,10 +168,20 @@ def basis_kind(basis: Column) -> Column:
 
 
 def near_duplicate_pairs(rows: DataFrame, most: int = 2) -> DataFrame:
-    """Pairs of ids with names at a small edit distance, blocked by the name's first word: for measuring, never for merging (E-19)."""
-    keyed = rows.select("id", F.lower("name").alias("name")).withColumn("block", F.element_at(F.split("name", " "), 1))
-    a, b = keyed.select("block", F.col("id").alias("a"), F.col("name").alias("na")), keyed.select("block", F.col("id").alias("b"), F.col("name").alias("nb"))
-    return a.join(b, "block").where("a < b").where(F.levenshtein("na", "nb") <= most).select("a", "b")
+    """Pairs of ids with names at a small edit distance: for measuring, never for merging (E-19).
+
+    Names within `most` edits have a string in common that is left after at most `most` deletions in each: they meet there.
+    """
+    def shorter(names):
+        cut = F.flatten(F.transform(names, lambda x: F.transform(F.sequence(F.lit(0), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.length(x))))))
+        return F.array_distinct(F.concat(names, cut))
+
+    keyed = rows.select("id", F.lower("name").alias("name")).where("name is not null").withColumn("left", F.array("name"))
+    for _ in range(most):
+        keyed = keyed.withColumn("left", shorter(F.col("left")))
+    keyed = keyed.select("id", "name", F.explode("left").alias("left"))
+    a, b = keyed.select("left", F.col("id").alias("a"), F.col("name").alias("na")), keyed.select("left", F.col("id").alias("b"), F.col("name").alias("nb"))
+    return a.join(b, "left").where("a < b").where(F.levenshtein("na", "nb") <= most).select("a", "b").distinct()
 
 
 def distinct_roles(titles: Column, n: int = 6) -> Column:

@@ -98,3 +98,9 @@ def test_placements(spark):
     labels = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "number int, label string")
     topics = spark.createDataFrame([(0, "T", [1, 2, 9]), (1, "U", [2])], "place int, topic string, numbers array<int>")
     assert sorted(map(tuple, steps.regrouped(labels, topics).collect())) == [("p", "T"), ("q", "T"), ("r", "r")]
+
+
+def test_near_names_with_a_typo_in_the_first_word(spark):
+    rows = spark.createDataFrame([("1", "Akme Labs"), ("2", "Acme Labs"), ("3", "Acme Lab"), ("4", "Bolt Works"), ("5", None), ("6", "a"), ("7", "")], "id string, name string")
+    found = sorted(tuple(r) for r in steps.near_duplicate_pairs(rows).collect())
+    assert found == [("1", "2"), ("1", "3"), ("2", "3"), ("6", "7")]
