@@ -15,6 +15,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from lodestone.llm.common import slices
 
 #: Pre-tokens that a worker remembers, with their ids.
 CACHE = 250_000
+#: Characters of a pre-token up to which it is worth remembering.
+LONG = 64
 #: Bits of a bitmap word.
 WIDTH = 256
+#: Characters beyond the basic multilingual plane.
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 class RankQueue:
@@ -139,11 +144,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def ascii_pattern(pattern: str) -> re.Pattern | None:
-    r"""The pattern for ASCII texts in `re`, which is faster; None if it has classes other than \p{L}, \p{N} and \s."""
-    plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"[^\s", r"[^\t-\r ").replace(r"\S", r"[^\t-\r ]").replace(r"\s", r"[\t-\r ]")
-    plain = re.sub(r"(?<=\?)(A-Za-z|0-9)\+", r"[\1]+", plain)
-    return None if re.search(r"\\[pPwWdDbB]", plain) else re.compile(plain)
+@lru_cache(maxsize=64)
+def class_ranges(escape: str) -> str:
+    """The characters up to U+FFFF that a class such as \\p{L} or \\s has, as ranges for use in a set."""
+    parts = "".join(map(chr, range(0xD800))), "".join(map(chr, range(0xE000, 0x10000)))
+    runs = [x for part in parts for x in regex.findall(f"{escape}+", part)]
+    return "".join(re.escape(x[0]) + (f"-{re.escape(x[-1])}" if len(x) > 1 else "") for x in runs)
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern in `re`, which is faster, for texts without characters beyond U+FFFF; None if it can't be said there."""
+    out, inside = [], False
+    for token in re.findall(r"\\[pP]\{\^?\w+\}|\\.|.", pattern, re.DOTALL):
+        if re.match(r"\\[pPsSwWdD]", token):
+            token = class_ranges(token) if inside else f"[{class_ranges(token)}]"
+        inside = token[:1] == "[" and len(token) == 1 or inside and token != "]"
+        out.append(token)
+    try:
+        return re.compile("".join(out))
+    except re.error:
+        return None
 
 
 class Codec:
@@ -160,48 +180,54 @@ class Codec:
         self.blob = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pattern = regex.compile(pattern)
-        self.ascii = ascii_pattern(pattern) or self.pattern
+        self.plain = plain_pattern(pattern)
         self.known: dict[str, bytes] = {}
 
+    def matcher(self, text: str) -> re.Pattern:
+        return self.pattern if self.plain is None or BEYOND.search(text) else self.plain
+
+    def look_up(self, texts: list[str]) -> tuple[list[str], list[bytes], list[int]]:
+        """The pre-tokens of all texts, their ids as little-endian unsigned 32-bit integers, and where each text's end."""
+        if len(self.known) > CACHE:
+            self.known = dict(list(self.known.items())[CACHE // 2 :])
+        own = [self.matcher(x).findall(x) for x in texts]
+        pieces = list(chain.from_iterable(own))
+        ids = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            found = self.learn({pieces[i] for i in new})
+            for i in new:
+                ids[i] = found[pieces[i]]
+        return pieces, ids, list(accumulate(map(len, own)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces = [(self.ascii if x.isascii() else self.pattern).findall(x) for x in texts]
-        rest = self.learn(pieces)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in pieces]
-        self.forget(rest)
-        return out
-
-    def measure(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """(characters, tokens) of each text's pre-tokens."""
-        pieces = [(self.ascii if x.isascii() else self.pattern).findall(x) for x in texts]
-        rest = self.learn(pieces)
-        out = [[(len(x), len(self.known[x]) >> 2) for x in own] for own in pieces]
-        self.forget(rest)
-        return out
+        _, ids, ends = self.look_up(texts)
+        return [b"".join(ids[a:b]) for a, b in pairwise([0, *ends])]
+
+    def measure(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Characters and tokens of each text's pre-tokens."""
+        pieces, ids, ends = self.look_up(texts)
+        chars = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        tokens = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        return [(chars[a:b], tokens[a:b]) for a, b in pairwise([0, *ends])]
 
     def measure_from(self, text: str, place: int) -> Iterator[tuple[int, int]]:
         """The same for the text from `place` on, one by one."""
-        for found in self.pattern.finditer(text, place):
+        for found in self.matcher(text).finditer(text, place):
             x = found.group()
-            ids = self.known.get(x)
-            yield len(x), len(ids) >> 2 if ids else len(merge_all([x.encode()], self.ranks, self.first)[0]) if x.encode() not in self.ranks else 1
-
-    def learn(self, pieces: list[list[str]]) -> list[str]:
-        """Make all pieces known; those that had to be merged."""
-        if len(self.known) > CACHE:
-            self.known = dict(list(self.known.items())[CACHE // 2 :])
-        new = list({x for own in pieces for x in own}.difference(self.known))
-        whole = {x: self.ranks[b] for x, b in zip(new, map(str.encode, new), strict=True) if b in self.ranks}
-        rest = [x for x in new if x not in whole]
-        self.known |= {x: array("I", (rank,)).tobytes() for x, rank in whole.items()}
+            ids = self.known.get(x) or self.learn({x})[x]
+            yield len(x), len(ids) >> 2
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new pre-tokens; those of short ones are remembered."""
+        whole = {x: self.ranks.get(x.encode()) for x in new}
+        found = {x: array("I", (rank,)).tobytes() for x, rank in whole.items() if rank is not None}
+        rest = [x for x, rank in whole.items() if rank is None]
         if rest:
-            self.known |= {x: array("I", ids).tobytes() for x, ids in zip(rest, merge_all([x.encode() for x in rest], self.ranks, self.first), strict=True)}
-        return rest
-
-    def forget(self, pieces: list[str]) -> None:
-        for x in pieces:
-            if len(x) > 64:  # not worth remembering
-                self.known.pop(x, None)
+            found |= {x: array("I", ids).tobytes() for x, ids in zip(rest, merge_all([x.encode() for x in rest], self.ranks, self.first), strict=True)}
+        self.known |= {x: ids for x, ids in found.items() if len(x) <= LONG}
+        return found
 
     def decode(self, ids: bytes) -> bytes:
         ids = np.frombuffer(ids, "<u4")

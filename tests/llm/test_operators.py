@@ -339,12 +339,16 @@ def codec():
 
 def test_edits_equal_full_count(spark, small, codec):
     rng = random.Random(1)
-    for text in [*(r.text for r in small.limit(40).collect()), "", "a b", "  \n  x  "]:
-        tree = token_counts.CountTree(text, codec)
+    for text in [*(r.text for r in small.limit(40).collect()), "", "a b", "  \n  x  ", "x😀 é" * 20]:
+        tree = token_counts.CountTree(text, codec, *codec.measure([text])[0])
         for _ in range(8):
             tree.edit(rng.randrange(len(tree.text) + 1), rng.choice([0, 1, 2, 5, 40]), rng.choice(["", " ", "  ", "x", "'re", "'", " the", "12 é", "\n\n ", " word" * 600]))
-            whole = codec.measure([tree.text])[0]
-            assert [x for leaf in tree.leaves for x in leaf] == whole and tree.total == sum(n for _, n in whole)
+            chars, tokens = codec.measure([tree.text])[0]
+            now = tree.arrays()
+            assert now[0].tolist() == chars.tolist() and now[1].tolist() == tokens.tolist() and now[2].sum() == len(chars)
+            assert tree.total == tokens.sum()
+            half = len(tree.text) // 2
+            assert tree.tokens_before(half) == sum(t for t, end in zip(tokens, chars.cumsum(), strict=True) if end <= half)
 
 
 def test_edit_rows(spark):
@@ -358,6 +362,40 @@ def test_edit_rows(spark):
     assert token_counts.count_with_edits(docs(spark, []).withColumn("edits", edit), RANKS, PATTERN).count() == 0
 
 
+def test_second_edits_start_from_kept_trees(spark, small, monkeypatch):
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    texts = [*(r.text for r in small.limit(20).collect()), *ODD, *ODD, "word " * 90_000]
+    step = lambda at, insert: F.array(F.struct(F.lit(at).alias("start"), F.lit(3).alias("length"), F.lit(insert).alias("insert")))
+    first = docs(spark, texts).withColumn("edits", step(4, " the first")).withColumn("tree", F.lit("clash"))
+    once = token_counts.count_with_edits(first, RANKS, PATTERN, keep="tree")
+    # an encoding of texts with kept trees is an error: one null tree is built, the others are read
+    mixed = once.withColumn("edits", step(-7, "2nd ")).withColumn("tree", F.when(F.col("doc_id") != 1, F.col("tree")))
+    again = {r.doc_id: r for r in token_counts.count_with_edits(mixed, RANKS, PATTERN, tree="tree", keep="tree").collect()}
+    assert len(again) == len(texts)
+    for i, t in enumerate(texts):
+        t = t or ""
+        one = t[:4] + " the first" + t[7:]
+        two = "2nd " + one[3:]
+        assert again[i].text == two and (again[i].n_tokens, again[i].n_tokens_edited) == tuple(len(encoding.encode_ordinary(x)) for x in (one, two))
+        assert sum(again[i].tree.tokens) == again[i].n_tokens_edited and sum(again[i].tree.chars) == len(two)
+        assert again[i].n_reencoded <= 8 and sum(again[i].tree.leaves) == len(again[i].tree.chars)
+
+
+def test_kept_trees_are_not_encoded_again(codec):
+    asked = []
+
+    class Watched:
+        def measure_from(self, text, place):
+            for x in codec.measure_from(text, place):
+                asked.append(x)
+                yield x
+
+    long = "some words of a text" * 500
+    tree = token_counts.CountTree(long, Watched(), *codec.measure([long])[0])
+    tree.edit(5000, 4, "more")
+    assert len(asked) < 10
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 
 
