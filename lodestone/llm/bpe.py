@@ -30,6 +30,8 @@ from lodestone.llm.common import slices
 CACHE = 250_000
 #: Characters of a pre-token up to which it is worth remembering.
 LONG = 64
+#: Short pre-tokens that are merged at once.
+ROWS = 4096
 #: Bits of a bitmap word.
 WIDTH = 256
 #: Characters beyond the basic multilingual plane.
@@ -138,6 +140,55 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int], first: np.ndarray) -
     return out
 
 
+class ShortMerges:
+    """Merges many short pieces at once: one row a piece, and in each round every row's pair of lowest rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.n = max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.n + right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[x] for x in self.pairs.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what left and right make, n if they don't merge or one of them is -1."""
+        code = np.where((left < 0) | (right < 0), -1, left * self.n + right)
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == code, self.ranks[at], self.n)
+
+    def merge(self, pieces: list[bytes]) -> np.ndarray:
+        """Ids of pieces that aren't empty, one row each, -1 behind the last."""
+        width = max(map(len, pieces))
+        codes = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(-1, width)
+        columns = np.arange(width)
+        ids = np.where(columns < np.array([len(x) for x in pieces])[:, None], self.bytes[codes], -1)
+        ids = np.append(ids, np.full((len(ids), 2), -1), axis=1)  # so that there is always a next one
+        waits = self.rank(ids[:, :-1], ids[:, 1:])
+        out, row = np.full((len(ids), width), -1), np.arange(len(ids))
+        while len(ids):
+            j = waits.argmin(axis=1)
+            here = np.arange(len(ids))
+            low = waits[here, j]
+            done = low == self.n
+            if done.any():
+                out[row[done]] = ids[done, :width]
+                left = ~done
+                ids, waits, row, j, low, here = ids[left], waits[left], row[left], j[left], low[left], here[: left.sum()]
+            ids[here, j] = low
+            behind = np.minimum(np.arange(1, ids.shape[1] + 1), ids.shape[1] - 1)
+            moved = np.arange(ids.shape[1]) > j[:, None]
+            ids = np.where(moved, ids[:, behind], ids)
+            waits = np.where(moved[:, :-1], waits[:, behind[: waits.shape[1]].clip(max=waits.shape[1] - 1)], waits)
+            waits[here, j] = self.rank(ids[here, j], ids[here, j + 1])
+            waits[here[j > 0], j[j > 0] - 1] = self.rank(ids[here[j > 0], j[j > 0] - 1], ids[here[j > 0], j[j > 0]])
+        return out
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
     with open(path, "rb") as f:
@@ -167,10 +218,11 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
 
 
 class Codec:
-    """Encodes and decodes texts by a rank file; remembers about CACHE pre-tokens."""
+    """Encodes and decodes texts by a rank file; remembers about CACHE pre-tokens. short: merge pre-tokens of up to so many bytes all at once."""
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
+    def __init__(self, path: str, pattern: str, short: int = 0):
+        self.ranks, self.short = load_ranks(path), short
+        self.together = ShortMerges(self.ranks) if short else None
         self.first = np.full(1 << 16, -1, np.int32)
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         for token, rank in self.ranks.items():
@@ -212,19 +264,25 @@ class Codec:
         tokens = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
         return [(chars[a:b], tokens[a:b]) for a, b in pairwise([0, *ends])]
 
-    def measure_from(self, text: str, place: int) -> Iterator[tuple[int, int]]:
-        """The same for the text from `place` on, one by one."""
-        for found in self.matcher(text).finditer(text, place):
-            x = found.group()
-            ids = self.known.get(x) or self.learn({x})[x]
-            yield len(x), len(ids) >> 2
+    def pieces_from(self, text: str, place: int) -> Iterator[str]:
+        """The pre-tokens of the text from `place` on, one by one."""
+        return (x.group() for x in self.matcher(text).finditer(text, place))
+
+    def measured(self, pieces: list[str]) -> list[tuple[int, int]]:
+        """(characters, tokens) of some pre-tokens."""
+        return [(len(x), len(self.known.get(x) or self.learn({x})[x]) >> 2) for x in pieces]
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """The ids of new pre-tokens; those of short ones are remembered."""
         whole = {x: self.ranks.get(x.encode()) for x in new}
         found = {x: array("I", (rank,)).tobytes() for x, rank in whole.items() if rank is not None}
         rest = [x for x, rank in whole.items() if rank is None]
-        if rest:
+        small = sorted((x for x in rest if len(x.encode()) <= self.short), key=len)
+        for i in range(0, len(small), ROWS):
+            own = self.together.merge([x.encode() for x in small[i : i + ROWS]])
+            flat, n = own[own >= 0].astype("<u4").tobytes(), 4 * np.cumsum((own >= 0).sum(axis=1))
+            found |= {x: flat[a:b] for x, a, b in zip(small[i : i + ROWS], [0, *n[:-1].tolist()], n.tolist(), strict=True)}
+        if rest := [x for x in rest if x not in found]:
             found |= {x: array("I", ids).tobytes() for x, ids in zip(rest, merge_all([x.encode() for x in rest], self.ranks, self.first), strict=True)}
         self.known |= {x: ids for x, ids in found.items() if len(x) <= LONG}
         return found
@@ -237,9 +295,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(name: str, pattern: str) -> Codec:
+def codec(name: str, pattern: str, short: int = 0) -> Codec:
     """The worker's codec for a rank file that Spark has sent to every machine."""
-    return Codec(SparkFiles.get(name), pattern)
+    return Codec(SparkFiles.get(name), pattern, short)
 
 
 def send_ranks(df: DataFrame, path: str) -> str:

@@ -11,6 +11,7 @@ A tree can be kept as a column, and the next edits start from it: nothing but wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,25 @@ from lodestone.llm.bpe import Codec, codec, send_ranks
 from lodestone.llm.common import slices
 
 LEAF = 32
+#: Bytes of a pre-token up to which new ones are encoded many at once.
+TOGETHER = 32
 #: Characters behind a pre-token that the pattern may look at before it ends the pre-token.
 CONTEXT = 3
 #: A kept tree: characters and tokens of the pre-tokens, and how many of them each leaf has.
 TREE = "struct<chars: array<int>, tokens: array<int>, leaves: array<int>>"
 
 
+@dataclass
+class Cut:
+    """New pre-tokens, where they begin (leaf, place in it), and the old pre-token that follows them."""
+
+    fresh: list[str]
+    leaf: int
+    at: int
+    until: int
+    rest: int
+
+
 class CountTree:
     """Token counts of one text under edits. Leaves that no edit has touched stay slices of the arrays given."""
 
@@ -106,10 +120,14 @@ class CountTree:
 
     def edit(self, start: int, length: int, insert: str) -> int:
         """Replace `length` characters from `start` (clipped to the text) by `insert`; how many pre-tokens were encoded anew."""
+        return self.put(self.cut(start, length, insert))
+
+    def cut(self, start: int, length: int, insert: str) -> Cut | None:
+        """Change the text, and split it anew around the edit; the sums wait for `put`."""
         start = min(max(start, 0), len(self.text))
         length = min(max(length, 0), len(self.text) - start)
         if not length and not insert:
-            return 0
+            return None
         i, place = self.leaf_at(max(0, start - CONTEXT))
         first, at = self.leaf(i), 0
         while at < len(first) and place + first[at][0] <= start - CONTEXT:
@@ -118,7 +136,7 @@ class CountTree:
         self.text = self.text[:start] + insert + self.text[start + length :]
         shift, edge = len(insert) - length, start + len(insert)
         j, k, old, fresh = i, at, place, []  # the next old pre-token, and where it begins in the old text
-        for c, t in self.codec.measure_from(self.text, place):
+        for x in self.codec.pieces_from(self.text, place):
             while place >= edge and old < place - shift and j < self.n:
                 if k < len(self.leaf(j)):
                     old += self.leaf(j)[k][0]
@@ -127,18 +145,25 @@ class CountTree:
                     j, k = j + 1, 0
             if place >= edge and old == place - shift:
                 break
-            fresh.append((c, t))
-            place += c
+            fresh.append(x)
+            place += len(x)
         else:
             j, k = self.n, 0
-        behind = self.leaf(j)[k:] if j < self.n else []
+        return Cut(fresh, i, at, j, k)
+
+    def put(self, cut: Cut | None) -> int:
+        """Put the pre-tokens of a cut in the place of those it replaces; how many they are."""
+        if not cut:
+            return 0
+        i, j = cut.leaf, cut.until
+        behind = self.leaf(j)[cut.rest :] if j < self.n else []
         for x in range(i + 1, min(j + 1, self.n)):
             self.set_leaf(x, behind if x == j else [])
-        self.set_leaf(i, first[:at] + fresh + (behind if i == j else []))
+        self.set_leaf(i, self.leaf(i)[: cut.at] + self.codec.measured(cut.fresh) + (behind if i == j else []))
         if len(self.changed[i]) > 16 * LEAF:
             chars, tokens, _ = self.arrays()
             self.__init__(self.text, self.codec, chars, tokens)
-        return len(fresh)
+        return len(cut.fresh)
 
 
 def flat(lists: list[np.ndarray]) -> pa.Array:
@@ -169,26 +194,26 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, edits: str
     kept = docs.drop(*(set(new) - {text, edits, tree}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(name, pattern)
+        c = codec(name, pattern, TOGETHER)
         for batch in slices(batches, text):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             held = kept_trees(batch.column(tree)) if tree else [None] * len(texts)
             fresh = iter(c.measure([x for x, own in zip(texts, held, strict=True) if own is None]))
-            rows, out = [], []
-            for x, own, todo in zip(texts, held, batch.column(edits).to_pylist(), strict=True):
-                done = CountTree(x, c, *(own or next(fresh)))
-                before, pretokens, n = done.total, int(done.ends[-1]), 0
-                for e in todo or []:
-                    n += done.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "") if e else 0
-                rows.append((before, done.total, n, pretokens))
-                out.append(done)
+            trees = [CountTree(x, c, *(own or next(fresh))) for x, own in zip(texts, held, strict=True)]
+            values = np.array([(t.total, 0, 0, t.ends[-1]) for t in trees], np.int64).reshape(-1, 4)
+            todo = [[e for e in x or [] if e] for x in batch.column(edits).to_pylist()]
+            for step in range(max(map(len, todo), default=0)):  # one edit of each row at a time, so that their pre-tokens are encoded together
+                cuts = {i: trees[i].cut(x[step]["start"] or 0, x[step]["length"] or 0, x[step]["insert"] or "") for i, x in enumerate(todo) if step < len(x)}
+                c.learn({x for cut in cuts.values() if cut for x in cut.fresh}.difference(c.known))
+                for i, cut in cuts.items():
+                    values[i, 2] += trees[i].put(cut)
+            values[:, 1] = [t.total for t in trees]
             cols = {n: batch.column(n) for n in batch.schema.names if n not in new}
-            values = np.array(rows, np.int64).reshape(-1, 4)
             cols |= {n: pa.array(values[:, i]) for i, n in enumerate(new[:4])}
             if keep:
-                parts = [flat(x) for x in zip(*(d.arrays() for d in out), strict=True)] or [flat([])] * 3
+                parts = [flat(x) for x in zip(*(t.arrays() for t in trees), strict=True)] or [flat([])] * 3
                 cols[keep] = pa.StructArray.from_arrays(parts, ["chars", "tokens", "leaves"])
-                cols[text] = pa.array([d.text for d in out], pa.string())
+                cols[text] = pa.array([t.text for t in trees], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name not in new] + [f"`{n}` {TREE if n == keep else 'bigint'}" for n in new])

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import public_tokenizers
@@ -68,9 +69,8 @@ def test_language_odd_rows(spark, small):
 
 
 def line_groups(texts):
-    """Lines in groups by brute force: near fingerprints and edit similarity over all pairs."""
-    places = [(d, i, b" ".join(w)) for d, t in enumerate(texts) for i, w in enumerate(line_dedup.normal_lines(t.encode() if t else None)) if w]
-    prints = line_dedup.simhashes([x.split() for _, _, x in places], line_dedup.WordHashes()) if places else []
+    """Lines in groups by brute force: edit similarity over all pairs."""
+    places = [(d, i, b" ".join(w)) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if (w := lower_words(x))]
     parent = list(range(len(places)))
 
     def root(i):
@@ -80,8 +80,8 @@ def line_groups(texts):
 
     for i, j in itertools.combinations(range(len(places)), 2):
         a, b = places[i][2].decode(), places[j][2].decode()
-        near = bin((int(prints[i]) ^ int(prints[j])) & (1 << 64) - 1).count("1") <= line_dedup.DIFFER
-        if a == b or near and distance(a, b) <= (1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9:
+        most = (1 - line_dedup.SIMILARITY) * max(len(a), len(b)) + 1e-9
+        if a == b or abs(len(a) - len(b)) <= most and len(set(a.split()) ^ set(b.split())) <= 2 * most and distance(a, b) <= most:
             parent[root(i)] = root(j)
     groups = {}
     for i, p in enumerate(places):
@@ -102,6 +102,24 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
         for most in (0, 1, 3, 20):
             assert line_dedup.edit_distance(a, b, most) == min(distance(a, b), most + 1), (a, b, most)
+    for _ in range(300):
+        a = [rng.choice(["a", "bc", "def", "gh"]) for _ in range(rng.randrange(12))]
+        b = [*a[rng.randrange(3) :], *(rng.choice(["a", "x", "def"]) for _ in range(rng.randrange(4)))]
+        assert line_dedup.aligned_distance(a, b, 1000) >= distance(" ".join(a), " ".join(b)), (a, b)
+    long = " ".join(f"word{rng.randrange(3000)}" for _ in range(60_000))
+    cut = long.split()
+    cut[5000:5100], cut[20_000:20_000] = [], ["new"] * 50
+    began = time.process_time()
+    assert line_dedup.similar(long, " ".join(cut)) and not line_dedup.similar(long, " ".join(sorted(cut)))
+    assert time.process_time() - began < 20
+
+
+def test_normal_lines():
+    texts = [None, "", "One,  TWO\n\n--\nthree é!\r\n", "no feed", "\n\nlast\n"]
+    lines = line_dedup.normal_lines([x and x.encode() for x in texts])
+    assert [(int(d), int(p), lines[i].decode()) for i, (d, p) in enumerate(zip(lines.doc, lines.place, strict=True))] == [(2, 0, "one two"), (2, 3, "three é"), (3, 0, "no feed"), (4, 2, "last")]
+    assert lines.sizes.tolist() == [2, 2, 2, 1]
+    assert len(line_dedup.normal_lines([]).begin) == len(line_dedup.normal_lines([b" - "]).begin) == 0
 
 
 @pytest.mark.parametrize("hot", [64, 3])
@@ -165,6 +183,26 @@ def test_line_dedup_finds_near_lines_by_edit_similarity(spark, hot, monkeypatch)
     assert sum(found[2 * k + 1].n_removed for k in range(one, len(pairs))) >= 0.95 * (len(pairs) - one)
 
 
+def test_line_dedup_recall_on_documents(spark, small):
+    """All pairs of distinct lines at an edit similarity of 0.9, by brute force, end in one group."""
+    lines = sorted({b" ".join(lower_words(x)).decode() for r in small.collect() for x in (r.text or "").split("\n")} - {""}, key=len)
+    lines = [x for x in lines if len(x) <= 700]
+    words = [set(x.split()) for x in lines]
+    near = []
+    for j, b in enumerate(lines):
+        most = int(0.1 * len(b) + 1e-9)
+        for i in range(j - 1, -1, -1):
+            if len(lines[i]) < len(b) - most:
+                break
+            if len(words[i] ^ words[j]) <= 2 * most and line_dedup.edit_distance(lines[i], b, most) <= most:
+                near.append((i, j))
+    found = line_dedup.dedup(docs(spark, lines)).collect()
+    gone = {r.doc_id for r in found if r.n_removed}
+    firsts = components_of(near, len(lines))
+    assert len(near) > 10 and sum(j in gone for j in range(len(lines)) if firsts[j] != j) >= 0.95 * sum(firsts[j] != j for j in range(len(lines)))
+    assert all(firsts[j] != j for j in gone)
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -385,10 +423,11 @@ def test_kept_trees_are_not_encoded_again(codec):
     asked = []
 
     class Watched:
-        def measure_from(self, text, place):
-            for x in codec.measure_from(text, place):
-                asked.append(x)
-                yield x
+        pieces_from = codec.pieces_from
+
+        def measured(self, pieces):
+            asked.extend(pieces)
+            return codec.measured(pieces)
 
     long = "some words of a text" * 500
     tree = token_counts.CountTree(long, Watched(), *codec.measure([long])[0])
@@ -470,6 +509,18 @@ def components(prints):
     return [root(i) for i in range(len(prints))]
 
 
+def components_of(edges, n):
+    """The smallest node of each node's component."""
+    out = list(range(n))
+    while True:
+        new = list(out)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == out:
+            return out
+        out = new
+
+
 def test_golay_keys_meet():
     rng = random.Random(6)
     import numpy as np
