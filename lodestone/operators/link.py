@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.dates import days_since
+from lodestone.operators.rounds import stored
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """(from, into): every id of a name key but the smallest, to the smallest (J-13). rows: id, key."""
-    first = Window.partitionBy("key")
-    return rows.where("key <> ''").withColumn("into", F.min("id").over(first)).where("id <> into").select(F.col("id").alias("from"), "into")
+    named = rows.where("key <> ''")
+    first = named.groupBy("key").agg(F.min("id").alias("into"))
+    return named.join(first, "key").where("id <> into").select(F.col("id").alias("from"), "into")
 
 
-def closure(aliases: DataFrame, most: int = 64) -> DataFrame:
-    """(from, into): every alias followed to its end (J-13). A cycle is an error. Each round doubles the steps."""
-    now = aliases.where("from <> into").select("from", "into").distinct()
-    for _ in range(most.bit_length()):
+def closure(aliases: DataFrame) -> DataFrame:
+    """(from, into): every alias followed to its end, however far (J-13). A cycle is an error.
+
+    Each round doubles the steps, so n aliases need log2(n) rounds; what still moves after that goes round in a cycle.
+    """
+    now = stored(aliases.where("from <> into").select("from", "into").distinct())
+    rounds = now.count().bit_length() + 1
+    for _ in range(rounds):
         nxt = now.select(F.col("from").alias("into"), F.col("into").alias("far"))
-        step = now.join(nxt, "into", "left").select("from", F.coalesce("far", "into").alias("into"), F.col("far").isNotNull().alias("moved"))
+        step = stored(now.join(nxt, "into", "left").select("from", F.coalesce("far", "into").alias("into"), F.col("far").isNotNull().alias("moved")))
+        now = step.select("from", "into")
         if not step.where("moved").limit(1).count():
             return now
-        now = step.select("from", "into")
     raise ValueError("aliases form a cycle")
 
 
@@ -57,15 +63,18 @@ def shared_hosts(rows: DataFrame) -> DataFrame:
 def contained_lists(members: DataFrame, least: int = 10) -> DataFrame:
     """(a, b): lists whose members all stand in another list, the larger or the earlier one (J-19). members: list, member.
 
-    Only members that two lists share make pairs.
+    A list meets only those that hold its globally rarest member, so a member of very many lists makes no pairs.
     """
     own = members.distinct()
     size = own.groupBy("list").agg(F.count("*").alias("n"))
-    left = own.select(F.col("list").alias("a"), "member")
-    right = own.select(F.col("list").alias("b"), "member")
-    common = left.join(right, "member").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    sized = common.join(size.select(F.col("list").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("list").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where((F.col("na") >= least) & (F.col("k") == F.col("na")) & ((F.col("nb") > F.col("na")) | (F.col("b") < F.col("a")))).select("a", "b")
+    spread = own.groupBy("member").agg(F.count("*").alias("lists"))
+    rarest = own.join(spread, "member").groupBy("list").agg(F.min(F.struct("lists", "member")).alias("rare"), F.count("*").alias("na")).where(F.col("na") >= least)
+    asked = rarest.select(F.col("list").alias("a"), "na", F.col("rare.member").alias("member"))
+    other = own.join(size, "list").select(F.col("list").alias("b"), F.col("n").alias("nb"), "member")
+    pairs = asked.join(other, "member").where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))).select("a", "b", "na")
+    # a list of b's size or less, each of whose members is b's as well
+    held = pairs.join(own.select(F.col("list").alias("a"), "member"), "a").join(own.select(F.col("list").alias("b"), "member"), ["b", "member"])
+    return held.groupBy("a", "b", "na").agg(F.count("*").alias("k")).where("k = na").select("a", "b")
 
 
 def near_names(rows: DataFrame, query: str, n: int = 3) -> DataFrame:
@@ -83,12 +92,17 @@ def near_names(rows: DataFrame, query: str, n: int = 3) -> DataFrame:
 def affiliations(needles: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, part_id): needles that stand in an affiliation as whole words (J-18, A.16, E-09).
 
-    Needles and parts meet on the needle's rarest block, its first word, so the join is on a key; the containment is
-    checked after it. needles: id, needle; parts: part_id, text; both of words joined by one space.
+    Needles and parts meet on the needle's word that the fewest parts have, so the join is on a key and a word such as
+    "the" joins nothing; the containment is checked after it. needles: id, needle; parts: part_id, text; both of words
+    joined by one space.
     """
-    keyed = needles.withColumn("word", F.element_at(F.split("needle", " "), 1))
-    words = parts.select("part_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    found = keyed.join(words, "word").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "needle", F.lit(" "))))
+    words = parts.select("part_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    own = needles.select("id", "needle", F.explode(F.array_distinct(F.split("needle", " "))).alias("word"))
+    spread = words.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rare = F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))
+    keyed = own.join(spread, "word", "left").groupBy("id", "needle").agg(rare.alias("rare")).select("id", "needle", F.col("rare.word").alias("word"))
+    texts = parts.select("part_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    found = keyed.join(texts, "word").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "needle", F.lit(" "))))
     return found.select("id", "part_id").distinct()
 
 
@@ -109,10 +123,18 @@ def fan_out(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def admit(rows: DataFrame, cost: str, order: list, ceiling: float, group: str | None = None) -> DataFrame:
     """rows with `admitted`: the cost of the rows up to this one stays within the ceiling (W-09, E-14).
 
-    With a group, budgets are kept per group, in parallel.
+    With a group, each has a budget of its own. Rows are dealt by ranges of group and order, summed range by range, and
+    each range starts from what the ranges before it have spent: no task holds a whole group. `order` tells rows apart.
     """
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.sum(cost).over(w)).withColumn("admitted", F.col("spent") <= ceiling)
+    own = [group] if group else []
+    dealt = stored(rows.repartitionByRange(*own, *order).withColumn("__part", F.spark_partition_id()))
+    per_part = dealt.groupBy("__part", *own).agg(F.sum(cost).alias("__sum"))
+    earlier = Window.partitionBy(*own).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_part.withColumn("__before", F.sum("__sum").over(earlier)).drop("__sum")
+    here = Window.partitionBy("__part", *own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    spent = dealt.withColumn("__here", F.sum(cost).over(here)).join(before, ["__part", *own])
+    total = F.col("__here") + F.coalesce("__before", F.lit(0))
+    return spent.withColumn("spent", total.cast(rows.select(F.sum(cost)).schema[0].dataType)).withColumn("admitted", F.col("spent") <= ceiling).select(*rows.columns, "spent", "admitted")
 
 
 def needs_asking(entry_at: Column, outcome: Column, now: Column, days: int = 30) -> Column:

@@ -109,7 +109,6 @@ def late_materialize_rows(t):
 
 FILTERS = {
     "filter_search_like_escape": (View(search="r 1"), "name ILIKE '%r 1%' OR description ILIKE '%r 1%' OR product ILIKE '%r 1%'"),  # F-04
-    "filter_search_literal_percent": (View(search="1%_"), "name ILIKE '%1!%!_%' ESCAPE '!' OR description ILIKE '%1!%!_%' ESCAPE '!'"),  # F-04
     "filter_semi_source": (View(source="grants-csv"), "id IN (SELECT company_id FROM signals WHERE source = 'grants-csv')"),  # F-05, J-01, R-10
     "filter_sector": (View(sector="2", subsector="2.3"), "sector_id = '2' AND subsector_id = '2.3'"),  # F-01, F-02
     "filter_tier": (View(tiers=("A", "B")), "tier IN ('A', 'B')"),  # F-03
@@ -599,16 +598,6 @@ def normalise_url(t):
     return t.companies.select("id", text.website(F.replace("website", F.lit("https://www.site1"), F.lit("site1"))).alias("url"))
 
 
-@query("SELECT id, CASE WHEN description = '' THEN NULL WHEN description LIKE 'A software%' THEN 'A software platform for hospitals; write to us at' ELSE description END AS line FROM companies")
-def strip_contacts(t):
-    """X-06."""
-    return t.companies.select("id", text.without_contacts(F.col("description")).alias("line"))
-
-
-@query("SELECT id, regexp_replace(CASE WHEN id LIKE '%7' THEN name ELSE 'x' END, 'x', 'Alpha of the AI 2D Ltd Ncf Pvt') AS shown FROM companies WHERE false UNION ALL SELECT id, 'Alpha of the AI 2D NCF Pvt Ltd' FROM companies")
-def recase_name(t):
-    """X-09."""
-    return t.companies.select("id", text.display_name(F.lit("ALPHA OF THE AI 2D NCF PVT LTD")).alias("shown"))
 
 
 @query("""SELECT id, CASE city WHEN 'Bangalore' THEN 'Bengaluru' WHEN 'mumbai suburban' THEN 'Mumbai' WHEN 'jharkhand' THEN NULL ELSE city END AS place,
@@ -621,11 +610,6 @@ def place_normalise(t):
 _HOST = "nullif(regexp_replace(regexp_extract(lower(website), '^https?://([^/?#:@]+)', 1), '^www[0-9]?\\.', ''), '')"
 
 
-@query(f"SELECT id, {_HOST} AS host, CASE WHEN {_HOST} IS NOT NULL THEN 'example.co.in' END AS registrable FROM companies")
-def host_registrable(t):
-    """X-11, X-12."""
-    return t.companies.select("id", text.host(F.col("website")).alias("host"), text.registrable(text.host(F.col("website"))).alias("registrable"))
-
 
 @query("""SELECT page_id, regexp_extract(url, '^https?://([^/?#:@]+)', 1) AS host FROM pages""")
 def page_hosts(t):
@@ -634,16 +618,6 @@ def page_hosts(t):
     return raw.select("page_id", F.regexp_extract("url", "^https?://([^/?#:@]+)", 1).alias("host"))
 
 
-@query("SELECT id, CASE WHEN description LIKE 'DPIIT%' THEN 'robotics,ai,robotics technology' WHEN description LIKE 'BIRAC%' THEN 'diagnostics' ELSE '' END AS labels FROM companies WHERE description IS NOT NULL")
-def register_labels_parse(t):
-    """X-14."""
-    return t.companies.where("description is not null").select("id", F.array_join(entity.register_labels(F.col("description")), ",").alias("labels"))
-
-
-@query("SELECT id, coalesce(CASE WHEN description LIKE 'DPIIT%' THEN subsector_id IN ('2.3', '2.7') WHEN description LIKE 'BIRAC%' THEN subsector_id = '4.5' ELSE false END, false) AS supported FROM companies WHERE description IS NOT NULL")
-def label_support(t):
-    """E-06, A.14, U-18."""
-    return t.companies.where("description is not null").select("id", F.coalesce(entity.label_supports(F.col("description"), F.col("subsector_id")), F.lit(False)).alias("supported"))
 
 
 @query("SELECT id, CASE WHEN regexp_matches(concat('=', name), '^[=+@-]') THEN '\"' || '''=' || name || '\"' END AS field, CASE WHEN website LIKE 'https:%' THEN website END AS url FROM companies")
@@ -652,11 +626,6 @@ def csv_defang(t):
     return t.companies.select("id", text.csv_field(F.concat(F.lit("="), "name")).alias("field"), text.safe_url(F.col("website")).alias("url"))
 
 
-@query("SELECT id, CASE WHEN founders IS NOT NULL THEN 'Dr. Asha Rao, Ben Low' END AS line FROM companies")
-def founder_lines(t):
-    """X-08."""
-    return t.companies.select("id", text.founder_line(F.col("founders")).alias("line"))
-
 
 @query("SELECT id, coalesce(array_to_string(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ('private', 'limited', 'energy', 'systems', 'labs')), ','), '') AS tokens FROM companies")
 def name_token_list(t):
@@ -667,15 +636,6 @@ def name_token_list(t):
 # --- entities and tags --------------------------------------------------------------------------------------------
 
 
-@query("""SELECT id, CASE WHEN said_state = 'own' THEN 'hardware' WHEN description LIKE 'We build%' THEN 'hardware' WHEN description LIKE 'A software%' THEN 'software' ELSE '' END AS build,
-CASE WHEN said_state = 'own' THEN 'energy,mobility' WHEN description LIKE 'We build%' THEN 'agriculture & food,space & aerospace' WHEN description LIKE 'A software%' THEN 'health' ELSE '' END AS domain
-FROM base WHERE NOT (said_state = 'own' AND coalesce(description, '') <> '' AND NOT """ + LABEL + ")")
-def keyword_tags(t):
-    """E-04, E-05."""
-    rows = t.base.where((F.col("said_state") != "own") | (F.coalesce("description", F.lit("")) == "") | said.label_kind(F.col("description")).isNotNull())
-    words = tags.described_text(F.col("product"), F.col("website_identity"), F.col("description"))
-    return rows.select("id", F.array_join(tags.tags(words, tags.BUILD), ",").alias("build"), F.array_join(tags.tags(words, tags.DOMAIN), ",").alias("domain"))
-
 
 @query("""SELECT c.id, CASE WHEN name LIKE '%Pvt%' OR name LIKE '%Limited' OR name LIKE '%Inc' OR name LIKE '%LLP' THEN 'company'
 WHEN id IN (SELECT company_id FROM signals WHERE source = 'dpiit-startup-india') AND dpiit_status IN ('recognised', 'expired') THEN 'company' ELSE 'unverified' END AS kind FROM companies c""")
@@ -1025,3 +985,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from lodestone.plans import nightly  # noqa: E402, F401 (registers its queries here)

@@ -172,8 +172,32 @@ def test_signals_and_lines(spark):
 def test_alias_chains(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)]
     assert {r["into"] for r in link.closure(spark.createDataFrame(chain, "from string, into string")).collect()} == {"n040"}
-    with pytest.raises(ValueError):
-        link.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "from string, into string"))
+    long = [(i, i + 1) for i in range(1000)]
+    assert {r["into"] for r in link.closure(spark.createDataFrame(long, "from int, into int")).collect()} == {1000}
+    for cycle in ([("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "c"), ("c", "b")]):
+        with pytest.raises(ValueError):
+            link.closure(spark.createDataFrame(cycle, "from string, into string"))
+
+
+def test_affiliations_meet_on_the_rarest_word(spark):
+    needles = spark.createDataFrame([("a", "the bright labs"), ("b", "the"), ("c", "not there"), ("d", "labs the bright")], "id string, needle string")
+    parts = spark.createDataFrame([(1, "at the bright labs in pune"), (2, "the brightest labs"), (3, "of the labs")], "part_id int, text string")
+    assert sorted(map(tuple, link.affiliations(needles, parts).collect())) == [("a", 1), ("b", 1), ("b", 2), ("b", 3)]
+
+
+def test_budgets_over_ranges(spark):
+    rows = [(i, i % 3, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, g int, cost double").repartition(5)
+    found = {r.k: r for r in link.admit(df, "cost", ["k"], 300.0).collect()}
+    spent = 0
+    for k, _, cost in rows:
+        spent += cost
+        assert (found[k].spent, found[k].admitted) == (spent, spent <= 300)
+    spent = [0, 0, 0]
+    found = {r.k: r for r in link.admit(df, "cost", [F.desc("k")], 300.0, "g").collect()}
+    for k, g, cost in reversed(rows):
+        spent[g] += cost
+        assert (found[k].spent, found[k].admitted) == (spent[g], spent[g] <= 300)
 
 
 def test_award_matching(spark):

@@ -10,7 +10,7 @@ from tests.test_engine import values
 
 def test_award_names(spark):
     assert values(spark, awards.is_company, "Villgro Foundation Private Limited", "Dr. A B", "IIT Madras", "Ajaya P Katti", "Soil Genomics", "Madhumohan R", "Acme", None) == [True, False, False, False, True, False, True, True]
-    assert values(spark, lambda x: awards.is_company(x, people_possible=False), "Soil Sathi") == [True]
+    assert values(spark, lambda x: awards.is_company(x, holds_people=False), "Soil Sathi") == [True]
     assert values(spark, awards.city_from, "Telangana, Hyderabad", "Rewari, (Haryana)", "India", None, "Bengaluru Rural, Karnataka") == ["Hyderabad", "Rewari", None, None, "Bengaluru Rural"]
     got = values(spark, awards.split_company, "M/s WellRx Technologies Pvt. Ltd. Rewari, (Haryana)", "Acme, Pune", "Solo")
     assert [(r.name, r.city) for r in got] == [("WellRx Technologies Pvt. Ltd.", "Rewari"), ("Acme", "Pune"), ("Solo", None)]
