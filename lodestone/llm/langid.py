@@ -3,8 +3,8 @@
 A text is a TF-IDF vector of hashed byte bigrams and trigrams of its letters, normalised to length 1. Each language
 has up to CENTROIDS centroids, found by spherical k-means on a bounded sample of labelled rows. A text gets the
 language of the centroid with the highest cosine, and is rejected if that cosine is below the language's floor, which
-comes from the distances of the sample's own rows. The model has a fixed size a language and is broadcast;
-prediction is one narrow stage over whole texts.
+comes from the distances of the sample's own rows. The model has at most CENTROIDS times 16 KB a language and is broadcast
+in blocks; prediction is one narrow stage over whole texts.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from lodestone.llm.common import Workspace, slices
 
 #: Length of a vector.
 DIM = 1 << 13
-#: Labelled rows that the classifier is fitted on, at most, per language; languages that are learned, the commonest first.
-SAMPLE, LANGUAGES = 600, 1000
+#: Labelled rows that the classifier is fitted on, at most, per language, and the bytes of text after which no more are taken.
+SAMPLE, SAMPLE_BYTES = 600, 16 << 20
+#: Bytes of centroids that are broadcast at a time; more languages are compared block after block.
+MODEL_BYTES = 64 << 20
 #: Centroids per language, rounds of k-means, and the share of a language's sample that a centroid must hold.
 CENTROIDS, ROUNDS, SHARE = 4, 10, 0.1
-#: A text is rejected below this part of the lowest cosine that a sample row of the language has. The fewer n-grams a
-#: text has, the lower its cosines are: below FULL n-grams the floor falls with the square root of their number.
-FLOOR, FULL = 0.3, 100
+#: A text is rejected below this part of the lowest cosine that a sample row of the language has; texts of a language that
+#: wasn't learned reach less. The fewer n-grams a text has, the lower its cosines are: below FULL n-grams the floor falls
+#: with the square root of their number.
+FLOOR, FULL = 0.5, 500
 #: Bytes of a text whose n-grams are counted at a time.
 BLOCK = 1 << 20
 
@@ -96,14 +99,21 @@ class LanguageModel:
     langs: list[str]  # of each centroid
     floors: np.ndarray  # of each centroid
 
+    def blocks(self) -> Iterator[LanguageModel]:
+        """The model in parts of MODEL_BYTES at most; one part if nothing was learned."""
+        n = max(1, MODEL_BYTES // (2 * DIM))
+        for i in range(0, max(1, len(self.langs)), n):
+            yield LanguageModel(self.idf, self.centroids[i : i + n], self.langs[i : i + n], self.floors[i : i + n])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, cosine (0 to 1) and whether the text is rejected. Without a letter: und, 0, rejected."""
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
         lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        centroids = self.centroids.astype(np.float32).T
         for i in range(0, len(known), 64):
             some = known[i : i + 64]
             x, sizes = vectors([texts[k] for k in some], self.idf)
-            cosine = x @ self.centroids.T
+            cosine = x @ centroids
             best = cosine.argmax(axis=1)
             floors = self.floors[best] * np.minimum(1, np.sqrt(sizes / FULL))
             for k, b, c, floor in zip(some, best.tolist(), cosine.max(axis=1).tolist(), floors.tolist(), strict=True):
@@ -111,36 +121,44 @@ class LanguageModel:
         return lang, score, out
 
 
-def sample_rows(rows: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
-    """At most per_lang texts of each language, by a hash of the text; about twice that many are shuffled, copies once a task."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return rows.limit(0)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, 2 * per_lang / r.n))])
+def sample_rows(rows: DataFrame, per_lang: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
+    """Texts of each language, by a hash of the text: at most per_lang, and none after the first `most` bytes.
+
+    About twice that many rows are shuffled, copies once a task.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < F.element_at(share, F.col("lang"))).distinct()
-    return drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("k") <= per_lang).select("text", "lang")
+    drawn = rows.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") * F.col("n") < 2 * per_lang).select("text", "lang", "draw").distinct()
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    first = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("text", "lang")
 
 
 def fit(rows: DataFrame, per_lang: int = SAMPLE) -> LanguageModel:
-    """Fit on the labelled rows (columns text, lang); rows whose text is null or has no letter, or whose lang is null, are left out."""
+    """Fit on the labelled rows (columns text, lang); rows whose text is null or has no letter, or whose lang is null, are left out.
+
+    Every language is learned. Only sums and centroids come to the driver, as bytes.
+    """
     work = Workspace(rows.sparkSession, "langid")
     held = work.table(sample_rows(rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("text", "lang"), per_lang))
 
     def frequencies(group: pd.DataFrame) -> pd.DataFrame:
         seen = sum((gram_counts(t) > 0).astype(np.int64) for t in group["text"])
-        return pd.DataFrame({"n": [len(group)], "seen": [seen.tolist()]})
+        return pd.DataFrame({"n": [len(group)], "seen": [seen.astype(np.int32).tobytes()]})
 
-    spread = held.groupBy("lang").applyInPandas(frequencies, "n bigint, seen array<bigint>").collect()
-    total = sum(r.n for r in spread)
-    idf = (np.log((1 + total) / (1 + sum((np.array(r.seen) for r in spread), np.zeros(DIM)))) + 1).astype(np.float32)
+    spread = held.groupBy("lang").applyInPandas(frequencies, "n bigint, seen binary").toLocalIterator()
+    total, seen = 0, np.zeros(DIM, np.int64)
+    for r in spread:
+        total, seen = total + r.n, seen + np.frombuffer(r.seen, np.int32)
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         c, lowest = cluster(vectors(group.sort_values("text")["text"].tolist(), idf)[0])
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": FLOOR * lowest, "centroid": [v.tolist() for v in c]})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": FLOOR * lowest, "centroid": [v.astype(np.float16).tobytes() for v in c]})
 
-    found = sorted(held.groupBy("lang").applyInPandas(centroids, "lang string, floor double, centroid array<float>").collect())
-    return LanguageModel(idf, np.array([r.centroid for r in found], np.float32).reshape(len(found), DIM), [r.lang for r in found], np.array([r.floor for r in found]))
+    found = sorted((r.lang, r.floor, bytes(r.centroid)) for r in held.groupBy("lang").applyInPandas(centroids, "lang string, floor double, centroid binary").toLocalIterator())
+    return LanguageModel(idf, np.frombuffer(b"".join(c for *_, c in found), np.float16).reshape(len(found), DIM), [x for x, *_ in found], np.array([f for _, f, _ in found]))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -148,17 +166,24 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     A text that is null or has no letter, or any text if no language was learned, is und with score 0, and rejected.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(*({"lang_pred", "score", "rejected"} - {text}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            lang, score, out = sent.value.predict(batch.column(text).to_pylist())
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(out, pa.bool_())})
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["lang_pred string", "score double", "rejected boolean"])
-    return kept.mapInArrow(run, schema)
+    new = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    out = docs.drop(*(set(new) - {text}))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields] + [f"{k} {v}" for k, v in new.items()])
+    for part in model.blocks():
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                found = list(zip(*sent.value.predict(batch.column(text).to_pylist()), strict=True))
+                cols = {n: batch.column(n) for n in batch.schema.names if n not in new}
+                if "score" in batch.schema.names:  # from the blocks before: the higher cosine stays, the first of equals
+                    before = zip(*(batch.column(n).to_pylist() for n in new), strict=True)
+                    found = [x if x[1] > y[1] or y[0] == "und" else y for x, y in zip(found, before, strict=True)]
+                values = zip(*found, strict=True) if found else [[]] * 3
+                yield pa.RecordBatch.from_pydict(cols | {n: pa.array(list(v), k) for (n, v), k in zip(zip(new, values, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)})
+
+        out = out.mapInArrow(run, schema)
+    return out
 
 
 def held_out(id_col: str = "doc_id"):

@@ -65,6 +65,50 @@ def test_language_odd_rows(spark, small):
     assert langid.identify(docs(spark, []), model).count() == 0
 
 
+def test_language_is_the_nearest_centroid(spark, small, monkeypatch):
+    """Brute force: dictionaries of n-grams, plain sums, every centroid against every text."""
+    import math
+
+    import numpy as np
+
+    rows = small.where(~langid.held_out()).select("text", "lang")
+    model = langid.fit(rows, per_lang=30)
+    assert set(model.langs) == {r.lang for r in small.collect()} and all(model.langs.count(x) <= langid.CENTROIDS for x in model.langs)
+    texts = [r.text for r in small.where(langid.held_out()).collect()][:25]
+
+    def slow(text):
+        flat = (" " + " ".join("".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower()).split()) + " ").encode()
+        counts = {}
+        for n in (2, 3):
+            for i in range(len(flat) - n + 1):
+                code = int.from_bytes(flat[i : i + n], "big") * 2654435761 % (1 << 32) >> 19
+                counts[code] = counts.get(code, 0) + 1
+        v = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return [sum(x * float(c[k]) for k, x in v.items()) / length for c in model.centroids]
+
+    for size in (64 << 20, 2 * langid.DIM):  # all centroids at once, and one after another
+        monkeypatch.setattr(langid, "MODEL_BYTES", size)
+        found = {r.doc_id: r for r in langid.identify(docs(spark, texts), model).collect()}
+        for i, t in enumerate(texts):
+            cosines = slow(t)
+            assert model.langs[int(np.argmax(cosines))] == found[i].lang_pred and abs(found[i].score - min(1, max(cosines))) < 1e-4
+
+
+def test_unlearned_language_is_rejected(spark, small):
+    for left_out in ("es", "fr"):
+        model = langid.fit(small.where(~langid.held_out() & (F.col("lang") != left_out)).select("text", "lang"))
+        found = langid.identify(small.where("length(text) > 800"), model).collect()
+        far, own = ([r.rejected for r in found if (r.lang == left_out) == x] for x in (True, False))
+        assert len(far) > 3 and sum(far) >= 0.8 * len(far) and sum(own) <= 0.02 * len(own)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = docs(spark, [f"text {i} " + "long words " * (i * 50) for i in range(80)], ["en"] * 80).select("text", "lang")
+    sizes = [len(r.text) for r in langid.sample_rows(rows, 20, 30_000).collect()]
+    assert 1 <= len(sizes) <= 20 and sum(sizes) < 30_000 + max(sizes)
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------
 
 
