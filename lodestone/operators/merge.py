@@ -153,7 +153,7 @@ def merge_duplicates(snapshot: Snapshot, merges: DataFrame) -> Snapshot:
 
 
 def apply_batch(old: Snapshot, batch: Snapshot, now: Column) -> Snapshot:
-    """All effects of a batch in their order (U-13); applying it twice changes nothing more."""
+    """All effects of a batch on the tables in their order (U-13); applying it twice changes nothing more."""
     companies = upsert(old.companies, batch.companies)
     signals = insert_signals(old.signals, batch.signals, companies)
     out = exclusive(Snapshot(companies, signals, upsert_gaps(old.gaps, batch.gaps)), batch.companies, batch.gaps)
@@ -162,6 +162,35 @@ def apply_batch(old: Snapshot, batch: Snapshot, now: Column) -> Snapshot:
     return Snapshot(companies, signals, out.gaps)
 
 
+@dataclass
+class Ingested:
+    """The tables after a run, its row for the log, and the version that readers' caches go by."""
+
+    snapshot: Snapshot
+    run: DataFrame
+    version: DataFrame
+
+
+def ingest(old: Snapshot, runs: DataFrame, source: str, batch: Snapshot, merges: DataFrame, now: Column, backfill: bool | None = None) -> Ingested:
+    """A whole run of a source: what is new gets its date, the batch is applied, duplicates are folded, the run is logged (U-08 to U-13).
+
+    New rows are dated by the cohort year in a backfill and by today else; it is a backfill if the source has no good run
+    on an earlier day, unless the caller says which it is. `merges` (from, into) are applied after the batch, and the rows
+    that stay are ranked again. batch.companies may have source_year and origin_year; columns that the tables lack go.
+    run: source, started_at, status, records; version: one row, for the caches.
+    """
+    if backfill is None:
+        known = is_backfill(runs.where(F.col("source") == source), F.to_date(now)).first()
+        backfill = known is None or known.backfill
+    fresh = batch.companies.withColumns({c: F.lit(None).cast("int") for c in ("source_year", "origin_year") if c not in batch.companies.columns})
+    fresh = with_first_seen(fresh, F.lit(backfill), F.to_date(now)).select(*[c for c in old.companies.columns if c in {*fresh.columns, "first_seen", "first_seen_basis"}])
+    out = apply_batch(old, Snapshot(fresh, batch.signals, batch.gaps), now)
+    merged = merge_duplicates(out, merges)
+    companies = ranked(merged.companies, merged.signals, now).select(*old.companies.columns)
+    run = batch.companies.agg(F.count("*").alias("records")).select(F.lit(source).alias("source"), now.alias("started_at"), F.lit("ok").alias("status"), "records")
+    return Ingested(Snapshot(companies, merged.signals, merged.gaps), run, run.select(now.cast("string").alias("version")))
+
+
 def owner_merge(rows: DataFrame, groups: dict[str, tuple[str, ...]], order: str = "source_rank") -> DataFrame:
     """One row per id: the first source owns it, and each group of columns comes whole from the first source that has it (A-12, J-27).
 

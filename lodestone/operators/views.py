@@ -220,22 +220,32 @@ FACETS = {
 def facets(base: DataFrame, signals: DataFrame, view: View) -> DataFrame:
     """(facet, value, n): each facet counts under all filters but its own (A-02 to A-06, T-01).
 
-    Facets whose filters coincide share their scan: Spark reuses equal subplans.
+    One scan: a row gives the values of the facets whose other filters it passes, and one aggregation counts them.
     """
     plain = view.without("tiers", "dated", "min_started", "min_registered")
-    of = {k: filtered(base, signals, plain.without(*own)) for k, own in FACETS.items()}
+    sources = signals.groupBy(F.col("company_id").alias("id")).agg(F.collect_set("source").alias("sources"))
     traces = F.when(F.col("trace_count") <= 1, "1").when(F.col("trace_count") == 2, "2").otherwise("3+")
+    none = F.array().cast("array<string>")
     values = {
-        "state": of["state"].select("id", F.coalesce("state", F.lit("")).alias("value")),
-        "subsector": of["subsector"].where("subsector_id is not null").select("id", F.col("subsector_id").alias("value")),
-        "traces": of["traces"].select("id", traces.alias("value")),
-        "said": of["said"].select("id", F.col("said_state").alias("value")),
-        "source": of["source"].join(signals.select(F.col("company_id").alias("id"), F.col("source").alias("value")).distinct(), "id").select("id", "value"),
-        "tag": of["tag"].select("id", F.explode(tag_rows())).select("id", F.col("col").alias("value")),
-        "programmes": of["programmes"].select("id", F.least("programme_count", F.lit(3)).cast("string").alias("value")),
+        "state": F.array(F.coalesce("state", F.lit(""))),
+        "subsector": F.array_compact(F.array("subsector_id")),
+        "traces": F.array(traces),
+        "said": F.array("said_state"),
+        "source": F.coalesce("sources", none),
+        "tag": tag_rows(),
+        "programmes": F.array(F.least("programme_count", F.lit(3)).cast("string")),
     }
-    counted = [rows.groupBy("value").agg(F.count("*").alias("n")).select(F.lit(k).alias("facet"), "value", "n") for k, rows in values.items()]
-    return reduce(DataFrame.union, counted)
+
+    def passes(v: View) -> Column:
+        of_source = [F.coalesce(F.array_contains("sources", v.source), F.lit(False))] if v.source else []
+        return reduce(and_, [*conditions(v), *of_source], F.lit(True))
+
+    def counted(facet: str, own: tuple[str, ...]) -> Column:
+        shown = F.transform(values[facet], lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("value")))
+        return F.when(passes(plain.without(*own)), shown).otherwise(F.array().cast("array<struct<facet:string,value:string>>"))
+
+    rows = base.join(sources, "id", "left").select(F.inline(F.concat(*[counted(k, own) for k, own in FACETS.items()])))
+    return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 def tag_rows() -> Column:

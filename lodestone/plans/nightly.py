@@ -371,3 +371,31 @@ def filter_search_literal_percent(t):
     mark = F.when(F.col("id").endswith("7"), F.concat("name", F.lit(" 1%_"))).when(F.col("id").endswith("8"), F.concat("name", F.lit(" 1xy"))).otherwise(F.col("name"))
     return views.filtered(t.base.withColumn("name", mark), t.signals, views.View(search="1%_")).select("id", "name", "trace_count")
 
+
+
+_RUN = """
+, keyed AS (SELECT *, CAST(substr(id, 2) AS INT) AS k FROM companies),
+held AS (
+  SELECT id, k, k % 3 <> 0 AS had, CASE WHEN k % 3 <> 0 THEN first_seen ELSE CAST(coalesce(founded_year, origin_year) AS STRING) END AS seen,
+    CASE WHEN k % 3 <> 0 THEN first_seen_basis WHEN coalesce(founded_year, origin_year) IS NOT NULL THEN 'cohort' END AS basis FROM keyed WHERE k % 3 <> 0 OR k % 2 = 0),
+events AS (SELECT company_id AS id, min(date) AS event, list(date) FILTER (length(date) = 10) AS days FROM signals WHERE date IS NOT NULL GROUP BY 1),
+first AS (SELECT held.*, event, coalesce(seen, event) AS f, CASE WHEN seen IS NULL AND event IS NOT NULL THEN 'cohort' ELSE basis END AS b, days FROM held LEFT JOIN events USING (id)),
+seen_at AS (
+  SELECT id, k, b, CASE WHEN b = 'cohort' AND length(f) = 4 THEN CASE WHEN len(list_filter(days, lambda d: starts_with(d, f))) > 0 THEN list_min(list_filter(days, lambda d: starts_with(d, f))) ELSE f END ELSE f END AS f FROM first),
+m AS (SELECT id AS src, 'c' || CAST(k - 4 AS STRING) AS dst FROM seen_at WHERE k % 30 = 5 AND 'c' || CAST(k - 4 AS STRING) IN (SELECT id FROM seen_at)),
+best AS (SELECT dst, arg_min(f, {'a': f, 'b': b}) AS f, arg_min(b, {'a': f, 'b': b}) AS b FROM m JOIN seen_at ON src = id WHERE f IS NOT NULL GROUP BY dst)
+"""
+
+
+@query(_RUN + """SELECT id, CASE WHEN best.f IS NOT NULL AND (seen_at.f IS NULL OR best.f < seen_at.f) THEN best.f ELSE seen_at.f END AS first_seen,
+CASE WHEN best.f IS NOT NULL AND (seen_at.f IS NULL OR best.f < seen_at.f) THEN best.b ELSE seen_at.b END AS first_seen_basis
+FROM seen_at LEFT JOIN best ON id = dst WHERE id NOT IN (SELECT src FROM m)""")
+def ingest_run(t):
+    """U-08 to U-13: a source's first run, with what it makes of the dates of new, dated and merged rows."""
+    k = F.substring("id", 2, 9).cast("int")
+    whole = t.companies.withColumns({"product_status": F.lit(None).cast("string"), "website_identity": F.lit(None).cast("string"), "trace_count": F.lit(0), "outside_count": F.lit(0), "other_count": F.lit(0), "tier": F.lit("C")})
+    nothing = t.gaps.limit(0)
+    old = merge.Snapshot(whole.where(k % 3 != 0), t.signals, nothing)
+    batch = merge.Snapshot(whole.where(k % 2 == 0).withColumn("source_year", F.col("founded_year")), t.signals.limit(0), nothing)
+    merges = t.companies.where(k % 30 == 5).select(F.col("id").alias("from"), F.concat(F.lit("c"), k - 4).alias("into"))
+    return merge.ingest(old, t.runs, "sine-iitb", batch, merges, t.now).snapshot.companies.select("id", "first_seen", "first_seen_basis")

@@ -150,6 +150,25 @@ def test_batch_twice_is_once(spark, tmp_path):
     assert placed.join(gaps, placed.id == gaps.company_id).count() == 0
 
 
+def test_whole_run(spark):
+    t = Tables(spark, SMALL)
+    whole = snapshot_of(t)
+    batch = merge.Snapshot(whole.companies.where("id in ('c1', 'c2', 'c3')"), whole.signals.limit(0), whole.gaps.limit(0))
+    old = merge.Snapshot(whole.companies.where("id = 'c1'"), whole.signals.limit(0), whole.gaps.limit(0))
+    runs = spark.sql("select 'a' as source, timestamp'2001-07-01' as started_at, 'ok' as status union all select 'b', timestamp'2001-08-01', 'ok' union all select 'c', timestamp'2001-07-01', 'failed'")
+    merges = spark.createDataFrame([("c3", "c1"), ("c2", "nowhere")], "from string, into string")
+    before = {r.id: r for r in whole.companies.where("id in ('c1', 'c2', 'c3')").collect()}
+    for source, backfill in (("a", False), ("b", True), ("c", True), ("new", True)):
+        done = merge.ingest(old, runs, source, batch, merges, t.now)
+        rows = {r.id: r for r in done.snapshot.companies.collect()}
+        assert set(rows) == {"c1", "c2"}
+        year = before["c2"].origin_year
+        assert (rows["c2"].first_seen, rows["c2"].first_seen_basis) == ((str(year) if year else None, "cohort" if year else None) if backfill else ("2001-08-01", "discovered"))
+        run = done.run.first()
+        assert (run.source, run.status, run.records) == (source, "ok", 3) and done.version.first().version.startswith("2001-08-01")
+    assert merge.ingest(old, runs, "a", batch, merges, t.now, backfill=True).snapshot.companies.where("first_seen = '2001-08-01' and id = 'c2'").count() == 0
+
+
 def test_upsert_rules(spark):
     schema = "id string, name string, description string, website string, website_identity string, product string, origin_year int, first_seen string, classify_basis string"
     old = spark.createDataFrame([("a", "A", "Real text", "https://a", "verified", "P", 2001, "2020", "description"), ("b", "B", None, None, None, None, None, None, None)], schema)
