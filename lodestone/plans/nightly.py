@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import awards, dates, entity, tags, text
+from lodestone.functions import awards, dates, entity, said, tags, text
 from lodestone.operators import merge, steps, views
+from lodestone.plans import export
 from lodestone.plans.catalog import query
 from lodestone.plans.proxies import Tables
 
@@ -399,3 +400,35 @@ def ingest_run(t):
     batch = merge.Snapshot(whole.where(k % 2 == 0).withColumn("source_year", F.col("founded_year")), t.signals.limit(0), nothing)
     merges = t.companies.where(k % 30 == 5).select(F.col("id").alias("from"), F.concat(F.lit("c"), k - 4).alias("into"))
     return merge.ingest(old, t.runs, "sine-iitb", batch, merges, t.now).snapshot.companies.select("id", "first_seen", "first_seen_basis")
+
+
+def _cell(x: str) -> str:
+    return f"""'"' || replace(coalesce(CASE WHEN regexp_matches({x}, '^[=+@\\t\\r-]') THEN '''' || {x} ELSE {x} END, ''), '"', '""') || '"'"""
+
+
+_CELLS = {c: "NULL::VARCHAR" for c in export.COLUMNS} | {c: c for c in ("name", "website", "website_identity", "founders", "dpiit_status", "city", "state", "tier")} | {
+    "builds": "product",
+    "builds_from": f"CASE WHEN product <> '' THEN '{export.OWN_HOMEPAGE.replace(chr(39), chr(39) * 2)}' END",
+    "source_description": f"CASE WHEN description LIKE 'DPIIT-recognised startup.%' THEN CASE dpiit_status {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in said.STATUS_PHRASES.items())} ELSE 'On the DPIIT Startup India register' END || '.' || substr(description, 26) ELSE description END",
+    "website_looked_for": "CASE WHEN website_checked THEN 'yes' ELSE 'no' END",
+    "contact_email": "CASE WHEN website_identity = 'verified' THEN contact_email END",
+    "contact_page": "CASE WHEN website_identity = 'verified' THEN contact_page END",
+    "build_tags": "array_to_string(build_tags, '; ')",
+    "domain_tags": "array_to_string(domain_tags, '; ')",
+    "programme_count": "CAST(programme_count AS VARCHAR)",
+    "rdi_sector": "sector_id",
+    "rdi_subsector": "subsector_id",
+    "placed_from": "classify_basis",
+    "public_traces": "CAST(trace_count AS VARCHAR)",
+    "on_record": "first_seen",
+    "on_record_basis": "first_seen_basis",
+    "started": "CAST(coalesce(origin_year, founded_year) AS VARCHAR)",
+    "page": "'https://x.example/c/' || id",
+}
+
+
+@query(f"SELECT id, {' || chr(44) || '.join(_cell(f'({_CELLS[c]})') for c in export.COLUMNS)} AS line FROM (SELECT * REPLACE (CASE WHEN id LIKE '%3' THEN '=\"' || name || '\"' ELSE name END AS name) FROM base)")
+def csv_export(t):
+    """K-04: all 41 columns, with quotes and formulas in some names."""
+    name = F.when(F.col("id").endswith("3"), F.concat(F.lit('="'), "name", F.lit('"'))).otherwise(F.col("name"))
+    return export.lines(t.base.withColumn("name", name), "https://x.example")

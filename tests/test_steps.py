@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import awards
 from lodestone.operators import link, steps
+from lodestone.plans import export
 from tests.test_engine import values
 
 
@@ -104,3 +105,13 @@ def test_near_names_with_a_typo_in_the_first_word(spark):
     rows = spark.createDataFrame([("1", "Akme Labs"), ("2", "Acme Labs"), ("3", "Acme Lab"), ("4", "Bolt Works"), ("5", None), ("6", "a"), ("7", "")], "id string, name string")
     found = sorted(tuple(r) for r in steps.near_duplicate_pairs(rows).collect())
     assert found == [("1", "2"), ("1", "3"), ("2", "3"), ("6", "7")]
+
+
+def test_export_file(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1, '=1"', None), ("a", 0, "né", "verified")], "id string, pos int, name string, website_identity string").withColumns({"product": F.lit("x"), "contact_email": F.lit("a@b.example")})
+    export.write(rows, "https://x.example", str(tmp_path / "out"))
+    text = "".join(p.read_text(encoding="utf-8", newline="") for p in sorted((tmp_path / "out").glob("part-*")))
+    lines = text.split("\r\n")
+    assert lines[0].startswith('\ufeff"name","builds"') and lines[0].count('","') == 40 and lines[3] == ""
+    assert lines[1].startswith('"né","x","the company\'s own homepage"') and '"a@b.example"' in lines[1] and lines[1].endswith('"https://x.example/c/a"')
+    assert lines[2].startswith('"\'=1"""') and "a@b.example" not in lines[2]
