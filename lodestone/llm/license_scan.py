@@ -17,11 +17,13 @@ from __future__ import annotations
 import math
 import string
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import Workspace
+
 #: Phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Share of a template's distinct tokens that a block must hold.
@@ -63,47 +65,40 @@ def rows(spark: SparkSession, values: list[tuple], names: list[str]) -> DataFram
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(keys of docs, tokens): the distinct words of every line that has any."""
-    line = docs.select("doc_id", "row", F.explode(F.split("spaced", "\n")).alias("line"))
-    return line.select("doc_id", "row", F.array_distinct(words(F.col("line"))).alias("tokens")).where(F.size("tokens") > 0)
+def sizes(templates, containment: float) -> list[tuple[int, str, list[str], int, int]]:
+    """(number, label, distinct tokens, how many must be there, words of a window) of each template."""
+    clean = str.maketrans({c: " " for c in BETWEEN + "\n"})
+    return [(k, label, tokens, math.ceil(containment * len(tokens) - 1e-9), math.ceil(len(text.translate(clean).split()) / containment - 1e-9)) for k, ((label, tokens), (_, text)) in enumerate(zip(template_tokens(templates), templates, strict=True))]
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, row, label, template, score): every block and template that meet the threshold. docs: doc_id, row, spaced."""
-    spark, parsed = docs.sparkSession, template_tokens(templates)
-    vocabulary = sorted({t for _, own in parsed for t in own})
-    held = rows(spark, [(t,) for t in vocabulary], ["token"])
+def matches(read: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, row, label, template, score): every block and template that meet the threshold. read: doc_id, row, blocks."""
+    spark, parsed = read.sparkSession, sizes(templates, containment)
+    vocabulary = sorted({t for _, _, own, _, _ in parsed for t in own})
+    blocks = read.select("doc_id", "row", F.explode("blocks").alias("tokens"))
     # spread the tokens' counts over the whole table
-    seen = {r.token: r.n for r in blocks(docs).select(F.explode("tokens").alias("token")).join(F.broadcast(held), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    seen = {r.token: r.n for r in read.select(F.explode("blocks").alias("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda t: (seen.get(t, 0), t))
     place = {t: i for i, t in enumerate(order)}
     prefixes = []
-    for k, (label, own) in enumerate(parsed):
+    for k, label, own, need, _ in parsed:
         own = sorted(own, key=place.get)
-        need = math.ceil(containment * len(own) - 1e-9)
         prefixes += [(t, k, label, own, need, len(own) - i, order[place[t] + 1 :]) for i, t in enumerate(own[: len(own) - need + 1])]
     prefix = rows(spark, prefixes, ["token", "template", "label", "own", "need", "left", "later"])
-    found = blocks(docs).select("doc_id", "row", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(prefix), "token")
+    found = blocks.select("doc_id", "row", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(prefix), "token")
     found = found.where(F.size("tokens") >= F.col("need")).where(1 + F.least(F.col("left") - 1, F.size(F.array_intersect("tokens", "later"))) >= F.col("need"))
     overlap = F.size(F.array_intersect("tokens", "own"))
     return found.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "row", "label", "template", (F.col("overlap") / F.size("own")).alias("score"))
 
 
-def wrapped(own: DataFrame, lines: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """Matches of `templates` in windows across line feeds, where `lines` (the matches within lines) has none. own: doc_id, row, words."""
-    parsed = template_tokens(templates)
-    clean = str.maketrans({c: " " for c in BETWEEN + "\n"})
-    values = [(k, label, tokens, math.ceil(containment * len(tokens) - 1e-9), math.ceil(len(text.translate(clean).split()) / containment - 1e-9)) for k, ((label, tokens), (_, text)) in enumerate(zip(parsed, templates, strict=True))]
-    constants = rows(own.sparkSession, values, ["template", "label", "own", "need", "span"])
-    vocabulary = F.array(*map(F.lit, sorted({t for _, tokens in parsed for t in tokens})))
-    least = min((v[3] for v in values), default=1)
-    near = own.select("doc_id", "row", "words", F.array_intersect("words", vocabulary).alias("seen")).where(F.size("seen") >= least)
-    near = near.join(F.broadcast(constants), F.size(F.array_intersect("seen", "own")) >= F.col("need"))
+def wrapped(read: DataFrame, lines: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """Matches of `templates` in windows across line feeds, where `lines` (the matches within lines) has none. read: doc_id, row, wrapped."""
+    constants = rows(read.sparkSession, sizes(templates, containment), ["template", "label", "own", "need", "span"])
+    near = read.where("wrapped is not null").join(F.broadcast(constants), F.size(F.array_intersect("wrapped", "own")) >= F.col("need"))
     done = lines.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("template").alias("t")).distinct()
     near = near.join(done, near.doc_id.eqNullSafe(done.d) & (near.row == done.r) & (near.template == done.t), "left_anti")
-    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("own", F.get("words", i - 1)))
-    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), "own"))))
+    starts = F.filter(F.sequence(F.lit(1), F.size("wrapped")), lambda i: F.array_contains("own", F.get("wrapped", i - 1)))
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("wrapped", i, F.col("span")), "own"))))
     return near.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "row", "label", "template", (F.col("overlap") / F.size("own")).alias("score"))
 
 
@@ -120,7 +115,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PH
     a null id is an id like any other. Other columns of docs are not read.
     """
     held = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), spaced(F.col(text)).alias("spaced"))
-    own = held.withColumn("words", words(F.translate("spaced", "\n", " ")))
+    parsed = sizes(templates, containment)
+    vocabulary = F.array(*map(F.lit, sorted({t for _, _, own, _, _ in parsed for t in own}))).cast("array<string>")
+    least = min((need for *_, need, _ in parsed), default=1)
+    # each text is cut into words once: the lines that may match, and the words of texts that may hold a wrapped notice
+    own = held.withColumn("lines", F.transform(F.split("spaced", "\n"), words))
+    blocks = F.filter(F.transform("lines", lambda x: F.array_intersect(x, vocabulary)), lambda x: F.size(x) >= least)
+    own = own.select("doc_id", "row", "spaced", F.flatten("lines").alias("words"), blocks.alias("blocks")).withColumn("seen", F.array_intersect("words", vocabulary))
+    near = reduce(or_, [F.size(F.array_intersect("seen", F.array(*map(F.lit, tokens)))) >= need for _, _, tokens, need, _ in parsed], F.lit(False))
     places = []
     for phrase in phrases:
         want = phrase.split()
@@ -129,12 +131,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PH
         nothing = F.array().cast("array<int>")
         here = F.contains("spaced", F.lit(want[-1])) & (F.size("words") >= len(want))
         places.append(F.when(here, F.filter(starts, stands)).otherwise(nothing))
-    base = own.select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)])
+    read = own.select("doc_id", "row", F.size("words").cast("bigint").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)], "blocks", F.when(near, F.col("words")).alias("wrapped"))
+    read = Workspace(docs.sparkSession, "licenses").table(read)
     at = F.concat(*[F.col(f"p{k}") for k in range(len(places))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, label) for k, label in enumerate(phrases.values())]))
-    base = base.select("doc_id", "row", "n_words", F.size(at).cast("bigint").alias("n_base"), F.array_min(at).cast("bigint").alias("first_word"), F.array_max(at).cast("bigint").alias("last_word"), labels.alias("base"))
-    lines = matches(held, templates, containment)
-    found = lines.union(wrapped(own, lines, templates, containment)).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    base = read.select("doc_id", "row", "n_words", F.size(at).cast("bigint").alias("n_base"), F.array_min(at).cast("bigint").alias("first_word"), F.array_max(at).cast("bigint").alias("last_word"), labels.alias("base"))
+    lines = matches(read, templates, containment)
+    found = lines.union(wrapped(read, lines, templates, containment)).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "more", "best")
     both = base.join(found, base.doc_id.eqNullSafe(found.d) & (base.row == found.r), "left")
     text_of = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")

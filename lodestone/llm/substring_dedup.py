@@ -275,19 +275,43 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return joined.mapInArrow(run, schema)
 
 
+def reference_shards(reference: DataFrame, text: str, least: int) -> DataFrame:
+    """(pieces): the reference's texts in shards of at most REFERENCE_WORDS words.
+
+    A longer text is cut into pieces that have least - 1 words in common, so each run of `least` words is in one piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in slices(batches, text):
+            for x in raw(batch, text):
+                words = x.split()
+                for i in range(0, max(1, len(words) - least + 1), REFERENCE_WORDS - least + 1):
+                    piece = words[i : i + REFERENCE_WORDS]
+                    if held and total + len(piece) > REFERENCE_WORDS:
+                        yield pa.RecordBatch.from_pydict({"pieces": pa.array([held], pa.list_(pa.string()))})
+                        held, total = [], 0
+                    held.append(b" ".join(piece).decode())
+                    total += len(piece)
+        if held:
+            yield pa.RecordBatch.from_pydict({"pieces": pa.array([held], pa.list_(pa.string()))})
+
+    return reference.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "pieces array<string>")
+
+
 def remove_reference(docs: DataFrame, reference: DataFrame, text: str = "text", least: int = WINDOW) -> DataFrame:
     """docs with `kept`: texts without the maximal spans of `least` or more words that occur in a reference text.
 
-    The reference (column text) is dealt into shards of about REFERENCE_WORDS words. Each shard's automaton is built
-    from one broadcast and streams all documents, so this is for a reference that is small against the documents.
+    The reference (column text) is dealt into shards of REFERENCE_WORDS words at most. Each shard is broadcast, its
+    automaton is built once a task and streams all documents, so this is for a reference that is small against the
+    documents. A null text gives null; a column named kept is replaced. Both tables may be empty.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "reference")
-    held = reference.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    n = 1 + (held.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) // REFERENCE_WORDS
-    out = docs.withColumn("__gone", F.array().cast("array<int>"))
+    work = Workspace(docs.sparkSession, "reference")
+    shards = work.table(reference_shards(reference, text, least))
+    out = docs.drop(*({"kept"} - {text})).withColumn("__gone", F.array().cast("array<int>"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    for s in range(n):
-        sent = spark.sparkContext.broadcast(sorted(r.text for r in held.where(F.pmod(F.xxhash64("text"), F.lit(n)) == s).collect()))
+    for s, shard in enumerate(shards.toLocalIterator()):
+        sent = docs.sparkSession.sparkContext.broadcast(shard.pieces)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton()
@@ -296,16 +320,25 @@ def remove_reference(docs: DataFrame, reference: DataFrame, text: str = "text",
             for batch in slices(batches, text):
                 gone = []
                 for x, before in zip(raw(batch, text), batch.column("__gone").to_pylist(), strict=True):
-                    hit = {i - k for i, (_, m) in enumerate(automaton.stream((x or b"").split())) if m >= least for k in range(least)}
-                    gone.append(sorted(hit.union(before)))
+                    ends = [i for i, (_, m) in enumerate(automaton.stream((x or b"").split())) if m >= least]
+                    gone.append(sorted({*before, *(i - least + 1 for i in ends)}))  # where removed runs begin
                 yield batch.set_column(batch.schema.get_field_index("__gone"), "__gone", pa.array(gone, pa.list_(pa.int32())))
 
         out = out.mapInArrow(run, schema)
         if s % 4 == 3:
             out = work.table(out)
 
-    @F.pandas_udf("string")
-    def keep(x, gone):
-        return x.combine(gone, lambda t, g: None if t is None else b" ".join(w for i, w in enumerate(t.encode().split()) if i not in set(g)).decode())
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            kept = []
+            for x, starts in zip(raw(batch, text), batch.column("__gone").to_pylist(), strict=True):
+                words = (x or b"").split()
+                cover = np.zeros(len(words) + 1, np.int64)
+                np.add.at(cover, np.array(starts, np.int64), 1)
+                np.add.at(cover, np.array(starts, np.int64) + least, -1)
+                kept.append(None if x is None else b" ".join(words[i] for i in np.nonzero(np.cumsum(cover)[:-1] == 0)[0]))
+            cols = {n: batch.column(n) for n in batch.schema.names if n != "__gone"}
+            yield pa.RecordBatch.from_pydict(cols | {"kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return out.withColumn("kept", keep(F.col(text), "__gone")).drop("__gone")
+    final = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "__gone"] + ["kept string"])
+    return out.mapInArrow(keep, final)

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out accuracy, with odd rows."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -293,6 +294,30 @@ def test_reference_spans(spark):
     text = f"start {' '.join(passage.split()[5:40])} end"
     out = substring_dedup.remove_reference(docs(spark, [text, passage[:30], None]), docs(spark, [passage, None]))
     assert [r.kept for r in out.orderBy("doc_id").collect()] == ["start end", passage[:30], None]
+    assert substring_dedup.remove_reference(docs(spark, []), docs(spark, [passage])).count() == 0
+    assert [r.kept for r in substring_dedup.remove_reference(docs(spark, ["a  b"]).withColumn("kept", F.lit(1)), docs(spark, [])).collect()] == ["a b"]
+
+
+def test_reference_shards_by_brute_force(spark, monkeypatch):
+    """A reference text that is cut, several shards, overlapping spans."""
+    monkeypatch.setattr(substring_dedup, "REFERENCE_WORDS", 60)
+    rng = random.Random(10)
+    reference = sentences(rng, 3, 200, 300) + sentences(rng, 4, 25, 300) + [None, "", "short"]
+    texts = [*ODD]
+    for _ in range(30):
+        words = sentences(rng, 1, 40, 300)[0].split()
+        own = rng.choice(reference[:7]).split()
+        a = rng.randrange(len(own))
+        words[7:7] = own[a : a + rng.randrange(5, 90)]
+        texts.append(" ".join(words))
+    grams = {tuple(w[i : i + 20]) for x in reference if x for w in [x.split()] for i in range(len(w) - 19)}
+    shards = [r.pieces for r in substring_dedup.reference_shards(docs(spark, reference), "text", 20).collect()]
+    assert all(sum(len(x.split()) for x in p) <= 60 for p in shards)
+    found = {r.doc_id: r.kept for r in substring_dedup.remove_reference(docs(spark, texts), docs(spark, reference)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = {k for s in range(len(words) - 19) if tuple(words[s : s + 20]) in grams for k in range(s, s + 20)}
+        assert found[i] == (None if t is None else " ".join(w for k, w in enumerate(words) if k not in gone))
 
 
 # 4 ----------------------------------------------------------------------------------------------------------------
@@ -393,20 +418,32 @@ def test_decontamination_brute_force(spark, block, monkeypatch):
         texts.append(" ".join(words).upper() if i % 3 else " ".join(words))
     texts += [" ".join(reversed(items[0].split())), items[1] + " " + items[1]]
     bench = spark.createDataFrame([*enumerate(items), (3, "w1 other words")], "item_id bigint, text string")
+    texts += texts[-3:]
     found = {r.doc_id: r for r in decontaminate.find_matches(docs(spark, texts).withColumn("hits", F.lit(1)), bench).collect()}
     assert len(found) == len(texts)
+    spread = collections.Counter(w for t in texts for w in lower_words(t))
+
+    def near(words, window):
+        """The window's rarest terms, by counts over all documents, stand around a place of the rarest."""
+        own = sorted(range(len(window)), key=lambda k: (spread[window[k]], k))[: decontaminate.RARE]
+        places = [[i for i, w in enumerate(words) if w == window[k]] for k in own]
+        return any(all(any(abs(q - p) <= decontaminate.SLOP for q in x) for x in places[1:]) for p in places[0])
+
     for d, t in enumerate(texts):
-        words, hit, ids = lower_words(t), set(), set()
+        words, hit, ids, close = lower_words(t), set(), set(), set()
         for i, x in [*enumerate(items), (3, "w1 other words")]:
             own = lower_words(x)
             size = min(10, len(own))
             wanted = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if own else set()
+            close |= {str(i) for w in wanted if near(words, w)}
             for s in range(len(words) - size + 1):
                 if tuple(words[s : s + size]) in wanted:
                     hit |= set(range(s, s + size))
                     ids.add(str(i))
         assert (found[d].n_words, found[d].hits, found[d].items) == (len(words), sorted(hit), sorted(ids)), d
         assert set(found[d].items) <= set(found[d].near_items)
+        if block > 300:  # one block: the counts of all terms are known together
+            assert found[d].near_items == sorted(close), d
     empty = decontaminate.find_matches(docs(spark, ["w1 w2"]), bench.limit(0)).collect()
     assert empty[0].hits == [] and decontaminate.find_matches(docs(spark, []), bench).count() == 0
 
@@ -527,6 +564,31 @@ def test_other_vocabulary():
     assert [memoryview(x).cast("I").tolist() for x in codec.encode(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
+def test_repeated_rows_and_slices(spark, monkeypatch):
+    """Rows that repeat id and text, null ids, and texts longer than a slice, in the operators that keep every row."""
+    from lodestone.llm import common
+
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(500)} it's {i}" for i in range(3000))
+    texts = ["same text of the MIT License", "same text of the MIT License", long, long, None, ""]
+    rows = docs(spark, texts, ids=[7, 7, 8, None, None, 9]).repartition(1)
+    plain = bpe.encode_decode(rows, RANKS, PATTERN).collect()
+    edits = F.array(F.struct(F.lit(-5).alias("start"), F.lit(1 << 30).alias("length"), F.lit("x").alias("insert")))
+    counts = token_counts.count_with_edits(rows.withColumn("edits", edits), RANKS, PATTERN).collect()
+    monkeypatch.setattr(common.slices, "__defaults__", ("text", 1000))
+    assert sorted(map(str, bpe.encode_decode(rows, RANKS, PATTERN).collect())) == sorted(map(str, plain))
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    for found in (plain, counts):
+        assert sorted(r.n_tokens for r in found) == sorted(len(encoding.encode_ordinary(t or "")) for t in texts)
+    assert all(r.n_tokens_edited == 1 for r in counts)
+    scanned = license_scan.scan(rows).collect()
+    assert len(scanned) == len(texts) and sorted(str(r.doc_id) for r in scanned) == sorted(map(str, [7, 7, 8, None, None, 9]))
+    assert [(r.n_base, r.labels) for r in scanned if r.doc_id == 7] == [(1, "mit")] * 2
+    assert len(decontaminate.find_matches(rows, spark.createDataFrame([(1, "the mit license")], "item_id int, text string")).where("size(hits) = 3").collect()) == 2
+    placed = sharding.place(docs(spark, ["x"] * 3, ids=[1, 1, 2]).withColumn("key", F.lit("é" * 20_000)), ["key"], ["a", "b"]).collect()
+    assert len({(r.slot, r.shard) for r in placed}) == 1 and len(placed) == 3
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------
 
 

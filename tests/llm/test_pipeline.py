@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -73,6 +74,31 @@ def test_encoding_stage(stages):
     assert all(after[i].decoded_sha256 == hashlib.sha256(before[i].text.encode()).hexdigest() for i in before)
 
 
+def test_run_is_the_stages_in_order(spark, stages):
+    found = rows(corpus_pipeline.run(spark, SMALL))
+    assert found == rows(stages[-1])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows(spark, stages, stage):
+    """Null ids and texts, repeated rows, an empty table, and a column that clashes with the stage's own."""
+    name, run = corpus_pipeline.STAGES[stage]
+    some = stages[0].where("doc_id < 40")
+    odd = spark.createDataFrame([(None, "the text of a row without an id", "en", "s", 31)] * 2 + [(1001, None, None, None, None), (1002, "", "en", "s", 0), (1003, " \n ", None, "s", 3)], some.schema)
+    docs = some.union(some.where("doc_id < 5")).union(odd)
+    for extra in ("score", "rejected", "n_removed", "n_tokens", "hits", "component_id", "kept"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    found = run(spark, docs, SMALL)
+    assert found.columns == (["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] if stage == 4 else list(corpus_pipeline.COLUMNS))
+    ids = [r.doc_id for r in found.select("doc_id").collect()]
+    assert set(ids) <= {*(r.doc_id for r in docs.select("doc_id").collect())}
+    lost = {"language_id": {1001, 1002, 1003}, "line_dedup": set(), "simhash_near_dedup": {1002, 1003}, "decontamination": set(), "byte_level_bpe": set()}[name]
+    assert not lost & set(ids) and (ids.count(None) == 2) == (stage in (0, 1, 2, 3, 4))
+    if stage in (1, 3, 4):
+        assert {1001, 1002, 1003} <= set(ids) or stage == 1
+    assert run(spark, docs.limit(0), SMALL).count() == 0
+
+
 def test_registration(spark):
     known = __spark_entry__.queries()
     assert [sum(k.startswith(f"op{n}_") for k in known) for n in range(1, 11)] == [1] * 10 and "pipeline" in known
