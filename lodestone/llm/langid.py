@@ -25,6 +25,8 @@ from lodestone.llm.common import Workspace, slices
 DIM = 1 << 13
 #: Labelled rows that the classifier is fitted on, at most, per language, and the bytes of text after which no more are taken.
 SAMPLE, SAMPLE_BYTES = 600, 16 << 20
+#: Languages up to which their counts are broadcast.
+FEW = 10_000
 #: Bytes of centroids that are broadcast at a time; more languages are compared block after block.
 MODEL_BYTES = 64 << 20
 #: Centroids per language, rounds of k-means, and the share of a language's sample that a centroid must hold.
@@ -126,7 +128,9 @@ def sample_rows(rows: DataFrame, per_lang: int = SAMPLE, most: int = SAMPLE_BYTE
 
     About twice that many rows are shuffled, copies once a task.
     """
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = Workspace(rows.sparkSession, "languages").table(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if counts.limit(FEW + 1).count() <= FEW:
+        counts = F.broadcast(counts)  # else texts would be shuffled to meet their counts
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
     drawn = rows.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") * F.col("n") < 2 * per_lang).select("text", "lang", "draw").distinct()
     order = Window.partitionBy("lang").orderBy("draw", "text")
