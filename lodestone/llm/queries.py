@@ -1,4 +1,4 @@
-"""The queries of the ten operators, as `__spark_entry__.py` registers them."""
+"""The queries of the operators, as `__spark_entry__.py` registers them."""
 
 from __future__ import annotations
 
@@ -99,6 +99,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.conversations import repair_damaged
+
+    found = repair_damaged(table(spark, sf_dir, "conversations"))
+    return found.withColumn("repaired_sha256", F.sha2(F.col("repaired").cast("binary"), 256)).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_id,
@@ -111,5 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_top_k,
         op9_bpe_roundtrip,
         op10_simhash_near_dedup,
+        op11_embedding_whitening,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
