@@ -105,6 +105,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.conversations import repair_damaged
 
@@ -125,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_bpe_roundtrip,
         op10_simhash_near_dedup,
         op11_embedding_whitening,
+        op12_suffix_array_dedup,
         op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
