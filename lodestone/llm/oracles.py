@@ -48,6 +48,69 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY rank <= 5
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS s FROM d),
+wins AS (SELECT doc_id, s, md5_number(substring(h, 2 * s + 1, 800)) AS k FROM places),
+again AS (SELECT doc_id, s FROM wins JOIN (SELECT k FROM wins GROUP BY k HAVING count(*) > 1) USING (k)),
+cut AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER w <= 400 THEN 0 ELSE 1 END AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM cut),
+runs AS (SELECT doc_id, r, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+per AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS z, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS t
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(t, '') || substring(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256))::UBIGINT AS n)),
+raws AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+keys AS (SELECT k, list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::UBIGINT)) AS b FROM (SELECT DISTINCT k FROM raws)),
+hashed AS (SELECT k, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 20 AS h FROM keys, tab),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT raws.*, h, unnest(CASE WHEN h = 0 THEN [] WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raws JOIN hashed USING (k))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM hurt),
+t AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS r, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) NOT IN ('su', 'ua', 'au') AS wrong FROM placed),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (wrong) AS illegal, max(i) AS n FROM t GROUP BY conv_id),
+-- paths: after i turns, in state s, the best edits; the states are those of (s?(ua)+)?, and `before` inserts come in front of a turn
+start AS (SELECT conv_id, 0::BIGINT AS i, s, cost, audit, said FROM sums, (VALUES (0, 0, '', []::VARCHAR[]), (2, 5, 'I', ['user:']), (3, 10, 'II', ['user:', 'assistant:'])) v(s, cost, audit, said)),
+steps AS (
+  SELECT * FROM start
+  UNION ALL
+  SELECT conv_id, i, s, m.cost, m.audit, m.said FROM (
+    SELECT conv_id, i, s, min({'cost': cost, 'audit': audit, 'said': said}) AS m FROM (
+      SELECT conv_id, i, unnest(more, recursive := true) FROM (
+        SELECT conv_id, i, list_concat(moved,
+            -- one insert behind the turn, and two from a state without u and a
+            list_transform(list_filter(moved, lambda x: x.s <> 2), lambda x: {'s': 2, 'cost': x.cost + 5, 'audit': x.audit || 'I', 'said': list_append(x.said, 'user:')}),
+            list_transform(list_filter(moved, lambda x: x.s < 2), lambda x: {'s': 3, 'cost': x.cost + 10, 'audit': x.audit || 'II', 'said': list_append(list_append(x.said, 'user:'), 'assistant:')}),
+            list_transform(list_filter(moved, lambda x: x.s = 2), lambda x: {'s': 3, 'cost': x.cost + 5, 'audit': x.audit || 'I', 'said': list_append(x.said, 'assistant:')})) AS more
+        FROM (
+          SELECT p.conv_id, t.i, list_filter([
+            {'s': p.s, 'cost': p.cost + 2, 'audit': p.audit || 'D', 'said': p.said},
+            CASE WHEN t.fault NOT IN ('blank', 'duplicate') AND CASE t.r WHEN 's' THEN p.s = 0 WHEN 'u' THEN p.s <> 2 WHEN 'a' THEN p.s = 2 ELSE false END
+              THEN {'s': CASE t.r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': p.cost + CASE WHEN t.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': p.audit || 'K', 'said': list_append(p.said, t.role || ':' || t.text)} END,
+            CASE WHEN t.fault NOT IN ('blank', 'duplicate')
+              THEN {'s': CASE WHEN p.s = 2 THEN 3 ELSE 2 END, 'cost': p.cost + CASE WHEN t.fault = 'truncated' THEN 6 ELSE 1 END, 'audit': p.audit || 'R',
+                'said': list_append(p.said, CASE WHEN p.s = 2 THEN 'assistant' ELSE 'user' END || ':' || t.text)} END], lambda x: x IS NOT NULL) AS moved
+          FROM steps p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = p.i + 1))) GROUP BY conv_id, i, s)),
+best AS (SELECT sums.conv_id, min({'cost': cost, 'audit': audit, 'said': said}) AS m FROM steps JOIN sums ON steps.conv_id IS NOT DISTINCT FROM sums.conv_id AND steps.i = sums.n WHERE s IN (0, 3) GROUP BY sums.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(m.cost, 0)::BIGINT AS cost, coalesce(m.audit, '') AS audit, sha256(coalesce(array_to_string(m.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
 
 def strings(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -75,4 +138,4 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN united USING (doc_id) LEFT JOIN be
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3, "op4_license_scan": op4(), "op6_decontaminate": OP6, "op8_exact_top_k": OP8}
+    return {"op3_substring_dedup": OP3, "op4_license_scan": op4(), "op6_decontaminate": OP6, "op8_exact_top_k": OP8, "op12_suffix_array_dedup": OP12, "op13_conversation_repair": OP13}
