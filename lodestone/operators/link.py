@@ -96,13 +96,17 @@ def affiliations(needles: DataFrame, parts: DataFrame) -> DataFrame:
     "the" joins nothing; the containment is checked after it. needles: id, needle; parts: part_id, text; both of words
     joined by one space.
     """
-    words = parts.select("part_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     own = needles.select("id", "needle", F.explode(F.array_distinct(F.split("needle", " "))).alias("word"))
-    spread = words.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    # (part, word) of words that a needle has: no text is joined until the parts of a needle are known
+    words = parts.select("part_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(own.select("word").distinct(), "word", "left_semi")
+    words = stored(words.distinct())
+    spread = words.groupBy("word").agg(F.count("*").alias("n"))
     rare = F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))
     keyed = own.join(spread, "word", "left").groupBy("id", "needle").agg(rare.alias("rare")).select("id", "needle", F.col("rare.word").alias("word"))
-    texts = parts.select("part_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    found = keyed.join(texts, "word").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "needle", F.lit(" "))))
+    near = words.join(keyed, "word").groupBy("part_id").agg(F.collect_set(F.struct("id", "needle")).alias("asked"))
+    text = F.concat(F.lit(" "), "text", F.lit(" "))
+    held = F.filter("asked", lambda a: F.contains(text, F.concat(F.lit(" "), a["needle"], F.lit(" "))))
+    found = parts.join(near.hint("shuffle_merge"), "part_id").select("part_id", F.explode(held).alias("a")).select("a.id", "part_id")
     return found.select("id", "part_id").distinct()
 
 

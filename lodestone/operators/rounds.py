@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that plans stay short and a lost executor costs a reread.
+    """df written as Parquet under the checkpoint folder, so that plans stay short and a lost executor costs a reread.
 
     Where `spark.checkpoint.dir` is unset, a local master gets a temporary folder (tests); a cluster gets an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+        root = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -40,7 +40,7 @@ base AS (
     e.incorporated_year AS registry_year, coalesce(e.reg_status IN ('Strike Off', 'Under Process of Striking Off', 'Dissolved', 'Amalgamated'), false) AS struck,
     coalesce(e.incorporated_year, least(origin_year, founded_year)) AS started
   FROM dated d LEFT JOIN enrichment e ON d.id = e.id)"""
-PRELUDE = "WITH " + ",\n".join([f"{k} AS ({v})" for k, v in VIEWS.items()] + [BASE.strip()]) + "\n"
+PRELUDE = "WITH RECURSIVE " + ",\n".join([f"{k} AS ({v})" for k, v in VIEWS.items()] + [BASE.strip()]) + "\n"
 SCORE = f"""(CASE WHEN coalesce(product, '') <> '' AND website_identity = 'verified' THEN 2 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' AND NOT {LABEL} THEN 1 ELSE 0 END
   + CASE WHEN website_identity = 'verified' THEN 1 ELSE 0 END + CASE WHEN coalesce(founders, '') <> '' THEN 1 ELSE 0 END
   + CASE WHEN coalesce(contact_email, '') <> '' OR coalesce(contact_page, '') <> '' THEN 1 ELSE 0 END + CASE WHEN first_seen IS NOT NULL THEN 1 ELSE 0 END)"""
@@ -987,4 +987,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from lodestone.plans import nightly  # noqa: E402, F401 (registers its queries here)
+from lodestone.plans import features, nightly  # noqa: E402, F401 (they register their queries here)
