@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import classify, frontier
 from lodestone.plans.catalog import query
-from lodestone.sources import pagecache, records
+from lodestone.sources import pagecache, records, site
 
 # --- placing texts in a taxonomy ----------------------------------------------------------------------------------
 
@@ -190,3 +190,67 @@ def json_record_lists(t):
     docs = listed.select(F.col("k").alias("doc"), F.expr(_WRAP).alias("json"))
     found = records.record_lists(docs, ("title", "desci", "category"))
     return found.select("doc", "path", "place", F.get_json_object("record", "$.desci").cast("bigint").alias("desci"))
+
+
+# --- what home pages say ------------------------------------------------------------------------------------------
+
+# pages with links, addresses and headings planted behind them, which vary from page to page
+_BLOCK = """'<p>Write to ' || CASE page_id % 5 WHEN 0 THEN 'Ceo@' || own || ', or info@' || own || '.' WHEN 1 THEN 'a@gmail.com' WHEN 2 THEN 'noreply@' || own || ' career@' || own WHEN 3 THEN 'x@mail.' || own || '; y@' || own ELSE 'hr@' || own END
+  || '</p><script>hello@' || own || '</script>' || CASE WHEN page_id % 7 = 0 THEN '<a href="https://jobs.lever.co/x">Apply</a>' ELSE '' END
+  || CASE page_id % 3 WHEN 0 THEN '<a href="/careers/senior">Senior</a><a href="/careers">Work</a>' WHEN 1 THEN '<a href="/x">Join our team</a>' ELSE '<a href="/teams">None</a>' END
+  || CASE page_id % 4 WHEN 0 THEN '<a href="/about/team">Who</a><a href="/the/About_us/2">We</a>' WHEN 1 THEN '<a href="/who">Who we are</a><a href="/people.html">P</a>' WHEN 2 THEN '<a href="/about.pdf">About</a>' ELSE '<a href="/?about">Company</a>' END
+  || CASE page_id % 6 WHEN 0 THEN '<a href="/p/contact-us#form">Write</a>' WHEN 1 THEN '<a href="/hello#us">Contact Us!</a><a href="/contactless">C</a>' WHEN 2 THEN '<a href="/jobs/contact">Contact</a>' ELSE '<a href="#contact">Contact</a>' END
+  || CASE page_id % 4 WHEN 1 THEN '<a href="https://www.github.com/login/x">in</a><a href="https://github.com/Site-' || page_id || '/repo">Code</a>' WHEN 2 THEN '<a href="https://github.com/other/repo">Theme</a>' ELSE '' END
+  || CASE WHEN page_id % 9 = 0 THEN '<p>This domain is <b>for sale</b></p>' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN '<h2>No current openings</h2>' ELSE '' END
+  || CASE WHEN page_id % 8 < 3 THEN '<h3>Senior Engineer</h3><h4>Job: Data Analyst</h4><li>senior engineer</li><li>Reporting to a manager</li><li>Our engineers</li>' ELSE '' END"""
+_SITES = f"SELECT page_id, own, 'https://www.' || own AS website, html || {_BLOCK} AS html, {_BLOCK} AS block FROM (SELECT page_id, 'site' || page_id || '.co.in' AS own, html FROM pages)"
+_ORDER = ("careers", "team", "about")
+_SITE_WORDS = {"careers": ("career|careers|jobs?|join-us|openings", "('join our team', 'careers', 'jobs')"), "team": ("team|people", "('team', 'our team')"), "about": ("about|about-us", "('who we are', 'company', 'about')")}
+
+
+def _kinds() -> str:
+    out, before = "", []
+    for kind in _ORDER:
+        words, said = _SITE_WORDS[kind]
+        used = "".join(f" AND NOT EXISTS (SELECT 1 FROM k_{b} WHERE k_{b}.page_id = a.page_id AND k_{b}.url = a.url)" for b in before)
+        named = f"(mine AND path NOT IN ('', '/') AND regexp_matches(marked, '-({words})-'))"
+        hiring = "(contains(url, 'lever.co'))" if kind == "careers" else "false"
+        out += f""",
+f_{kind} AS (SELECT *, {named} AS named, {hiring} AS hiring FROM a WHERE NOT regexp_matches(path, '[.]pdf$'){used}),
+k_{kind} AS (SELECT page_id, coalesce(arg_min(url, {{'n': length(url), 'i': i}}) FILTER (named OR (hiring AND i = first)), arg_min(url, i) FILTER (mine AND NOT named AND path NOT IN ('', '/') AND said IN {said})) AS url
+  FROM (SELECT *, min(i) FILTER (named OR hiring) OVER (PARTITION BY page_id) AS first FROM f_{kind}) GROUP BY page_id)"""
+        before.append(kind)
+    return out
+
+
+@query(f""", sites AS ({_SITES}),
+l AS (SELECT page_id, own, website, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS words,
+  generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS i FROM sites),
+a AS (SELECT *, url LIKE website || '%' AS mine, regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?].*$', '') AS path, '-' || regexp_replace(lower(regexp_replace(url, '^https?://[^/]+', '')), '[/_.-]+', '-', 'g') || '-' AS marked,
+  lower(regexp_replace(words, '!', '')) AS said FROM (SELECT *, regexp_replace(CASE WHEN href LIKE 'http%' THEN href ELSE website || href END, '#.*$', '') AS url FROM l WHERE href NOT LIKE '#%')){_kinds()},
+m AS (SELECT page_id, own, lower(unnest(regexp_extract_all(regexp_replace(block, '<script>.*?</script>', ' '), '[A-Za-z]+@[a-z0-9.]+[a-z]'))) AS m, generate_subscripts(regexp_extract_all(regexp_replace(block, '<script>.*?</script>', ' '), '[A-Za-z]+@[a-z0-9.]+[a-z]'), 1) AS i FROM sites),
+mail AS (SELECT page_id, arg_min(m, {{'r': m NOT LIKE 'info@%', 'i': i}}) AS contact_email FROM m WHERE (m LIKE '%@' || own OR m LIKE '%.' || own) AND split_part(m, '@', 1) NOT IN ('noreply', 'career', 'hr') GROUP BY 1),
+page AS (SELECT page_id, coalesce(arg_min(url, i) FILTER (regexp_matches(marked, '-contact(-us)?-')), arg_min(website || href, i) FILTER (said = 'contact us' OR said = 'contact')) AS contact_page
+  FROM a WHERE mine AND path NOT IN ('', '/') AND NOT regexp_matches(path, 'job|career|hiring|recruit') GROUP BY 1)
+SELECT s.page_id, contact_email, contact_page, k_careers.url AS careers, k_team.url AS team, k_about.url AS about, CASE WHEN s.page_id % 4 = 1 THEN 'https://github.com/Site-' || s.page_id END AS repo,
+  s.page_id % 9 = 0 AS parked, s.page_id % 10 = 0 AS says_none, CASE WHEN s.page_id % 8 < 3 THEN 2 ELSE 0 END AS roles, CASE WHEN s.page_id % 8 < 3 THEN 'Senior Engineer, Data Analyst' ELSE '' END AS titles
+FROM sites s LEFT JOIN mail USING (page_id) LEFT JOIN page USING (page_id) LEFT JOIN k_careers USING (page_id) LEFT JOIN k_team USING (page_id) LEFT JOIN k_about USING (page_id)""")
+def home_pages(t):
+    """E-11, E-12, A-30, O-17, O-18: contact, pages by kind, repository, roles and parked of every page."""
+    rows = t.spark.sql(_SITES.replace("FROM pages", "FROM {t}"), t=t.raw("pages"))
+    found = site.sites(rows.select(F.col("page_id").alias("id"), "website", "html"))
+    return found.select(F.col("id").alias("page_id"), "contact_email", "contact_page", *_ORDER, "repo", "parked", "says_none", "roles", F.array_join("titles", ", ").alias("titles"))
+
+
+@query("""SELECT event_id, CASE WHEN robot AND NOT (user_id % 4 = 1 AND event_id % 2 = 0) THEN 'robots' WHEN code = 200 THEN CASE WHEN value < 5 THEN 'thin' ELSE 'ok' END WHEN code IN (404, 410) THEN 'missing' WHEN code IN (401, 403, 429) THEN 'refused' ELSE 'unreachable' END AS outcome
+FROM (SELECT *, user_id % 4 < 2 AND event_id % 4 < 3 AS robot, [200, 200, 404, 401, 500, 429][event_id % 6 + 1] AS code FROM events)""")
+def page_outcomes(t):
+    """E-23: the robots gate by the longest rule, and the outcome of each request."""
+    e = t.raw("events")
+    hosts = e.select((F.col("user_id") % 4).alias("host")).distinct()
+    # two hosts forbid /x; one of them allows /x/0 and /x/2 again
+    robots = hosts.where("host < 2").select("host", F.lit(False).alias("allow"), F.lit("/x/").alias("prefix")).union(hosts.where("host = 1").select("host", F.lit(True), F.explode(F.array(F.lit("/x/0"), F.lit("/x/2")))))
+    k = F.col("event_id") % 4
+    requests = e.select("event_id", (F.col("user_id") % 4).alias("host"), F.concat(F.when(k < 3, "/x/").otherwise("/y/"), k).alias("path"), "value")
+    code = F.get(F.array(*map(F.lit, (200, 200, 404, 401, 500, 429))), (F.col("event_id") % 6).cast("int"))
+    return site.allowed(robots, requests).select("event_id", site.outcome(code, F.col("allowed"), F.col("value") < 5).alias("outcome"))
