@@ -21,10 +21,10 @@ Equal texts are one text throughout, so a group of copies of any size is sorted
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,7 +47,12 @@ PLACE = np.uint64((1 << 24) - 1)
 #: Factors of hashes (any odd numbers).
 ODD, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-PIECES = "k1 bigint, k2 bigint, j0 int, begin int, bytes binary, at array<int>, m array<int>, deep array<tinyint>, name array<bigint>, tail array<int>, lo array<int>, hi array<int>"
+#: Bytes of texts whose anchors are found together, and copied texts of which a task remembers that it has cut them.
+TOGETHER, SEEN = 1 << 17, 100_000
+#: The columns of a piece that have a value for each of its positions.
+EACH = {"at": "int", "m": "int", "deep": "tinyint", "name": "bigint", "tail": "int", "lo": "int", "hi": "int"}
+PIECES = f"k1 bigint, k2 bigint, j0 int, begin int, bytes binary, copied boolean, {', '.join(f'{c} array<{t}>' for c, t in EACH.items())}"
+KINDS = {"int": np.int32, "tinyint": np.int8, "bigint": np.int64}
 
 
 def window(length: int) -> int:
@@ -82,29 +87,44 @@ def least(h: np.ndarray, w: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each anchor in order, and how many windows in a row have it."""
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each anchor of some texts in order, how many windows in a row have it, and whose it is."""
     size = GRAM
     while 2 * size <= min(ANCHOR, length // 4):
         size *= 2
-    h = grams(text, size)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin, windows = np.cumsum(sizes) - sizes, np.maximum(0, sizes - length + 1)
+    h = grams(b"".join(texts), size)
     at = least(h, length - size + 1)
+    # the places at which a window of one text begins
+    at = at[np.arange(windows.sum()) + np.repeat(begin - np.cumsum(windows) + windows, windows)]
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return h[at[new]].view(np.int64), np.diff(np.append(new, len(at)))
+    return h[at[new]].view(np.int64), np.diff(np.append(new, len(at))), np.searchsorted(begin + sizes, at[new], "right")
 
 
-def stretches(text: bytes, length: int, known: np.ndarray) -> Iterator[dict]:
-    """The pieces of a text: the positions that are to be sorted, and the bytes of the windows that belong to them."""
-    own, times = anchors(text, length)
-    again = in_bitmap(known, own)
-    if not again.any():
-        return
+def together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about TOGETHER bytes, one at least."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > TOGETHER:
+            yield start, i
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def stretches(text: bytes, length: int, again: np.ndarray) -> Iterator[tuple[int, int, bytes, dict]]:
+    """The pieces of a text: the positions that are to be sorted, and the bytes of the windows that belong to them.
+
+    again: whether the anchor of each window, in order, occurs elsewhere.
+    """
     w, last = window(length), len(text) - length
     reach = length - 3 * w - GRAM + 3
     cut = np.unique(least(grams(text, GRAM), w))
     lo = np.maximum(0, np.append(0, cut[:-1] - w + 2))
     hi = np.minimum(cut - w + 1, last)
-    before = np.append(0, np.cumsum(np.repeat(again, times)))
+    before = np.append(0, np.cumsum(again))
     asked = np.flatnonzero((lo <= hi) & (before[np.maximum(hi, -1) + 1] > before[np.minimum(lo, last + 1)]))
     m = np.zeros(len(cut), np.int64)
     m[asked] = np.searchsorted(cut, cut[asked] + reach, "right") - 1 - asked
@@ -122,37 +142,57 @@ def stretches(text: bytes, length: int, known: np.ndarray) -> Iterator[dict]:
             j = block[i : i + PIECE]
             mine = j[m[j] > 0]
             begin, end = (int(lo[mine].min()), int(hi[mine].max()) + length) if len(mine) else (0, 0)
-            names = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(cut[j].tolist(), cut[j + 2].tolist(), strict=True)]
+            digest = xxhash.xxh3_64_intdigest
+            names = [digest(text[a:b]) for a, b in zip(cut[j].tolist(), cut[j + 2].tolist(), strict=True)]
             cols = {"at": cut[j], "m": m[j], "deep": deep[j], "name": np.array(names, np.uint64).view(np.int64), "tail": cut[j + m[j]], "lo": lo[j], "hi": hi[j]}
-            yield {"j0": int(j[0]), "begin": begin, "bytes": text[begin:end]} | {k: v.tolist() for k, v in cols.items()}
+            yield int(j[0]), begin, text[begin:end], cols
 
 
-def pieces(texts: DataFrame, length: int, work: Workspace) -> DataFrame:
-    """The pieces of each distinct text, as a table."""
+def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(k1, k2, copied, j0, begin, bytes, columns) of some pieces as rows of PIECES."""
+    k1, k2, copied, j0, begin, own, cols = zip(*rows, strict=True) if rows else [()] * 7
+    ends = np.cumsum([0, *(len(c["at"]) for c in cols)]).astype(np.int32)
+    lists = {n: pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, KINDS[t]), *(c[n] for c in cols)]).astype(KINDS[t])) for n, t in EACH.items()}
+    plain = {"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "j0": pa.array(j0, pa.int32()), "begin": pa.array(begin, pa.int32()), "bytes": pa.array(own, pa.binary()), "copied": pa.array(copied, pa.bool_())}
+    return pa.RecordBatch.from_pydict(plain | lists)
+
+
+def pieces(texts: DataFrame, copies: DataFrame, length: int, work: Workspace) -> DataFrame:
+    """The pieces of each distinct text, as a table. copies: k1 of texts that stand more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"h": np.concatenate([np.zeros(0, np.int64), *[anchors(t, length)[0] for t in raw(batch)]])})
+            own = raw(batch)
+            yield pa.RecordBatch.from_pydict({"h": np.concatenate([np.zeros(0, np.int64), *[anchors(own[i:k], length)[0] for i, k in together(own)]])})
 
     again = work.table(texts.select("text").mapInArrow(count, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap(again, "h", again.count()))
-    kinds = {"k1": pa.int64(), "k2": pa.int64(), "j0": pa.int32(), "begin": pa.int32(), "bytes": pa.binary(), "deep": pa.list_(pa.int8()), "name": pa.list_(pa.int64())}
-    fields = pa.schema([(c.split()[0], kinds.get(c.split()[0], pa.list_(pa.int32()))) for c in PIECES.split(", ")])
+    sent = texts.sparkSession.sparkContext.broadcast((bitmap(again, "h", again.count()), bitmap(copies, "k1", copies.count())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, copied = sent.value
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            rows, size = [], 0
-            for i, text in enumerate(raw(batch)):
-                for piece in stretches(text, length, sent.value):
-                    rows.append({"k1": k1[i], "k2": k2[i]} | piece)
-                    size += len(piece["at"])
-                    if size > 16 * PIECE:
-                        yield pa.RecordBatch.from_pylist(rows, fields)
-                        rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, fields)
-
-    return work.table(texts.mapInArrow(cut, PIECES).dropDuplicates(["k1", "k2", "j0"]))
+            own, k1, k2 = raw(batch), batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            also, rows = in_bitmap(copied, batch.column("k1").to_numpy()), []
+            for i, k in together(own):
+                hashes, times, whose = anchors(own[i:k], length)
+                found = in_bitmap(known, hashes)
+                for x in np.unique(whose[found]).tolist():
+                    mine, row = whose == x, i + x
+                    if also[row]:
+                        if (k1[row], k2[row]) in seen:
+                            continue
+                        if len(seen) < SEEN:
+                            seen.add((k1[row], k2[row]))
+                    rows += [(k1[row], k2[row], bool(also[row]), *p) for p in stretches(own[row], length, np.repeat(found[mine], times[mine]))]
+                if sum(len(r[6]["at"]) for r in rows) > 16 * PIECE:
+                    yield piece_batch(rows)
+                    rows = []
+            yield piece_batch(rows)
+
+    raws = work.table(texts.mapInArrow(cut, PIECES))
+    once = work.table(raws.where("copied").dropDuplicates(["k1", "k2", "j0"]))
+    return raws.where("not copied").union(once)
 
 
 def ranked(rows: DataFrame, by: list[str], work: Workspace) -> DataFrame:
@@ -185,71 +225,96 @@ def runs(cut: DataFrame, work: Workspace) -> DataFrame:
         k += 1
 
 
+KEY = ["c1", "c2", "u1", "u2"]
+
+
+def longs(digests: list[bytes], names: tuple[str, str]) -> dict[str, np.ndarray]:
+    """128-bit digests as two bigint columns."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return {n: both[:, i].copy() for i, n in enumerate(names)}
+
+
 def units(cut: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, lo, hi, low, cls, unit, left, right): the windows lo to hi of a cut point.
+    """(k1, k2, lo, hi, low, c1, c2, u1, u2, left, right): the windows lo to hi of a cut point.
 
-    cls stands for the bytes that all of them have, left and right are those beyond, of which the window at s has
-    hi + low - s and w - 1 less that many; unit stands for all of it.
+    c1, c2 (the class) stand for the bytes that all of them have, left and right are those beyond, of which the window at s
+    has hi + low - s and w - 1 less that many; u1, u2 (the unit) stand for those and their number.
     """
     w = window(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k1", "k2", "lo", "hi", "low", "cls", "unit", "left", "right")}
-            for r in batch.to_pylist():
-                text, begin = r["bytes"], r["begin"]
-                for x in r["own"]:
-                    i = x["j"] - r["j0"]
-                    a, lo, hi, tail, m = (r[c][i] for c in ("at", "lo", "hi", "tail", "m"))
-                    first, end = a - w + 1, a + length - 2 * w + 2
-                    cls = xxhash.xxh3_128_digest(struct.pack("<qqi", x["ra"], x["rb"], m) + text[first - begin : a - begin] + text[tail - begin : end - begin])
-                    left, right, low = text[lo - begin : first - begin], text[end - begin : hi + length - begin], first - hi
-                    unit = xxhash.xxh3_128_digest(cls + struct.pack("<ii", len(left), low) + left + right)
-                    for c, v in zip(out, (r["k1"], r["k2"], lo, hi, low, cls, unit, left, right), strict=True):
-                        out[c].append(v)
-            ints = {c: pa.array(out[c], pa.int64() if c in ("k1", "k2") else pa.int32()) for c in ("k1", "k2", "lo", "hi", "low")}
-            yield pa.RecordBatch.from_pydict(ints | {c: pa.array(out[c], pa.binary()) for c in ("cls", "unit", "left", "right")})
+            own = batch.column("own")
+            many, flat = own.value_lengths().to_numpy(), own.flatten()
+            row = np.repeat(np.arange(batch.num_rows), many)
+            j, ra, rb = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("j", "ra", "rb"))
+            begins, sizes = batch.column("begin").to_numpy(), batch.column("at").value_lengths().to_numpy()
+            i = (np.cumsum(sizes) - sizes)[row] + j - batch.column("j0").to_numpy()[row]
+            at, lo, hi, tail, m = (batch.column(c).flatten().to_numpy()[i].astype(np.int64) for c in ("at", "lo", "hi", "tail", "m"))
+            texts, classes, kinds, lefts, rights = batch.column("bytes").to_pylist(), [], [], [], []
+            first, end, off = at - w + 1, at + length - 2 * w + 2, begins[row].astype(np.int64)
+            low = first - hi
+            ends = np.stack([first - off, at - off, tail - off, end - off, lo - off, hi + length - off, ra, rb, m, low], axis=1).tolist()
+            for r, (f, a, t, e, x, z, p, q, n, short) in zip(row.tolist(), ends, strict=True):
+                text = texts[r]
+                left, right = text[x:f], text[e:z]
+                classes.append(digest(b"%d,%d,%d," % (p, q, n) + text[f:a] + text[t:e]))
+                kinds.append(digest(b"%d,%d," % (len(left), short) + left + right))
+                lefts.append(left)
+                rights.append(right)
+            k1, k2 = (batch.column(c).to_numpy()[row] for c in ("k1", "k2"))
+            ints = {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "low": low.astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({"k1": k1, "k2": k2} | ints | longs(classes, ("c1", "c2")) | longs(kinds, ("u1", "u2")) | {"left": pa.array(lefts, pa.binary()), "right": pa.array(rights, pa.binary())})
 
     asked = found.groupBy("k1", "k2", "j0").agg(F.collect_list(F.struct("j", "ra", "rb")).alias("own"))
     held = cut.select("k1", "k2", "j0", "begin", "bytes", "at", "m", "tail", "lo", "hi").join(asked, ["k1", "k2", "j0"])
-    return held.mapInArrow(run, "k1 bigint, k2 bigint, lo int, hi int, low int, cls binary, unit binary, left binary, right binary")
+    return held.mapInArrow(run, "k1 bigint, k2 bigint, lo int, hi int, low int, c1 bigint, c2 bigint, u1 bigint, u2 bigint, left binary, right binary")
 
 
-def contested(distinct: DataFrame, length: int, work: Workspace) -> DataFrame:
-    """(unit, first, last): runs of places among the windows of units that stand once, where a window of another unit is equal."""
-    w = window(length)
-    classes = distinct.groupBy("cls").agg(F.count("*").alias("units"), F.min("n").alias("fewest")).where("units > 1 and fewest = 1").select("cls")
-    open_units = work.table(distinct.join(classes, "cls"))
+def contested(rows: DataFrame, counts: DataFrame, length: int, work: Workspace) -> DataFrame:
+    """(the unit, first, last): runs of places among the windows of units that stand once, where a window of another unit is equal."""
+    w, spark = window(length), rows.sparkSession
+    classes = work.table(counts.groupBy("c1", "c2").agg(F.count("*").alias("units"), F.min("n").alias("fewest")).where("units > 1 and fewest = 1").select("c1", "c2"))
+    some = spark.sparkContext.broadcast(bitmap(classes, "c1", classes.count()))
+
+    @F.pandas_udf("boolean")
+    def may_be_open(c):
+        return pd.Series(in_bitmap(some.value, c.to_numpy(np.int64)))
+
+    # most classes have one unit, and aren't shuffled with their bytes
+    near = rows.select(*KEY, "low", "left", "right").where(may_be_open("c1")).join(classes, ["c1", "c2"])
+    open_units = work.table(near.join(counts, KEY).dropDuplicates(KEY))
 
     def keys(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
         """The key of each window; with a bitmap, of the windows of single units whose key is in it."""
         for batch in batches:
             for i in range(0, batch.num_rows, PIECE):
                 part, digests, owner, place = batch.slice(i, PIECE), [], [], []
-                cols = [part.column(c).to_pylist() for c in ("cls", "left", "right", "low", "n")]
-                for row, (cls, left, right, low, n) in enumerate(zip(*cols, strict=True)):
+                cols = [part.column(c).to_pylist() for c in ("c1", "c2", "left", "right", "low", "n")]
+                for row, (c1, c2, left, right, low, n) in enumerate(zip(*cols, strict=True)):
                     if known is not None and n > 1:
                         continue
+                    head = b"%d,%d," % (c1, c2)
                     for x in range(low, len(left) + 1):
-                        digests.append(xxhash.xxh3_128_digest(cls + left[len(left) - x :] + b"%d|" % x + right[: w - 1 - x]))
+                        digests.append(xxhash.xxh3_128_digest(head + left[len(left) - x :] + b"%d|" % x + right[: w - 1 - x]))
                         owner.append(row)
                         place.append(x)
-                both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                if known is None:
-                    yield pa.RecordBatch.from_pydict({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
-                else:
-                    good = np.flatnonzero(in_bitmap(known.value, both[:, 0].copy()))
+                both = longs(digests, ("a", "b"))
+                if known is not None:
+                    good = np.flatnonzero(in_bitmap(known.value, both["a"]))
                     at = np.array(owner, np.int64)[good]
-                    yield pa.RecordBatch.from_pydict({"a": both[good, 0], "b": both[good, 1], "unit": part.column("unit").take(pa.array(at)), "place": np.array(place, np.int32)[good]})
+                    both = {n: v[good] for n, v in both.items()} | {n: part.column(n).take(pa.array(at)) for n in KEY} | {"place": np.array(place, np.int32)[good]}
+                yield pa.RecordBatch.from_pydict(both)
 
-    read = open_units.select("cls", "left", "right", "low", "n", "unit")
+    read = open_units.select(*KEY, "left", "right", "low", "n")
     again = work.table(read.mapInArrow(lambda x: keys(x, None), "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"))
-    sent = distinct.sparkSession.sparkContext.broadcast(bitmap(again, "a", again.count()))
-    hits = read.mapInArrow(lambda x: keys(x, sent), "a bigint, b bigint, unit binary, place int").join(again, ["a", "b"])
-    places = hits.groupBy("unit").agg(F.array_sort(F.collect_list("place")).alias("p"))
+    sent = spark.sparkContext.broadcast(bitmap(again, "a", again.count()))
+    hits = read.mapInArrow(lambda x: keys(x, sent), f"a bigint, b bigint, {', '.join(f'{c} bigint' for c in KEY)}, place int").join(again, ["a", "b"])
+    places = hits.groupBy(*KEY).agg(F.array_sort(F.collect_list("place")).alias("p"))
     # places of one run differ from their index by the same number
     run = F.transform("p", lambda x, i: F.struct((x - i).alias("run"), x.alias("x")))
-    return places.select("unit", F.explode(run).alias("r")).groupBy("unit", "r.run").agg(F.min("r.x").alias("first"), F.max("r.x").alias("last")).select("unit", "first", "last")
+    return places.select(*KEY, F.explode(run).alias("r")).groupBy(*KEY, "r.run").agg(F.min("r.x").alias("first"), F.max("r.x").alias("last")).select(*KEY, "first", "last")
 
 
 def repeated(texts: DataFrame, length: int, work: Workspace) -> DataFrame:
@@ -257,16 +322,17 @@ def repeated(texts: DataFrame, length: int, work: Workspace) -> DataFrame:
 
     texts: k1, k2 (two hashes of the text), text.
     """
-    cut = pieces(texts.where(F.octet_length("text") >= length), length, work)
+    copies = work.table(texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where((F.col("n") > 1) & (F.col("size") >= length)))
+    cut = pieces(texts.where(F.octet_length("text") >= length), copies, length, work)
     rows = work.table(units(cut, runs(cut, work), length))
-    distinct = work.table(rows.groupBy("unit").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("cls", "left", "right", "low")]))
-    places = rows.select("k1", "k2", "lo", "hi", "low", "unit")
-    whole = places.join(distinct.where("n > 1").select("unit"), "unit").select("k1", "k2", "lo", "hi")
+    counts = work.table(rows.groupBy(*KEY).agg(F.count("*").alias("n")))
+    # a table of its own, so that Spark can split the join at a unit that very many places have; null stands for all windows
+    whole = counts.where("n > 1").select(*KEY, F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    settled = work.table(whole.union(contested(rows, counts, length, work)))
     at = F.col("hi") + F.col("low")
-    some = places.join(contested(distinct, length, work), "unit").select("k1", "k2", (at - F.col("last")).alias("lo"), (at - F.col("first")).alias("hi"))
-    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where((F.col("n") > 1) & (F.col("size") >= length))
-    copies = copies.select("k1", "k2", F.lit(0).alias("lo"), (F.col("size") - length).alias("hi"))
-    return work.table(whole.union(some).union(copies).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    spans = rows.select("k1", "k2", "lo", "hi", "low", *KEY).join(settled, KEY).select("k1", "k2", F.coalesce(at - F.col("last"), "lo").alias("lo"), F.coalesce(at - F.col("first"), "hi").alias("hi"))
+    copied = copies.select("k1", "k2", F.lit(0).alias("lo"), (F.col("size") - length).alias("hi"))
+    return work.table(spans.union(copied).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
 
 def without(text: bytes, spans: list[dict], length: int) -> tuple[bytes, int, int]:
@@ -306,8 +372,6 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
 
     @F.pandas_udf("boolean")
     def may_lose(k):
-        import pandas as pd
-
         return pd.Series(in_bitmap(sent.value, k.to_numpy(np.int64)))
 
     # only texts that may lose something are shuffled
