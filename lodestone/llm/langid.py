@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, slices
+from lodestone.llm.sketch import bitmap, in_bitmap
 
 #: Length of a vector.
 DIM = 1 << 13
@@ -124,18 +125,29 @@ class LanguageModel:
 
 
 def sample_rows(rows: DataFrame, per_lang: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
-    """Texts of each language, by a hash of the text: at most per_lang, and none after the first `most` bytes.
+    """Distinct texts of each language: the per_lang ones of least hash, and none after the first `most` bytes.
 
-    About twice that many rows are shuffled, copies once a task.
+    Texts are counted and drawn by hash, so a language of copies gives as many texts as it has; only the chosen texts are
+    shuffled, once a task. About four times per_lang hashes a language are numbered.
     """
-    counts = Workspace(rows.sparkSession, "languages").table(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    work = Workspace(rows.sparkSession, "languages")
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    texts = work.table(hashed.select("lang", "h").distinct())
+    counts = work.table(texts.groupBy("lang").agg(F.count("*").alias("n")))
     if counts.limit(FEW + 1).count() <= FEW:
-        counts = F.broadcast(counts)  # else texts would be shuffled to meet their counts
-    draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    drawn = rows.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") * F.col("n") < 2 * per_lang).select("text", "lang", "draw").distinct()
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    first = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        counts = F.broadcast(counts)
+    draw = F.shiftrightunsigned("h", 40) / (1 << 24)
+    order = Window.partitionBy("lang").orderBy("draw", "h")
+    drawn = texts.withColumn("draw", draw).join(counts, "lang").where(F.col("draw") * F.col("n") < 4 * per_lang)
+    chosen = work.table(drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("lang", "h", "draw"))
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(chosen, "h", chosen.count()))
+
+    @F.pandas_udf("boolean")
+    def may_be_chosen(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)))
+
+    first = hashed.where(may_be_chosen("h")).join(chosen, ["lang", "h"]).select("text", "lang", "draw").distinct()
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
     return first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("text", "lang")
 
 

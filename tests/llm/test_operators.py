@@ -110,6 +110,20 @@ def test_language_sample_is_bounded(spark):
     assert 1 <= len(sizes) <= 20 and sum(sizes) < 30_000 + max(sizes)
 
 
+def test_language_of_copies_is_learned(spark, small):
+    """Thousands of copies of one text beside few others, and nothing but copies: both languages are learned and kept."""
+    rng = random.Random(21)
+    words = ["кот", "дом", "лес", "река", "поле", "город", "зима", "утро"]
+    some = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    greek = ["αυτό είναι ένα μικρό κείμενο για τη γλώσσα " * 5]
+    texts = [some[0]] * 20_000 + some + greek * 3_000
+    rows = docs(spark, texts, ["ru"] * 20_030 + ["el"] * 3_000).select("text", "lang").union(small.select("text", "lang"))
+    sample = [(r.lang, r.text) for r in langid.sample_rows(rows).collect()]
+    assert len(set(sample)) == len(sample) and {t for x, t in sample if x == "ru"} == set(some) and [t for x, t in sample if x == "el"] == greek
+    found = langid.identify(docs(spark, some + greek), langid.fit(rows)).collect()
+    assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == ["ru"] * 30 + ["el"] and not any(r.rejected for r in found)
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -228,6 +242,41 @@ def test_line_dedup_finds_near_lines_by_edit_similarity(spark, hot, monkeypatch)
     assert sum(found[2 * k + 1].n_removed for k in range(one, len(pairs))) >= 0.95 * (len(pairs) - one)
 
 
+@pytest.mark.parametrize(("alphabet", "size"), [("cjk", 60), ("cjk", 150), ("cjk", 1000), ("cjk", 3000), ("url", 150), ("url", 1500), ("words", 1300), ("words", 5000)])
+def test_line_dedup_finds_long_lines_and_lines_without_spaces(spark, alphabet, size):
+    """Each class by itself: one to four characters in a hundred replaced, anywhere in the line."""
+    rng = random.Random(size)
+    letters = "".join(map(chr, range(0x4E00, 0x5E00))) if alphabet == "cjk" else "abcdefghijklmnopqrstuvwxyz0123456789" + ("" if alphabet == "url" else "     ")
+    lines, n = [], 20
+    for k in range(n):
+        a = b = "".join(rng.choice(letters) for _ in range(size))
+        for _ in range(max(1, size * (k % 4 + 1) // 100)):
+            i = rng.randrange(size)
+            b = b[:i] + rng.choice(letters.strip()) + b[i + 1 :]
+        lines += [a, b]
+    found = {r.doc_id: r.n_removed for r in line_dedup.dedup(docs(spark, lines)).collect()}
+    assert not any(found[2 * k] for k in range(n)) and sum(found[2 * k + 1] for k in range(n)) >= 0.9 * n
+
+
+def test_lines_are_compared_exactly(monkeypatch):
+    """Long lines whose alignment by words shows nothing: one word, and words that are all different."""
+    rng = random.Random(31)
+    a = "".join(rng.choice("abcdef") for _ in range(9000))
+    b = list(a)
+    for i in rng.sample(range(9000), 850):
+        b[i] = "x"
+    assert line_dedup.similar(a, "".join(b)) and not line_dedup.similar(a, "".join(b[::-1]))
+    b[::9] = ["y"] * 1000
+    assert not line_dedup.similar(a, "".join(b))
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 1000} of a text" for i in range(200_000))
+    began = time.monotonic()
+    found = line_dedup.dedup(docs(spark, [text])).collect()[0]
+    assert found.n_lines == 200_000 and found.n_removed >= 199_000 and time.monotonic() - began < 120
+
+
 def test_line_dedup_recall_on_documents(spark, small):
     """All pairs of distinct lines at an edit similarity of 0.9, by brute force, end in one group."""
     lines = sorted({b" ".join(lower_words(x)).decode() for r in small.collect() for x in (r.text or "").split("\n")} - {""}, key=len)
