@@ -39,8 +39,8 @@ LENGTH = 400
 NEAR, GRAM = 64, 8
 #: Bytes of an anchor, at most.
 ANCHOR = 64
-#: Positions that a piece has, at most.
-PIECE = 1024
+#: Positions whose windows a piece has, at most, and bits of a position's place in its piece: those that they need follow.
+PIECE, PLACES = 1024, 11
 #: Hashes that are compared at a time; a place among them takes 24 bits.
 BLOCK = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
@@ -51,7 +51,7 @@ ODD, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TOGETHER, SEEN = 1 << 17, 100_000
 #: The columns of a piece that have a value for each of its positions.
 EACH = {"at": "int", "m": "int", "deep": "tinyint", "name": "bigint", "tail": "int", "lo": "int", "hi": "int"}
-PIECES = f"k1 bigint, k2 bigint, j0 int, begin int, bytes binary, copied boolean, {', '.join(f'{c} array<{t}>' for c, t in EACH.items())}"
+PIECES = f"k1 bigint, k2 bigint, first int, begin int, bytes binary, copied boolean, {', '.join(f'{c} array<{t}>' for c, t in EACH.items())}"
 KINDS = {"int": np.int32, "tinyint": np.int8, "bigint": np.int64}
 
 
@@ -117,6 +117,7 @@ def together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def stretches(text: bytes, length: int, again: np.ndarray) -> Iterator[tuple[int, int, bytes, dict]]:
     """The pieces of a text: the positions that are to be sorted, and the bytes of the windows that belong to them.
 
+    The last positions of a piece are those that its runs of chunks reach, and begin the next one again.
     again: whether the anchor of each window, in order, occurs elsewhere.
     """
     w, last = window(length), len(text) - length
@@ -141,19 +142,23 @@ def stretches(text: bytes, length: int, again: np.ndarray) -> Iterator[tuple[int
         for i in range(0, len(block), PIECE):
             j = block[i : i + PIECE]
             mine = j[m[j] > 0]
-            begin, end = (int(lo[mine].min()), int(hi[mine].max()) + length) if len(mine) else (0, 0)
+            if not len(mine):
+                continue
+            j, n = np.arange(j[0], max(j[-1] + 1, (mine + m[mine]).max() - 1)), len(j)
+            own = np.where(np.arange(len(j)) < n, m[j], 0)
+            begin, end = int(lo[mine].min()), int(hi[mine].max()) + length
             digest = xxhash.xxh3_64_intdigest
             names = [digest(text[a:b]) for a, b in zip(cut[j].tolist(), cut[j + 2].tolist(), strict=True)]
-            cols = {"at": cut[j], "m": m[j], "deep": deep[j], "name": np.array(names, np.uint64).view(np.int64), "tail": cut[j + m[j]], "lo": lo[j], "hi": hi[j]}
+            cols = {"at": cut[j], "m": own, "deep": deep[j], "name": np.array(names, np.uint64).view(np.int64), "tail": cut[j + own], "lo": lo[j], "hi": hi[j]}
             yield int(j[0]), begin, text[begin:end], cols
 
 
 def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """(k1, k2, copied, j0, begin, bytes, columns) of some pieces as rows of PIECES."""
-    k1, k2, copied, j0, begin, own, cols = zip(*rows, strict=True) if rows else [()] * 7
+    """(k1, k2, copied, first, begin, bytes, columns) of some pieces as rows of PIECES."""
+    k1, k2, copied, first, begin, own, cols = zip(*rows, strict=True) if rows else [()] * 7
     ends = np.cumsum([0, *(len(c["at"]) for c in cols)]).astype(np.int32)
     lists = {n: pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, KINDS[t]), *(c[n] for c in cols)]).astype(KINDS[t])) for n, t in EACH.items()}
-    plain = {"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "j0": pa.array(j0, pa.int32()), "begin": pa.array(begin, pa.int32()), "bytes": pa.array(own, pa.binary()), "copied": pa.array(copied, pa.bool_())}
+    plain = {"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "first": pa.array(first, pa.int32()), "begin": pa.array(begin, pa.int32()), "bytes": pa.array(own, pa.binary()), "copied": pa.array(copied, pa.bool_())}
     return pa.RecordBatch.from_pydict(plain | lists)
 
 
@@ -190,8 +195,8 @@ def pieces(texts: DataFrame, copies: DataFrame, length: int, work: Workspace) ->
                     rows = []
             yield piece_batch(rows)
 
-    raws = work.table(texts.mapInArrow(cut, PIECES))
-    once = work.table(raws.where("copied").dropDuplicates(["k1", "k2", "j0"]))
+    raws = work.table(texts.mapInArrow(cut, PIECES).withColumn("p", F.monotonically_increasing_id()))
+    once = work.table(raws.where("copied").dropDuplicates(["k1", "k2", "first"]))
     return raws.where("not copied").union(once)
 
 
@@ -206,21 +211,24 @@ def ranked(rows: DataFrame, by: list[str], work: Workspace) -> DataFrame:
 
 
 def runs(cut: DataFrame, work: Workspace) -> DataFrame:
-    """(k1, k2, j0, j, ra, rb): the ranks of the run of chunks of each position that has windows and whose run may be repeated."""
-    each = F.inline(F.transform(F.arrays_zip("m", "deep", "name"), lambda x, i: F.struct((F.col("j0") + i).alias("j"), x["m"].alias("m"), x["deep"].alias("deep"), x["name"].alias("name"))))
-    now = ranked(cut.select("k1", "k2", "j0", each), ["name"], work)
-    place, found, k = ["k1", "k2", "j"], None, 1
+    """(own, ra, rb): the ranks of the run of chunks of each position that has windows and whose run may be repeated.
+
+    A position is its piece's number and its place in it, as one integer, so that the next ones are the next integers.
+    """
+    m, deep = F.shiftright("held", 4), F.col("held").bitwiseAND(F.lit(15))
+    each = F.transform(F.arrays_zip("m", "deep", "name"), lambda x, i: F.struct((F.shiftleft("p", PLACES) + i).alias("at"), (x["m"] * 16 + x["deep"]).alias("held"), x["name"].alias("name")))
+    now = ranked(cut.select(F.inline(each)), ["name"], work)
+    found, k = None, 1
     while True:
-        at, further = now.where("m > 0").where(F.col("m") < 2 << k), now.select("k1", "k2", "j", F.col("rank").alias("rb"))
         # m chunks are 2^k from the first on and 2^k up to the last
-        ends = at.where(F.col("m") >= 1 << k).select("k1", "k2", "j0", F.col("j").alias("own"), F.col("rank").alias("ra"), (F.col("j") + F.col("m") - (1 << k)).alias("j"))
-        ended = work.table(ends.join(further, place).select("k1", "k2", "j0", F.col("own").alias("j"), "ra", "rb"))
+        ends = now.where((m >= 1 << k) & (m < 2 << k)).select(F.col("at").alias("own"), F.col("rank").alias("ra"), (F.col("at") + m - (1 << k)).alias("at"))
+        ended = work.table(ends.join(now.select("at", F.col("rank").alias("rb")), "at").select("own", "ra", "rb"))
         found = ended if found is None else found.union(ended)
-        more = now.where(F.col("deep") > k)
+        more = now.where(deep > k)
         if more.isEmpty():
             return found
-        following = now.select("k1", "k2", (F.col("j") - (1 << k)).alias("j"), F.col("rank").alias("next"))
-        now, last = ranked(more.withColumnRenamed("rank", "here").join(following, place), ["here", "next"], work), now
+        following = now.select((F.col("at") - (1 << k)).alias("at"), F.col("rank").alias("next"))
+        now, last = ranked(more.withColumnRenamed("rank", "here").join(following, "at"), ["here", "next"], work), now
         work.drop(last)
         k += 1
 
@@ -250,7 +258,7 @@ def units(cut: DataFrame, found: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), many)
             j, ra, rb = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("j", "ra", "rb"))
             begins, sizes = batch.column("begin").to_numpy(), batch.column("at").value_lengths().to_numpy()
-            i = (np.cumsum(sizes) - sizes)[row] + j - batch.column("j0").to_numpy()[row]
+            i = (np.cumsum(sizes) - sizes)[row] + j
             at, lo, hi, tail, m = (batch.column(c).flatten().to_numpy()[i].astype(np.int64) for c in ("at", "lo", "hi", "tail", "m"))
             texts, classes, kinds, lefts, rights = batch.column("bytes").to_pylist(), [], [], [], []
             first, end, off = at - w + 1, at + length - 2 * w + 2, begins[row].astype(np.int64)
@@ -267,8 +275,9 @@ def units(cut: DataFrame, found: DataFrame, length: int) -> DataFrame:
             ints = {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "low": low.astype(np.int32)}
             yield pa.RecordBatch.from_pydict({"k1": k1, "k2": k2} | ints | longs(classes, ("c1", "c2")) | longs(kinds, ("u1", "u2")) | {"left": pa.array(lefts, pa.binary()), "right": pa.array(rights, pa.binary())})
 
-    asked = found.groupBy("k1", "k2", "j0").agg(F.collect_list(F.struct("j", "ra", "rb")).alias("own"))
-    held = cut.select("k1", "k2", "j0", "begin", "bytes", "at", "m", "tail", "lo", "hi").join(asked, ["k1", "k2", "j0"])
+    place = F.col("own").bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int")
+    asked = found.groupBy(F.shiftright("own", PLACES).alias("p")).agg(F.collect_list(F.struct(place.alias("j"), "ra", "rb")).alias("own"))
+    held = cut.select("p", "k1", "k2", "begin", "bytes", "at", "m", "tail", "lo", "hi").join(asked, "p")
     return held.mapInArrow(run, "k1 bigint, k2 bigint, lo int, hi int, low int, c1 bigint, c2 bigint, u1 bigint, u2 bigint, left binary, right binary")
 
 
