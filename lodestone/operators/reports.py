@@ -201,3 +201,20 @@ def metered(df: DataFrame, name: str) -> tuple[DataFrame, object]:
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def counts(rows: DataFrame, since: str, few: int = 10) -> DataFrame:
+    """One row: records with one trace at most, those that are no company, those discovered since a day, and whether the
+    upper tier has enough to be shown ranked (A-18)."""
+    seen = F.when(F.length("first_seen") == 10, F.col("first_seen")).try_cast("date")
+    return rows.agg(
+        F.count_if(F.col("trace_count") <= 1).alias("one_trace"),
+        F.count_if(~F.col("is_company")).alias("not_companies"),
+        F.count_if(F.coalesce(seen >= F.lit(since).cast("date"), F.lit(False))).alias("discovered"),
+        (F.count_if(F.col("tier") == "A") >= few).alias("has_ranked"),
+    )
+
+
+def spend_by_day(log: DataFrame, at: str, cost: str) -> DataFrame:
+    """(day, questions, spent): the questions of each day, in UTC, and what they cost (A-23, D-10)."""
+    return log.groupBy(F.to_date(at).cast("string").alias("day")).agg(F.count("*").alias("questions"), F.round(F.sum(cost), 2).alias("spent"))

@@ -15,6 +15,7 @@ from lodestone.functions.entity import RECOGNISED, label_supports, register_labe
 from lodestone.functions.text import name_key
 from lodestone.operators.merge import first_per
 from lodestone.operators.reports import NO_GAP
+from lodestone.operators.rounds import stored
 
 
 def eligible(rows: DataFrame, chosen: DataFrame, held_sources: list[str]) -> DataFrame:
@@ -140,6 +141,13 @@ def canonical_query(args: dict[str, str], known: tuple[str, ...], most: int = 20
     return urlencode(sorted(kept.items()))
 
 
+def canonical(args: Column, known: tuple[str, ...], most: int = 200) -> Column:
+    """canonical_query of a map column."""
+    kept = F.filter(F.map_entries(args), lambda e: e["key"].isin(*known) & (F.trim(F.coalesce(e["value"], F.lit(""))) != ""))
+    pairs = F.array_sort(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), F.url_encode(F.substring(F.trim(e["value"]), 1, most)))))
+    return F.array_join(pairs, "&")
+
+
 def reserved(log: DataFrame, cost: float, cap: float) -> DataFrame:
     """Questions with `allowed`: what the day has spent before each, with the reserve of those still pending, stays under the cap (U-15)."""
     before = Window.partitionBy("day").orderBy("asked_at", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,20 +176,31 @@ def basis_kind(basis: Column) -> Column:
 
 
 def near_duplicate_pairs(rows: DataFrame, most: int = 2) -> DataFrame:
-    """Pairs of ids with names at a small edit distance: for measuring, never for merging (E-19).
+    """(a, b): pairs of ids with names at a small edit distance, for measuring, never for merging (E-19).
 
     Names within `most` edits have a string in common that is left after at most `most` deletions in each: they meet there.
+    Equal names are one name until the end, and names meet by hashes of what is left; only pairs that are near meet their
+    ids. Ids of equal names are paired with the first of them, so n copies give n - 1 pairs, and the pairs of two near
+    names are those of their first ids.
     """
     def shorter(names):
         cut = F.flatten(F.transform(names, lambda x: F.transform(F.sequence(F.lit(0), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.length(x))))))
         return F.array_distinct(F.concat(names, cut))
 
-    keyed = rows.select("id", F.lower("name").alias("name")).where("name is not null").withColumn("left", F.array("name"))
+    ids = rows.where("name is not null").select("id", F.lower("name").alias("name"))
+    names = stored(ids.groupBy("name").agg(F.min("id").alias("first")))
+    keyed = names.select("first", F.array("name").alias("left"))
     for _ in range(most):
         keyed = keyed.withColumn("left", shorter(F.col("left")))
-    keyed = keyed.select("id", "name", F.explode("left").alias("left"))
-    a, b = keyed.select("left", F.col("id").alias("a"), F.col("name").alias("na")), keyed.select("left", F.col("id").alias("b"), F.col("name").alias("nb"))
-    return a.join(b, "left").where("a < b").where(F.levenshtein("na", "nb") <= most).select("a", "b").distinct()
+    keyed = stored(keyed.select("first", F.explode(F.transform("left", lambda x: F.xxhash64(x))).alias("left")).distinct())
+    shared = keyed.groupBy("left").agg(F.count("*").alias("n")).where("n > 1").select("left")
+    held = keyed.join(shared, "left")
+    met = held.select("left", F.col("first").alias("a")).join(held.select("left", F.col("first").alias("b")), "left").where("a < b").select("a", "b").distinct()
+    for x in "ab":
+        met = met.join(names.select(F.col("first").alias(x), F.col("name").alias(f"n{x}")), x)
+    near = met.where(F.levenshtein("na", "nb", most) >= 0).select("a", "b")
+    equal = ids.join(names, "name").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return near.union(equal)
 
 
 def distinct_roles(titles: Column, n: int = 6) -> Column:

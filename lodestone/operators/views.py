@@ -267,3 +267,18 @@ def places(base: DataFrame) -> DataFrame:
 def shares(counts: DataFrame, by: str, n: str = "n") -> DataFrame:
     """Each value's share of its facet in percent, one decimal (W-12, D-09)."""
     return counts.withColumn("pct", F.round(F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(by)), 1))
+
+
+def discovered_since(rows: DataFrame, day: str) -> DataFrame:
+    """(id, discovered) of records first seen on a known day, on or after one (F-25); a bare year is no day."""
+    seen = F.when(F.length("first_seen") == 10, F.col("first_seen")).try_cast("date")
+    return rows.select("id", seen.alias("discovered")).where(F.col("discovered") >= F.lit(day).cast("date"))
+
+
+def suggestions(rows: DataFrame, slug: str, words: int = 3, least: int = 2, n: int = 5) -> DataFrame:
+    """The n shortest ids that hold one of the first words of an address that doesn't exist (F-24)."""
+    asked = [w for w in slug.lower().split("-") if len(w) >= least][:words]
+    if not asked:
+        return rows.limit(0).select("id")
+    held = [F.contains("id", F.lit(w)) for w in asked]
+    return rows.select("id").where(F.greatest(*held) if len(held) > 1 else held[0]).orderBy(F.length("id"), "id").limit(n)

@@ -140,13 +140,13 @@ for _name, (_view, _where) in FILTERS.items():
 @query("SELECT id, CAST(discovered AS STRING) AS discovered FROM (SELECT id, CASE WHEN length(first_seen) = 10 THEN CAST(first_seen AS DATE) END AS discovered FROM base) WHERE discovered >= DATE '2001-01-01'")
 def filter_discovered_since(t):
     """F-25."""
-    return t.base.select("id", F.when(F.length("first_seen") == 10, F.col("first_seen")).try_cast("date").alias("discovered")).where("discovered >= date'2001-01-01'").withColumn("discovered", F.col("discovered").cast("string"))
+    return views.discovered_since(t.base, "2001-01-01").withColumn("discovered", F.col("discovered").cast("string"))
 
 
 @query("SELECT id FROM base WHERE id LIKE '%77%' OR id LIKE '%12%' ORDER BY length(id), id LIMIT 5")
 def suggest_ids(t):
     """F-24."""
-    return t.companies.where(F.contains("id", F.lit("77")) | F.contains("id", F.lit("12"))).orderBy(F.length("id"), "id").limit(5).select("id")
+    return views.suggestions(t.companies, "77-x-12-of")
 
 
 # --- rows ---------------------------------------------------------------------------------------------------------
@@ -336,10 +336,11 @@ def enrichment_summary(t):
     return reports.enrichment_summary(t.companies, t.enrichment)
 
 
-@query("SELECT count(*) >= 10 AS has_ranked FROM base WHERE tier = 'A'")
+@query("""SELECT count(*) FILTER (trace_count <= 1) AS one_trace, count(*) FILTER (NOT is_company) AS not_companies,
+count(*) FILTER (length(first_seen) = 10 AND first_seen >= '2001-01-01') AS discovered, count(*) FILTER (tier = 'A') >= 10 AS has_ranked FROM base""")
 def has_ranked(t):
     """A-18."""
-    return t.base.where("tier = 'A'").agg((F.count("*") >= 10).alias("has_ranked"))
+    return reports.counts(t.base, "2001-01-01")
 
 
 @query("SELECT id, trace_count, outside_count, other_count FROM base")
@@ -790,7 +791,7 @@ def rate_limit_hour(t):
 @query("SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS questions, round(sum(value), 2) AS spent FROM events GROUP BY 1")
 def daily_spend(t):
     """A-23, D-10, O-16."""
-    return t.raw("events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("questions"), F.round(F.sum("value"), 2).alias("spent"))
+    return reports.spend_by_day(t.raw("events"), "ts", "value")
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -987,4 +988,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from lodestone.plans import features, nightly  # noqa: E402, F401 (they register their queries here)
+from lodestone.plans import features, nightly, readings  # noqa: E402, F401 (they register their queries here)

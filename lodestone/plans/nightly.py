@@ -20,7 +20,7 @@ TODAY = "2001-08-01"
 
 def made(t: Tables, sql: str, origin: str) -> DataFrame:
     """The rows of an input's SQL over one of the driver's tables."""
-    return t.spark.sql(sql.replace(f"FROM {origin}", "FROM {t}"), t=t.raw(origin))
+    return t.spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {origin}", "FROM {t}"), t=t.raw(origin))
 
 
 # --- texts --------------------------------------------------------------------------------------------------------
@@ -346,10 +346,14 @@ def valid_placements(t):
     return steps.valid_placements(answers, taxonomy)
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND levenshtein(lower(a.n_name), lower(b.n_name)) <= 2")
+_NAMES = "SELECT p_partkey AS id, substr(p_name, 1, 5) || ' ' || substr(p_brand, 7) || CASE WHEN p_partkey % 3 = 0 THEN ' Co' ELSE '' END AS name FROM part"
+
+
+@query(f""", n AS ({_NAMES}), f AS (SELECT lower(name) AS name, min(id) AS id FROM n GROUP BY 1)
+SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id < b.id AND levenshtein(a.name, b.name) <= 2 UNION ALL SELECT f.id, n.id FROM n JOIN f ON lower(n.name) = f.name WHERE n.id <> f.id""")
 def near_name_pairs(t):
     """E-19."""
-    return steps.near_duplicate_pairs(t.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+    return steps.near_duplicate_pairs(made(t, _NAMES, "part"))
 
 
 @query("SELECT id, CASE WHEN sector_id = '2' THEN 'State X' ELSE state END AS state, CASE WHEN city = 'jharkhand' THEN NULL ELSE city END AS city FROM companies")

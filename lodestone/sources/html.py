@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.text import without_contacts
+
 VOID = {"br", "hr", "img", "input", "link", "meta", "source", "wbr"}
 #: Text that a page is read by, at most, and the least that tells something (fixed values).
 MOST, THIN = 6000, 400
@@ -92,6 +96,17 @@ def read_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "meta", "headings", "paragraphs", "items", "links", "visible", "thin"])
 
 
+@F.pandas_udf(T.StringType())
+def plain_text(html: pd.Series) -> pd.Series:
+    """The visible text of fragments, with what was escaped before it was put into HTML unescaped as well."""
+    return html.map(lambda x: None if x is None else flat([unescape(" ".join(Page(x).text))]))
+
+
+def text_of(rows: DataFrame, html: str, name: str) -> DataFrame:
+    """rows with a column of HTML fragments as one line of plain text each, without contacts (X-07)."""
+    return rows.withColumn(name, plain_text(html)).withColumn(name, without_contacts(F.col(name)))
+
+
 CONTACT = T.StructType([T.StructField("email", T.StringType()), T.StructField("page", T.StringType()), T.StructField("kinds", LIST)])
 
 

@@ -130,6 +130,12 @@ def filled(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(*out)
 
 
+def fullest(rows: DataFrame, key: str, line: str, order: str) -> DataFrame:
+    """(key, line): of several lines of founders the one with the most separators, the first of equals (N-07)."""
+    marks = F.length(line) - F.length(F.translate(line, ",/&", ""))
+    return rows.where(F.col(line).isNotNull()).groupBy(key).agg(F.min_by(line, F.struct((-marks).alias("n"), F.col(order).alias("order"))).alias(line))
+
+
 def written_date(text: Column, this_year: int) -> Column:
     """struct<date, label, year> of an incubation date: a day, a period, a year, a financial year, or words (D-06).
 

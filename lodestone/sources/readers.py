@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import slug
@@ -40,6 +40,30 @@ def paged_json(spark: SparkSession, path: str, schema: str, id_col: str) -> Data
     return first_per(rows, [id_col], ["file", "pos"]).drop("file", "pos")
 
 
+def last_pages(pages: DataFrame, n: int) -> DataFrame:
+    """The last n pages of each industry (S-08): a register's newest entries. pages: industry, page (from 0), total."""
+    return pages.where((F.col("page") >= F.greatest(F.col("total") - n, F.lit(0))) & (F.col("page") < F.col("total")))
+
+
+def until_short(pages: DataFrame, size: int) -> DataFrame:
+    """The records of a listing's pages up to the first short one, or the one that reaches the total it gives (S-11).
+
+    pages: listing, page (from 1), total (or null), records (an array). Out come listing, page, place and record.
+    """
+    over = Window.partitionBy("listing").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    short = (F.size("records") < size) | F.coalesce(F.sum(F.size("records")).over(over.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("all"), F.lit(False))
+    known = pages.withColumn("all", F.first("total", ignorenulls=True).over(Window.partitionBy("listing").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ended = known.withColumn("ends", short).withColumn("ended", F.coalesce(F.max("ends").over(over), F.lit(False)))
+    return ended.where("not ended").select("listing", "page", F.posexplode("records").alias("place", "record"))
+
+
+def blanks_filled(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """One row of each key, the first, whose blanks among some columns are filled from later rows that have a value (S-11)."""
+    first, rest = F.struct(*order), [c for c in rows.columns if c not in (key, *columns)]
+    filled = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", first)).alias(c) for c in columns]
+    return rows.groupBy(key).agg(*filled, *[F.min_by(c, first).alias(c) for c in rest]).select(*rows.columns)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files with their paths and times (S-04)."""
     return spark.read.format("binaryFile").load(path)
