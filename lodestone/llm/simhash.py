@@ -10,6 +10,11 @@ whose codeword lies within 4 of both: they share an index. Of three segments, 2
 Keys that hold more than HOT fingerprints (a large group of near copies) are not paired up: their fingerprints are
 linked through one-bit variants, since two fingerprints are at 2 or fewer bits exactly if one variant is within a bit
 of both. That is 65 rows a fingerprint however large the group is, and as exact.
+
+`near_copies` is for copies that differ in more: at a shingle similarity of 0.8, fingerprints are some ten bits apart, where
+no segment of a code word survives. So texts meet on their fingerprints' links and on BANDS bands of ROWS least shingle
+hashes as well, and every pair that meets is verified by its whole shingle sets. The texts of a key with more than FEW
+meet the key's least text, and the least text of each pair of this key and another of theirs, instead of each other.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, raw, slices
 from lodestone.llm.components import connected_components
+from lodestone.llm.sketch import bitmap, in_bitmap
 
 #: Generator polynomial of the binary Golay code (fixed value).
 GENERATOR = 0xAE3
@@ -33,6 +39,10 @@ GENERATOR = 0xAE3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A key with more fingerprints is linked by variants instead of pairs.
 HOT = 32
+#: Bands of least shingle hashes, and hashes a band: of pairs at a similarity of 0.8, one in 300 shares none.
+BANDS, ROWS = 8, 3
+#: Texts of a band that are paired up, at most.
+FEW = 16
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -157,10 +167,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(owned.select("fp", "root").join(groups, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of docs that stay: one of each component, the one with the smallest id.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; of its whole sequence of words if they are fewer."""
+    words = (text or b"").lower().split()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = h[: len(h) - shingle + 1].copy()
+    for j in range(1, shingle):
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - shingle + 1 + j]
+    return np.unique(out)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key of each band: of the least hashes under ROWS orders."""
+    out = np.zeros(BANDS, np.uint64)
+    for i in range(BANDS * ROWS):
+        x = (hashes ^ np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        least = int((x ^ x >> np.uint64(32)).min())
+        out[i // ROWS] = xxhash.xxh64_intdigest(least.to_bytes(8, "little"), int(out[i // ROWS]) ^ i // ROWS)
+    return out
+
+
+def met(nodes: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): pairs of nodes (node, keys) that share a band; all pairs of up to FEW, else each node with the least one of the
+    band, and with the least one of each two bands that it shares."""
+    each = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    held = work.table(each.join(sizes, "key"))
+    cold = held.where(F.col("n") <= FEW)
+    pairs = cold.select("key", F.col("node").alias("a")).join(cold.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    hot = held.where(F.col("n") > FEW)
+    stars = hot.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    own = work.table(hot.select("node", "key").join(nodes, "node").select("node", F.explode(F.transform(F.array_remove("keys", F.col("key")), lambda x: F.xxhash64("key", x))).alias("both")))
+    least = work.table(own.groupBy("both").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("both", "a"))
+    finer = own.join(least, "both").where("node > a").select("a", F.col("node").alias("b"))
+    return pairs.union(stars).union(finer).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) for every row: texts whose sets of word shingles have a Jaccard similarity of `similarity` or more,
+    by chains, form a component.
+
+    Texts of the same words are one node before anything is joined. Every link is verified by whole sets; of the pairs at the
+    threshold one in 300 doesn't meet, of closer ones fewer. component_id is the smallest id in the component, null if it has
+    null ids only. Null, empty and blank texts are copies of each other; texts of fewer words than a shingle are compared as
+    a whole. Repeated rows stay repeated, and an empty table gives no rows.
+    """
+    work, kind = Workspace(docs.sparkSession, "copies"), docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = raw(batch)
+            nodes = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in own]
+            keys = [bands(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in own]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(nodes, pa.binary()), "fp": pa.array([fingerprint(t, shingle) for t in own], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    held = work.table(rows.mapInArrow(read, f"id {kind}, node binary, fp bigint, keys array<bigint>"))
+    # rows of one node have one fingerprint and one list of keys
+    nodes = work.table(held.groupBy("node", "fp", "keys").agg(F.min("id").alias("first")))
+    prints = work.table(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    same = nodes.join(prints.where("n > 1").select("fp", F.col("node").alias("a")), "fp").where("node > a").select("a", F.col("node").alias("b"))
+    close = links(prints, work)
+    for x in "ab":
+        close = close.join(prints.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")), x)
+    close = close.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    pairs = work.table(met(nodes.select("node", "keys"), work).union(same).union(close).distinct())
+    wanted = work.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    half = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("bigint")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(half.alias("h")), "h", wanted.count()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = raw(batch)
+            nodes = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in own]
+            asked = in_bitmap(sent.value, np.array([int.from_bytes(n[:8], "big") >> 4 for n in nodes], np.int64))
+            some = list({nodes[i]: i for i in np.flatnonzero(asked).tolist()}.values())
+            yield pa.RecordBatch.from_pydict({"node": pa.array([nodes[i] for i in some], pa.binary()), "shingles": pa.array([shingle_hashes(own[i], shingle).tobytes() for i in some], pa.binary())})
+
+    found = rows.select("text").mapInArrow(sets, "node binary, shingles binary").join(wanted, "node", "left_semi")
+    found = work.table(found.groupBy("node").agg(F.min("shingles").alias("shingles")))
+    for x in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")), x)
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                if min(len(u), len(v)) < similarity * max(len(u), len(v)):
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= similarity * (len(u) + len(v) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    edges = work.table(pairs.select("a", "b", "sa", "sb").mapInArrow(verified, "a binary, b binary"))
+    roots = connected_components(edges, work)
+    owned = work.table(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    groups = owned.groupBy("root").agg(F.min("first").alias("component_id"))
+    return held.select("id", "node").join(owned.select("node", "root").join(groups, "root").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: one of each component of `near_copies`, the one with the smallest id.
 
     Rows with a null id, and further rows of a kept id, can't be told apart by id: they stay.
     """
-    gone = near_duplicates(docs, id_col, text, shingle).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    gone = near_copies(docs, id_col, text, shingle, similarity).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -1,14 +1,15 @@
 """The corpus pipeline against a plain version of each stage, and the queries' registration."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lodestone.llm import langid, line_dedup
-from tests.llm.test_operators import components, lower_words, slow_fingerprint
+from lodestone.llm import langid, line_dedup, simhash
+from tests.llm.test_operators import lower_words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -49,11 +50,66 @@ def test_line_stage(spark, stages):
             assert after[i].text == kept and (after[i].text == r.text or after[i].n_chars == len(kept))
 
 
-def test_near_duplicate_stage(stages):
-    before, after = rows(stages[2]), rows(stages[3])
+@pytest.mark.parametrize("at", [2, 0])
+def test_near_duplicate_stage(spark, stages, at):
+    """All pairs by brute force: five-word shingles at a similarity of 0.8, by chains; the smallest id of each group stays.
+
+    The stage's own input, and the documents as they are, in which lines of copies haven't gone.
+    """
+    before = rows(stages[at])
+    after = rows(stages[3] if at == 2 else corpus_pipeline.simhash_near_dedup(spark, stages[0], SMALL))
     ids = sorted(before)
-    own = components([slow_fingerprint(before[i].text) for i in ids])
-    assert set(after) == {ids[k] for k in own}
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)}
+
+    own, root = [shingles(before[i].text) for i in ids], list(range(len(ids)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(ids)):
+        for b in range(a):
+            both = len(own[a] & own[b])
+            if both >= 0.8 * (len(own[a]) + len(own[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = {ids[k] for k in range(len(ids)) if root[k] == k}
+    assert set(after) == kept and (at == 2 or len(kept) < len(ids) - 5)
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_near_copies_are_found(spark, few, monkeypatch):
+    """Planted copies with 3 and 6 of 300 words replaced, alone and in a large group; clean texts that share a passage stay."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(41)
+
+    def words(n):
+        return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+    def copy(text, n):
+        text = list(text)
+        for i in rng.sample(range(len(text)), n):
+            text[i] = f"new{rng.randrange(1000)}"
+        return text
+
+    texts, passage = [], words(60)
+    for _ in range(60):
+        own = words(300)
+        texts += [own, copy(own, 3), copy(own, 6)]
+    group = words(300)
+    texts += [group, *(copy(group, 2) for _ in range(150))]
+    clean = [words(120) + passage + words(120) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + clean)], "doc_id bigint, text string")
+    found = {r.id: r.component_id for r in simhash.near_copies(docs).collect()}
+    firsts = [3 * (i // 3) for i in range(180)] + [180] * 151
+    for k in (1, 2):
+        assert sum(found[i] == firsts[i] for i in range(k, 180, 3)) >= 0.95 * 60
+    assert sum(found[i] == 180 for i in range(181, 331)) >= 0.99 * 150
+    assert all(found[i] == i for i in range(331, 391))
 
 
 def test_decontamination_stage(spark, stages):
@@ -101,5 +157,5 @@ def test_odd_rows(spark, stages, stage):
 
 def test_registration(spark):
     known = __spark_entry__.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in known) for n in range(1, 11)] == [1] * 10 and "pipeline" in known
+    assert [sum(k.startswith(f"op{n}_") for k in known) for n in range(1, 14)] == [1] * 13 and "pipeline" in known
     assert set(__spark_entry__.oracle_sql()) <= set(known)
