@@ -77,7 +77,7 @@ def classed_cards(t):
     return rows.select("page_id", F.explode(listings.cards(F.col("html"), "div", "card")).alias("c")).select("page_id", "c.*")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS title, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)))::INT AS links, regexp_matches(html, '<h1>[^<]') AS headed FROM pages")
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS title, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)))::INT AS links, regexp_matches(html, '<h1>[^<]') AS headed FROM pages""")
 def page_parts(t):
     """E-10: what is read off a page's markup."""
     found = t.raw("pages").select("page_id", html.read_page("html").alias("p"))
