@@ -124,21 +124,30 @@ def fan_out(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     return rows.join(answers, key, "left")
 
 
+def running(rows: DataFrame, value, order: list, group: list[str], name: str) -> DataFrame:
+    """rows with the sum of a value over the rows of their group up to them, in an order that tells rows apart.
+
+    Rows are dealt by ranges of group and order, summed range by range, and each range starts from what the ranges before
+    it have: no task holds a whole group, however few groups there are.
+    """
+    dealt = stored(rows.withColumn("__value", value).repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    per_part = dealt.groupBy("__part", *group).agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # null is a group as well
+    before = per_part.withColumn("__before", F.sum("__sum").over(earlier)).select("__part", "__before", F.struct(F.lit(0), *group).alias("__group"))
+    here = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("__here", F.sum("__value").over(here)).withColumn("__group", F.struct(F.lit(0), *group))
+    both = summed.alias("s").join(before.alias("b"), (F.col("s.__part") == F.col("b.__part")) & F.col("s.__group").eqNullSafe(F.col("b.__group")))
+    kind = rows.select(F.sum(value)).schema[0].dataType
+    return both.select(*[F.col(f"s.{c}") for c in rows.columns], (F.col("__here") + F.coalesce("__before", F.lit(0))).cast(kind).alias(name))
+
+
 def admit(rows: DataFrame, cost: str, order: list, ceiling: float, group: str | None = None) -> DataFrame:
-    """rows with `admitted`: the cost of the rows up to this one stays within the ceiling (W-09, E-14).
+    """rows with `spent`, the cost of the rows up to each, and `admitted`: it stays within the ceiling (W-09, E-14).
 
-    With a group, each has a budget of its own. Rows are dealt by ranges of group and order, summed range by range, and
-    each range starts from what the ranges before it have spent: no task holds a whole group. `order` tells rows apart.
+    With a group, each has a budget of its own.
     """
-    own = [group] if group else []
-    dealt = stored(rows.repartitionByRange(*own, *order).withColumn("__part", F.spark_partition_id()))
-    per_part = dealt.groupBy("__part", *own).agg(F.sum(cost).alias("__sum"))
-    earlier = Window.partitionBy(*own).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_part.withColumn("__before", F.sum("__sum").over(earlier)).drop("__sum")
-    here = Window.partitionBy("__part", *own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = dealt.withColumn("__here", F.sum(cost).over(here)).join(before, ["__part", *own])
-    total = F.col("__here") + F.coalesce("__before", F.lit(0))
-    return spent.withColumn("spent", total.cast(rows.select(F.sum(cost)).schema[0].dataType)).withColumn("admitted", F.col("spent") <= ceiling).select(*rows.columns, "spent", "admitted")
+    return running(rows, F.col(cost), order, [group] if group else [], "spent").withColumn("admitted", F.col("spent") <= ceiling)
 
 
 def needs_asking(entry_at: Column, outcome: Column, now: Column, days: int = 30) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.entity import RECOGNISED, label_supports, register_labels
 from lodestone.functions.text import name_key
+from lodestone.operators.link import running
 from lodestone.operators.merge import first_per
 from lodestone.operators.reports import NO_GAP
 from lodestone.operators.rounds import stored
@@ -90,9 +91,9 @@ def by_priority(rows: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def slices(companies: DataFrame, size: int = 50) -> DataFrame:
-    """companies with their upload slice per source; signals join it by company (K-01, T-06)."""
-    w = Window.partitionBy("source").orderBy("id")
-    return companies.withColumn("slice", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """companies with their upload slice per source, in the order of ids; signals join it by company (K-01, T-06)."""
+    numbered = running(companies, F.lit(1).cast("bigint"), ["id"], ["source"], "__n")
+    return numbered.withColumn("slice", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
@@ -150,9 +151,9 @@ def canonical(args: Column, known: tuple[str, ...], most: int = 200) -> Column:
 
 def reserved(log: DataFrame, cost: float, cap: float) -> DataFrame:
     """Questions with `allowed`: what the day has spent before each, with the reserve of those still pending, stays under the cap (U-15)."""
-    before = Window.partitionBy("day").orderBy("asked_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.coalesce("cost_usd", F.lit(cost))).over(before), F.lit(0.0))
-    return log.withColumn("allowed", spent + cost <= cap)
+    own = F.coalesce("cost_usd", F.lit(cost))
+    spent = running(log, own, ["asked_at", "id"], ["day"], "__spent")
+    return spent.withColumn("allowed", F.col("__spent") - own + cost <= cap).drop("__spent")
 
 
 def migrated(rows: DataFrame, changes: dict[str, tuple[Column, Column]]) -> DataFrame:
