@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.said import register_text
 from lodestone.functions.text import csv_field
+from lodestone.operators.link import running
 
 # The columns of the file, in their order.
 COLUMNS = (
@@ -74,8 +75,13 @@ def header() -> str:
     return "\ufeff" + ",".join(f'"{c}"' for c in COLUMNS)
 
 
-def write(ordered: DataFrame, site: str, path: str) -> None:
-    """Write records in the order of their column pos; the parts of the folder, one after another, are the file."""
-    numbered = lines(ordered, site).join(ordered.select("id", "pos"), "id").select("pos", "line")
-    first = ordered.sparkSession.createDataFrame([(-1, header())], "pos int, line string")
-    numbered.unionByName(first).orderBy("pos").select("line").write.option("lineSep", "\r\n").text(path)
+def file(rows: DataFrame, order: list, site: str) -> DataFrame:
+    """(pos, line): the lines of the file in an order that tells rows apart, from 1 on, and its header at 0."""
+    numbered = running(rows, F.lit(1).cast("bigint"), order, [], "pos")
+    first = rows.sparkSession.createDataFrame([(0, header())], "pos bigint, line string")
+    return lines(numbered, site).join(numbered.select("id", "pos"), "id").select("pos", "line").unionByName(first)
+
+
+def write(rows: DataFrame, order: list, site: str, path: str) -> None:
+    """Write records in an order; the parts of the folder, one after another, are the file."""
+    file(rows, order, site).orderBy("pos").select("line").write.option("lineSep", "\r\n").text(path)

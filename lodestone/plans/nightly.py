@@ -436,3 +436,58 @@ def csv_export(t):
     """K-04: all 41 columns, with quotes and formulas in some names."""
     name = F.when(F.col("id").endswith("3"), F.concat(F.lit('="'), "name", F.lit('"'))).otherwise(F.col("name"))
     return export.lines(t.base.withColumn("name", name), "https://x.example")
+
+
+# --- a run with signals and gaps ----------------------------------------------------------------------------------
+
+# old tables without one source, a batch of that source with its signals and gaps, and some merges
+_WHOLE = """
+, k AS (SELECT *, CAST(substr(id, 2) AS INT) AS k FROM companies),
+placed AS (SELECT id, website_identity FROM k WHERE k % 4 = 0), known AS (SELECT id FROM k WHERE k % 3 <> 0 OR k % 4 = 0),
+holes AS (SELECT company_id FROM gaps WHERE company_id LIKE 'c%'), gone AS (SELECT company_id FROM holes WHERE company_id NOT IN (SELECT id FROM placed)),
+rows AS (SELECT id, CAST(substr(id, 2) AS INT) AS k FROM known WHERE id NOT IN (SELECT company_id FROM gone)),
+m AS (SELECT id AS src FROM rows WHERE k % 30 = 5 AND 'c' || CAST(k - 1 AS STRING) IN (SELECT id FROM rows)),
+old AS (SELECT * FROM signals WHERE source <> 'sine-iitb'),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, type, label ORDER BY date NULLS FIRST, source) AS n FROM signals WHERE source = 'sine-iitb') WHERE n = 1 AND company_id IN (SELECT id FROM known)),
+after AS (SELECT company_id, type, label, date, source FROM old UNION ALL SELECT company_id, type, label, date, source FROM fresh ANTI JOIN old USING (company_id, type, label))
+"""
+
+
+def _run_with_all(t):
+    k = F.substring("id", 2, 9).cast("int")
+    whole = t.companies.withColumns({"product_status": F.lit(None).cast("string"), "trace_count": F.lit(0), "outside_count": F.lit(0), "other_count": F.lit(0), "tier": F.lit("C")})
+    mine = F.col("source") == "sine-iitb"
+    gap = F.col("company_id").startswith("c")
+    old = merge.Snapshot(whole.where(k % 3 != 0), t.signals.where(~mine), t.gaps)
+    batch = merge.Snapshot(whole.where(k % 4 == 0).withColumn("source_year", F.col("founded_year")), t.signals.where(mine), t.gaps.where(gap).withColumns({"missing": F.lit("new hole"), "description": F.lit(None).cast("string")}))
+    merges = t.companies.where(k % 30 == 5).select(F.col("id").alias("from"), F.concat(F.lit("c"), k - 1).alias("into"))
+    return merge.ingest(old, t.runs, "sine-iitb", batch, merges, t.now)
+
+
+@query(_WHOLE + """SELECT company_id, type, label, date, source FROM after WHERE company_id NOT IN (SELECT company_id FROM gone) AND company_id NOT IN (SELECT src FROM m)
+AND NOT (type = 'website' AND company_id IN (SELECT id FROM placed WHERE website_identity <> 'verified'))""")
+def ingest_run_signals(t):
+    """U-02, U-04, U-05, U-12, U-13, J-21, T-03: a run's signals: new ones of known companies, without withdrawn and merged ones."""
+    return _run_with_all(t).snapshot.signals.select("company_id", "type", "label", "date", "source")
+
+
+@query(_WHOLE + """SELECT company_id, name, CASE WHEN company_id LIKE 'c%' THEN 'new hole' ELSE missing END AS missing, description, source FROM gaps
+WHERE company_id NOT IN (SELECT id FROM placed) AND company_id NOT IN (SELECT src FROM m)""")
+def ingest_run_gaps(t):
+    """U-03, U-04, J-23: a run's gaps: renewed, and none for what the run placed."""
+    return _run_with_all(t).snapshot.gaps.select("company_id", "name", "missing", "description", "source")
+
+
+@query(_WHOLE + """SELECT id FROM rows WHERE id NOT IN (SELECT src FROM m)""")
+def ingest_run_rows(t):
+    """U-01, U-04, U-12, J-24: the rows that a run leaves."""
+    return _run_with_all(t).snapshot.companies.select("id")
+
+
+_LINES = f"""SELECT id, trace_count, first_seen, {' || chr(44) || '.join(_cell(f'({_CELLS[c]})') for c in export.COLUMNS)} AS line FROM base WHERE trace_count >= 3"""
+
+
+@query(f""", l AS ({_LINES}) SELECT row_number() OVER (ORDER BY trace_count, first_seen DESC NULLS LAST, id) AS pos, line FROM l UNION ALL SELECT 0, chr(65279) || '{','.join(f'"{c}"' for c in export.COLUMNS)}'""")
+def csv_file(t):
+    """K-04: the file of a view, whole and in the view's order, under its header."""
+    return export.file(views.filtered(t.base, t.signals, views.View(traces="3+")), ["trace_count", F.desc_nulls_last("first_seen"), "id"], "https://x.example")

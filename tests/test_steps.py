@@ -108,8 +108,8 @@ def test_near_names_with_a_typo_in_the_first_word(spark):
 
 
 def test_export_file(spark, tmp_path):
-    rows = spark.createDataFrame([("b", 1, '=1"', None), ("a", 0, "né", "verified")], "id string, pos int, name string, website_identity string").withColumns({"product": F.lit("x"), "contact_email": F.lit("a@b.example")})
-    export.write(rows, "https://x.example", str(tmp_path / "out"))
+    rows = spark.createDataFrame([("b", 1, '=1"', None), ("a", 0, "né", "verified")], "id string, place int, name string, website_identity string").withColumns({"product": F.lit("x"), "contact_email": F.lit("a@b.example")})
+    export.write(rows, ["place"], "https://x.example", str(tmp_path / "out"))
     text = "".join(p.read_text(encoding="utf-8", newline="") for p in sorted((tmp_path / "out").glob("part-*")))
     lines = text.split("\r\n")
     assert lines[0].startswith('\ufeff"name","builds"') and lines[0].count('","') == 40 and lines[3] == ""
