@@ -293,7 +293,8 @@ def contested(rows: DataFrame, counts: DataFrame, length: int, work: Workspace)
 
     # most classes have one unit, and aren't shuffled with their bytes
     near = rows.select(*KEY, "low", "left", "right").where(may_be_open("c1")).join(classes, ["c1", "c2"])
-    open_units = work.table(near.join(counts, KEY).dropDuplicates(KEY))
+    # each unit once before it meets its count, so that a unit of very many places is no large group
+    open_units = work.table(work.table(near.dropDuplicates(KEY)).join(counts, KEY))
 
     def keys(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
         """The key of each window; with a bitmap, of the windows of single units whose key is in it."""
