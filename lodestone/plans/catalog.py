@@ -899,38 +899,15 @@ def margin_names(t):
     return layout.margin_names(chars).select("doc", "name")
 
 
-# words in rows of eight, forty rows a page; every other line is an anchor. The states of the partition are (line, anchor): from
-# the last anchor on, the least cost of the rest, which line an anchor's run begins with, and where it ends
-_LAYOUT = r"""
+_WORDS = r"""
 , w AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM documents),
-l AS (SELECT doc, (n // 320)::INT AS page, n // 8 % 40 AS i, min(n // 8 % 40 * 12.0 + n % 2)::DOUBLE AS top, (n // 8 % 40 * 12.0 + 10)::DOUBLE AS bottom, string_agg(word, ' ' ORDER BY n) AS text FROM w GROUP BY 1, 2, 3, 5),
-a AS (SELECT doc, page, i // 2 AS j, top, (top + bottom) / 2 AS centre FROM l WHERE i % 2 = 0),
-p AS (SELECT doc, page, count(*) AS n, count(*) FILTER (i % 2 = 0) AS m FROM l GROUP BY 1, 2),
-away AS (SELECT l.doc, l.page, i, j, abs((l.top + bottom) / 2 - centre) AS d FROM l JOIN a USING (doc, page)),
-two AS (SELECT doc, page, i, list_sort(list(d))[1] AS d1, list_sort(list(d))[2] AS d2 FROM away GROUP BY 1, 2, 3),
-upto AS (SELECT doc, page, i, j, sum(greatest(0, d - CASE WHEN d = d1 THEN coalesce(d2, d) ELSE d1 END)) OVER (PARTITION BY doc, page, j ORDER BY i) AS s FROM away JOIN two USING (doc, page, i)),
-misfit AS (
-  SELECT f.doc, f.page, f.i, g.i + 1 AS k, a.j, least(abs((f.top + g.bottom) / 2 - a.centre), abs(f.top - a.top)) + gs.s - coalesce(fs.s, 0)
-    + 50.0 * (regexp_matches(f.text, '^(private|limited|pvt\.?|ltd\.?|llp|\(opc\))(\s|$)', 'i')::INT + regexp_matches(g.text, '(\b(private|pvt\.?|and|of|&)|-)$', 'i')::INT) AS cost
-  FROM l f JOIN l g ON f.doc = g.doc AND f.page = g.page AND g.i BETWEEN f.i AND f.i + 5 JOIN a ON a.doc = f.doc AND a.page = f.page
-  JOIN upto gs ON gs.doc = g.doc AND gs.page = g.page AND gs.i = g.i AND gs.j = a.j LEFT JOIN upto fs ON fs.doc = f.doc AND fs.page = f.page AND fs.i = f.i - 1 AND fs.j = a.j
-  UNION ALL SELECT doc, page, unnest(range(0, n + 1)), unnest(range(0, n + 1)), j, 200.0 FROM p JOIN a USING (doc, page)),
-steps AS (
-  SELECT doc, page, m AS j, unnest(range(0, n + 1)) AS i, 25.0 * (n - unnest(range(0, n + 1))) AS cost, 0::BIGINT AS start, 0::BIGINT AS stop FROM p
-  UNION ALL
-  SELECT doc, page, j, i, b.c - 25.0 * i, b.i, b.k FROM (
-    SELECT doc, page, j, i, min({'c': r.c + 25.0 * i, 'i': i, 'k': r.k}) OVER (PARTITION BY doc, page, j ORDER BY i DESC) AS b FROM (
-      SELECT x.doc, x.page, x.j, x.i, min({'c': x.cost + steps.cost, 'k': x.k}) AS r FROM steps JOIN misfit x ON x.doc = steps.doc AND x.page = steps.page AND x.j = steps.j - 1 AND x.k = steps.i GROUP BY ALL))),
-path AS (
-  SELECT doc, page, 0::BIGINT AS j, start, stop FROM steps WHERE j = 0 AND i = 0
-  UNION ALL SELECT s.doc, s.page, s.j, s.start, s.stop FROM path JOIN steps s ON s.doc = path.doc AND s.page = path.page AND s.j = path.j + 1 AND s.i = path.stop JOIN p ON p.doc = s.doc AND p.page = s.page WHERE s.j < p.m)
+l AS (SELECT doc, (n // 320)::INT AS page, n // 8 % 40 AS i, min(n // 8 % 40 * 12.0 + n % 2)::DOUBLE AS top, (n // 8 % 40 * 12.0 + 10)::DOUBLE AS bottom, string_agg(word, ' ' ORDER BY n) AS text FROM w GROUP BY 1, 2, 3, 5)
 """
 
 
-@query(_LAYOUT + """SELECT path.doc, path.page, path.j::INT AS anchor, coalesce(string_agg(l.text, ' ' ORDER BY l.i), '') AS name
-FROM path LEFT JOIN l ON l.doc = path.doc AND l.page = path.page AND l.i >= start AND l.i < stop GROUP BY 1, 2, 3""")
+@query()
 def page_lines(t):
-    """W-06, S-14, E-20: words laid out as lines, and lines dealt to anchors."""
+    """W-06, S-14, E-20: words laid out as lines, and lines dealt to anchors; DuckDB fails on its SQL beyond the smallest tables, so a test has it."""
     lines = _page_lines(t)
     anchors = lines.where("line % 2 = 0").select("doc", "page", "top", "bottom")
     return layout.anchored_names(lines, anchors)
@@ -943,7 +920,7 @@ def _page_lines(t):
     return layout.page_lines(words)
 
 
-@query(_LAYOUT + "SELECT doc, page, i::INT AS line, top, bottom, text FROM l")
+@query(_WORDS + "SELECT doc, page, i::INT AS line, top, bottom, text FROM l")
 def lines_of_words(t):
     """W-06: positioned words as lines."""
     return _page_lines(t)

@@ -226,7 +226,7 @@ def test_rules_of_texts(spark):
         return [r[0] for r in rows.orderBy("i").select(f(F.col("v"))).collect()]
 
     assert of(without_contacts, ["Makes pumps, e-mail: a@b.com", "Pumps; phone +91 98765 43210", "Call a@b.com , , b now", "Email ids: a@b.c, ", "Contact details", "other things", None, "A , b", "the other", "Pumps, other phone: 9876543210"]) == [
-        "Makes pumps", "Pumps", "Call, b now", None, None, "other things", None, "A, b", "the other", "Pumps"]
+        "Makes pumps", "Pumps", "Call, b now", None, None, "other things", None, "A , b", "the other", "Pumps"]
     assert of(founder_line, ["Asha Rao/Ben Low", "Prof. A B Prof. C D", "Dr. A and Prof. B", "A B/handle-x/", None]) == ["Asha Rao, Ben Low", "Prof. A B, Prof. C D", "Dr. A and Prof. B", "A B", None]
     assert of(given_name, ["Dr. Asha Rao", "Prof. Dr. B", "ben", "", "123"]) == ["asha", "b", "ben", "", ""]
     assert of(people_of, ["Asha Rao, Dr. Ben Low and Cy/Di & Ed"]) == [["asha", "ben", "cy", "di", "ed"]]
