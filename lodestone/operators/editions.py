@@ -23,7 +23,8 @@ def own_category(category: Column, name: Column, sector: Column) -> Column:
 
     A category that repeats the company's name is none.
     """
-    parts = F.split(F.trim(category), r"\s*–\s*|\s+-\s+", 2)
+    # a long dash cuts wherever it stands, a hyphen between blanks
+    parts = F.split(F.regexp_replace(F.replace(F.trim(category), F.lit("–"), F.lit(" - ")), r"\s+", " "), " - ", 2)
     prefix, rest = F.get(parts, F.lit(0)), F.trim(F.get(parts, F.lit(1)))
     repeats = (letters(category) == letters(name)) | F.contains(F.lower(category), F.lower(name))
     dashed = (F.size(parts) == 2) & (rest != "")

@@ -41,7 +41,9 @@ MAIL_HOSTS = "gmail.com googlemail.com yahoo.com yahoo.co.in yahoo.in ymail.com
 MAILBOXES = "info contact contactus hello sales business enquiry enquiries inquiry inquiries connect support office admin team mail"
 NO_MAILBOX = "noreply no-reply donotreply do-not-reply mailer-daemon postmaster example test user name yourname your-name you email someone username abuse webmaster wordpress"
 OTHER_MAILBOX = ("career", "humancapital", "recruit", "hiring", "talent", "resume", "privacy", "grievance", "legal")
-OTHER_MAILBOX_WHOLE = "hr cv dpo"
+OTHER_MAILBOX_WHOLE = "hr cv dpo human.resources human-resources humanresources"
+JOB_PARTS, JOB_WORDS = ("career", "hiring", "vacanc", "recruit"), "job jobs join-us joinus"
+ROLE_LEADS = "application apply position role job"
 PARKED = ("domain for sale", "domain is for sale", "domain may be for sale", "domain parked", "domain is parked", "buy this domain", "this domain name", "parkingcrew", "sedoparking", "hugedomains", "coming soon", "under construction", "website is coming")
 NO_OPENINGS = ("no openings", "no current openings", "no open openings", "no vacancies", "no current vacancies", "no positions", "no open positions", "no job openings", "no open roles", "not hiring")
 FILES = "pdf jpg jpeg png gif svg webp doc docx xls xlsx ppt pptx zip mp4 vcf"
@@ -203,15 +205,23 @@ def with_kind_pages(rows: DataFrame) -> DataFrame:
     return rows.drop("__marked", "__used")
 
 
+def address(text: Column) -> Column:
+    """A mail address in lower case without the marks around it; empty if it is none."""
+    bare = F.lower(F.btrim(text, F.lit(" .,;:()<>[]\"'")))
+    local, domain = F.substring_index(bare, "@", 1), F.substring_index(bare, "@", -1)
+    labels = F.split(domain, r"\.")
+    named = F.forall(labels, lambda x: x.rlike("^[a-z0-9-]+$")) & (F.size(labels) > 1) & F.element_at(labels, -1).rlike("^[a-z]{2,24}$")
+    return F.when((F.size(F.split(bare, "@")) == 2) & local.rlike("^[a-z0-9][a-z0-9._%+-]*$") & (F.length(local) <= 64) & named, bare).otherwise("")
+
+
 def contact_email(mails: Column, visible: Column, own: Column) -> Column:
     """The site's own address: a mailbox for strangers first, in the order of MAILBOXES, then the first on the page."""
-    pattern = r"(?i)(?<![\w.%+-])([a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]+\.)+[a-z]{2,24})(?![\w-])"
-    linked = F.transform(mails, lambda m: F.regexp_extract(F.btrim(m, F.lit(" .,;:()<>[]\"'")), "(?i)^[a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]+\\.)+[a-z]{2,24}$", 0))
-    found = F.transform(F.concat(linked, F.regexp_extract_all(visible, F.lit(pattern), 1)), lambda m: F.lower(m))
+    words = F.filter(F.split(F.translate(visible, "<>()[]\"',;:/\\", " " * 13), r"\s+"), lambda w: F.contains(w, F.lit("@")))
+    found = F.transform(F.concat(mails, words), address)
 
     def good(m: Column) -> Column:
         local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
-        other = any_of(local, OTHER_MAILBOX) | local.isin(*OTHER_MAILBOX_WHOLE.split(" ")) | local.rlike("jobs?$|human[.]?resources")
+        other = any_of(local, OTHER_MAILBOX) | local.isin(*OTHER_MAILBOX_WHOLE.split(" ")) | F.endswith(local, F.lit("job")) | F.endswith(local, F.lit("jobs"))
         return (m != "") & F.coalesce(registrable(domain) == own, F.lit(False)) & ~domain.isin(*MAIL_HOSTS.split(" ")) & ~local.isin(*NO_MAILBOX.split(" ")) & ~other
 
     order = F.array(*map(F.lit, MAILBOXES.split(" ")))
@@ -225,7 +235,7 @@ def contact_page(links: Column, own: Column, website: Column) -> Column:
 
     def elsewhere(x: Column) -> Column:
         root = is_root(x) & (x["query"] == "")
-        jobs = F.lower(x["path"]).rlike(r"career|jobs?\b|hiring|join[-_ ]?us|vacanc|recruit")
+        jobs = any_of(F.lower(x["path"]), JOB_PARTS) | path_has(x["path"], JOB_WORDS)
         return F.coalesce(registrable(host(x["url"])) == own, F.lit(False)) & ~root & (F.rtrim(x["url"], F.lit("/")) != home) & ~is_file(x["path"]) & ~jobs
 
     pages = F.filter(links, elsewhere)
@@ -266,7 +276,16 @@ def role_titles(bits: Column) -> Column:
         short = F.length(b).between(4, 60) & (F.size(F.split(b, " ")) <= 6) & ~b.rlike("[.,;]$")
         return short & F.exists(w, lambda x: F.array_contains(roles, x) | F.array_contains(roles, stem(x))) & ~F.exists(w, lambda x: F.array_contains(other, x))
 
-    named = F.transform(F.filter(bits, is_role), lambda b: F.regexp_replace(b, r"(?i)^(?:application|apply|position|role|job)\s*[:–-]\s*", ""))
+    def title(b: Column) -> Column:
+        """What follows a word such as `Job:`."""
+        out = b
+        for mark in (":", "–", "-"):
+            lead = F.substring_index(b, mark, 1)
+            led = F.contains(b, F.lit(mark)) & F.lower(F.trim(lead)).isin(*ROLE_LEADS.split(" "))
+            out = F.when(led, F.ltrim(F.substr(b, F.length(lead) + 2))).otherwise(out)
+        return out
+
+    named = F.transform(F.filter(bits, is_role), title)
     return F.transform(named, lambda b, i: F.struct(F.array_join(F.regexp_extract_all(F.lower(b), F.lit("([a-z0-9]+)"), 1), " ").alias("k"), i.alias("i"), b.alias("b")))
 
 
