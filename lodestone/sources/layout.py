@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,52 @@ UNFINISHED = re.compile(r"(?:\b(?:private|pvt\.?|and|of|&)|-)$", re.IGNORECASE)
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc, page, line, top, bottom, text) of positioned words (doc, page, text, x0, x1, top, bottom).
 
-    A line begins where a word's top is further from the line's first word than SAME_LINE. One page is one group.
+    A line begins where a word's top is further from the line's first word than SAME_LINE. The words are sorted by page and
+    height and read in one pass, which holds a batch and the words of the line that is open.
     """
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        number, first, numbers = -1, None, []
-        for top in page["top"]:
-            if first is None or abs(top - first) > SAME_LINE:
-                number, first = number + 1, top
-            numbers.append(number)
-        held = page.assign(line=numbers).sort_values(["line", "x0"], kind="stable").groupby("line", as_index=False)
-        out = held.agg(top=("top", "min"), bottom=("bottom", "max"), text=("text", " ".join))
-        return out.assign(doc=page["doc"].iloc[0], page=page["page"].iloc[0])[["doc", "page", "line", "top", "bottom", "text"]]
-
-    return words.groupBy("doc", "page").applyInPandas(lines, "doc string, page int, line int, top double, bottom double, text string")
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, first, held = None, -1, None, []
+
+        def closed(batch: pa.RecordBatch, starts: list[int], keys: list[tuple]) -> pa.RecordBatch:
+            """The lines that begin at the rows `starts`, each with its words by x0."""
+            starts = np.array(starts)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+            x0, top, bottom = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "top", "bottom"))
+            words = batch.column("text").take(pa.array(np.lexsort((x0, of)))).to_pylist()
+            ends = [*starts[1:].tolist(), batch.num_rows]
+            texts = [" ".join(w for w in words[i:j] if w is not None) for i, j in zip(starts.tolist(), ends, strict=True)]
+            docs, pages, numbers = zip(*keys, strict=True)
+            columns = [pa.array(docs, pa.string()), pa.array(pages, pa.int32()), pa.array(numbers, pa.int32()), pa.array(np.fmin.reduceat(top, starts)), pa.array(np.fmax.reduceat(bottom, starts)), pa.array(texts, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["doc", "page", "line", "top", "bottom", "text"])
+
+        for batch in batches:
+            starts, keys = [], []
+            of_rows = zip(batch.column("doc").to_pylist(), batch.column("page").to_pylist(), batch.column("top").to_numpy(zero_copy_only=False).tolist(), strict=True)
+            for i, (doc, page, top) in enumerate(of_rows):
+                if first is None or (doc, page) != key:
+                    key, number = (doc, page), 0
+                elif abs(top - first) > SAME_LINE:
+                    number += 1
+                else:
+                    continue
+                first = top
+                starts.append(i)
+                keys.append((doc, page, number))
+            if not starts:
+                held.append((batch, None))
+                continue
+            if held:  # the line left open ends before the first start
+                whole = pa.Table.from_batches([b for b, _ in held] + [batch.slice(0, starts[0])]).combine_chunks().to_batches()[0]
+                yield closed(whole, [0], [held[0][1]])
+            if len(starts) > 1:
+                yield closed(batch.slice(starts[0], starts[-1] - starts[0]), [i - starts[0] for i in starts[:-1]], keys[:-1])
+            held = [(batch.slice(starts[-1]), keys[-1])]
+        if held:
+            yield closed(pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0], [0], [held[0][1]])
+
+    kept = words.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("top", "x0", "bottom")], "text")
+    ordered = kept.repartition("doc", "page").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("doc", "page", "top", "x0", "bottom", "text")])
+    return ordered.mapInArrow(lines, "doc string, page int, line int, top double, bottom double, text string")
 
 
 def margin_names(chars: DataFrame, margin: float = 120.0, pitch: float = 6.0, gap: float = 1.5) -> DataFrame:

@@ -136,3 +136,27 @@ def test_partition_equals_sql(spark):
     wanted = {row[0] for row in expected}
     found = catalog.queries()["page_lines"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(tuple(r) for r in found if r.doc in wanted) == expected and len(expected) > 1000
+
+
+def test_lines_go_on_over_batches(spark):
+    """The lines of pages that are cut into batches of three words, with words without a text, equal those of a plain loop."""
+    rng = random.Random(3)
+    words = [(f"d{i % 5}", i % 2, rng.choice(["a", "b", None]), float(rng.randrange(9)), 0.0, rng.randrange(40) * 0.75, float(rng.randrange(90))) for i in range(300)]
+    words += [("long", 0, str(i), float(-i), 0.0, 1.0, 2.0) for i in range(20)]
+    expected = []
+    for page in sorted({w[:2] for w in words}):
+        lines = []
+        for w in sorted((w for w in words if w[:2] == page), key=lambda w: (w[5], w[3], w[6], w[2] is None, w[2] or "")):
+            if not lines or abs(w[5] - lines[-1][0][5]) > layout.SAME_LINE:
+                lines.append([])
+            lines[-1].append(w)
+        expected += [(*page, n, min(w[5] for w in x), max(w[6] for w in x), " ".join(w[2] for w in sorted(x, key=lambda w: w[3]) if w[2])) for n, x in enumerate(lines)]
+    df = spark.createDataFrame(words, "doc string, page int, text string, x0 double, x1 double, top double, bottom double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        found = layout.page_lines(df)
+        assert sorted(map(tuple, found.collect())) == expected
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # a call of Python a page takes longer than its words
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
