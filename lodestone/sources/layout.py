@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points: words this near in height to a line's first word are on that line (fixed value).
 SAME_LINE = 2.0
 # Costs of an assignment in points, and the most lines that a name takes.
 SKIPPED, EMPTY, BROKEN, MOST_LINES = 25.0, 200.0, 50.0, 6
+#: Numbers worked on at a time.
+BLOCK = 1 << 20
 CONTINUES = re.compile(r"^(?:private|limited|pvt\.?|ltd\.?|llp|\(opc\))(?:\s|$)", re.IGNORECASE)
 UNFINISHED = re.compile(r"(?:\b(?:private|pvt\.?|and|of|&)|-)$", re.IGNORECASE)
 
@@ -84,7 +84,7 @@ def margin_names(chars: DataFrame, margin: float = 120.0, pitch: float = 6.0, ga
 
 
 def misfit(lines: list[tuple], anchors: list[tuple], i: int, k: int, j: int) -> float:
-    """How badly lines i to k (top, bottom, text) fit anchor j (top, bottom)."""
+    """How badly lines i to k (top, bottom, text) fit anchor j (top, bottom); `misfits` works it out for many."""
     if i == k:
         return EMPTY
     centre = [(a + b) / 2 for a, b in anchors]
@@ -96,36 +96,97 @@ def misfit(lines: list[tuple], anchors: list[tuple], i: int, k: int, j: int) ->
     return cost + BROKEN * (bool(CONTINUES.match(lines[i][2])) + bool(UNFINISHED.search(lines[k - 1][2])))
 
 
+def misfits(lines: list[tuple], anchors: list[tuple], js: slice) -> np.ndarray:
+    """[line, k, anchor]: how badly the k lines (top, bottom, text) from a line on fit each anchor (top, bottom) of `js`; without
+    end where the page has fewer lines."""
+    n = len(lines)
+    top, bottom = (np.array([x[c] for x in lines], float) for c in (0, 1))
+    middle, centre = (top + bottom) / 2, np.array([(a + b) / 2 for a, b in anchors])
+    near, head = centre[js], np.array([a for a, _ in anchors])[js]
+    # an anchor's distance beyond that of the nearest other one
+    further = np.zeros((n, len(near)))
+    step = max(1, BLOCK // len(anchors))
+    for i in range(0, n if len(anchors) > 1 else 0, step):
+        away = np.abs(middle[i : i + step, None] - centre)
+        best, (low, second) = away.argmin(1), np.partition(away, 1, axis=1)[:, :2].T
+        other = np.where(np.arange(len(anchors))[js] == best[:, None], second[:, None], low[:, None])
+        further[i : i + step] = np.fmax(0.0, away[:, js] - other)
+    broken = np.array([bool(CONTINUES.match(x[2] or "")) for x in lines], int), np.array([bool(UNFINISHED.search(x[2] or "")) for x in lines], int)
+    out = np.full((n + 1, MOST_LINES + 1, len(near)), np.inf)
+    out[:, 0] = EMPTY
+    for k in range(1, min(n, MOST_LINES) + 1):
+        m = n - k + 1
+        cost = np.minimum(np.abs(((top[:m] + bottom[k - 1 :]) / 2)[:, None] - near), np.abs(top[:m, None] - head))
+        for i in range(k):
+            cost = cost + further[i : i + m]
+        out[:m, k] = cost + (BROKEN * (broken[0][:m] + broken[1][k - 1 :]))[:, None]
+    return out
+
+
 def assign(lines: list[tuple], anchors: list[tuple]) -> list[tuple[int, int]]:
-    """The run of lines, as (from, to), of each anchor: in order, lines may be left out, at the least total cost."""
-    @cache
-    def best(i: int, j: int) -> tuple[float, tuple]:
-        """The least cost of lines from i on and anchors from j on, and the runs."""
-        if j == len(anchors):
-            return SKIPPED * (len(lines) - i), ()
-        choices = []
-        for k in range(i, min(len(lines), i + MOST_LINES) + 1):
-            rest, runs = best(k, j + 1)
-            choices.append((misfit(lines, anchors, i, k, j) + rest, ((i, k), *runs)))
-        if i < len(lines):
-            rest, runs = best(i + 1, j)
-            choices.append((SKIPPED + rest, runs))
-        return min(choices, key=lambda c: c[0])
-
-    return list(best(0, 0)[1])
+    """The run of lines, as (from, to), of each anchor: in order, lines may be left out, at the least total cost.
+
+    Anchor by anchor from the last one, best[i] is the least cost of the lines from i on and the anchors from this one on.
+    Of equal costs the fewest lines count, and leaving a line out counts last.
+    """
+    n, m = len(lines), len(anchors)
+    best = np.append(SKIPPED * (n - np.arange(n + 1)), np.full(MOST_LINES, np.inf))
+    ahead = np.arange(n + 1)[:, None] + np.arange(MOST_LINES + 1)
+    taken = np.zeros((m, n + 1), np.int8)  # how many lines anchor j takes at line i, -1 to leave line i out
+    width = max(1, BLOCK // ((n + 1) * (MOST_LINES + 1)))
+    for stop in range(m, 0, -width):
+        start = max(0, stop - width)
+        costs = misfits(lines, anchors, slice(start, stop))
+        for j in range(stop - 1, start - 1, -1):
+            total = costs[:, :, j - start] + best[ahead]
+            take = total.argmin(1)
+            least, skipped = total[np.arange(n + 1), take].tolist(), []
+            for i in range(n - 1, -1, -1):
+                if SKIPPED + least[i + 1] < least[i]:
+                    least[i] = SKIPPED + least[i + 1]
+                    skipped.append(i)
+            take[skipped] = -1
+            taken[j], best[: n + 1] = take, least
+    runs, i = [], 0
+    for j in range(m):
+        while taken[j, i] < 0:
+            i += 1
+        runs.append((i, i + int(taken[j, i])))
+        i = runs[-1][1]
+    return runs
 
 
 def anchored_names(lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc, page, anchor, name): the lines (doc, page, top, bottom, text) dealt to the anchors (doc, page, top, bottom) of their page."""
-    def deal(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return pd.DataFrame(columns=["doc", "page", "anchor", "name"])
-        a, b = a.sort_values("top"), b.sort_values("top")
-        held = list(zip(a["top"], a["bottom"], a["text"], strict=True))
-        runs = assign(held, list(zip(b["top"], b["bottom"], strict=True)))
-        names = [" ".join(x[2] for x in held[i:k]) for i, k in runs]
-        return pd.DataFrame({"doc": b["doc"].iloc[0], "page": b["page"].iloc[0], "anchor": range(len(runs)), "name": names})
-
-    lines = lines.select("doc", "page", "top", "bottom", "text")
-    anchors = anchors.select(*[F.col(c).alias(c) for c in ("doc", "page", "top", "bottom")])  # may come from the same lines
-    return lines.groupBy("doc", "page").cogroup(anchors.groupBy("doc", "page")).applyInPandas(deal, "doc string, page int, anchor int, name string")
+    """(doc, page, anchor, name): the lines (doc, page, top, bottom, text) dealt to the anchors (doc, page, top, bottom) of their page.
+
+    Lines and anchors are sorted by page and read in one pass, which holds one page and a batch.
+    """
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("anchor", pa.int32()), ("name", pa.string())])
+
+        def dealt(key: tuple, held: list[tuple], beside: list[tuple]) -> list[tuple]:
+            runs = assign(held, beside) if beside else []
+            return [(*key, j, " ".join(x[2] for x in held[i:k] if x[2] is not None)) for j, (i, k) in enumerate(runs)]
+
+        key, held, beside = None, [], []
+        for batch in batches:
+            out = []
+            for doc, page, anchor, top, bottom, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (doc, page) != key:
+                    out += dealt(key, held, beside)
+                    key, held, beside = (doc, page), [], []
+                if anchor:
+                    beside.append((top, bottom))
+                else:
+                    held.append((top, bottom, text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), names, strict=True)], schema=names)
+        if beside:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*dealt(key, held, beside), strict=True), names, strict=True)], schema=names)
+
+    def rows(of: DataFrame, anchor: bool, text: Column) -> DataFrame:
+        return of.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), F.lit(anchor).alias("anchor"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), text.alias("text"))
+
+    both = rows(lines, False, F.col("text")).union(rows(anchors, True, F.lit(None).cast("string")))
+    ordered = both.repartition("doc", "page").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("doc", "page", "anchor", "top", "bottom", "text")])
+    return ordered.mapInArrow(deal, "doc string, page int, anchor int, name string")

@@ -160,3 +160,32 @@ def test_lines_go_on_over_batches(spark):
         assert "FlatMapGroups" not in found._jdf.queryExecution().toString()  # a call of Python a page takes longer than its words
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_pages_of_any_length_are_dealt(spark):
+    """600 anchors among 1,200 lines, two of each: the plan by columns is that of single lines, and no call a line is left open."""
+    lines = [(i * 12.0, i * 12.0 + 10, "Firm" if i % 2 == 0 else "Private Limited") for i in range(1200)]
+    anchors = [(a, a + 22) for a, _, text in lines if text == "Firm"]
+    runs = [(i, i + 2) for i in range(0, 1200, 2)]
+    assert layout.assign(lines, anchors) == runs
+    rows = [("d", page, *x) for page in range(3) for x in lines[: 40 * page + 2]]
+    df = spark.createDataFrame(rows, "doc string, page int, top double, bottom double, text string")
+    beside = spark.createDataFrame([("d", page, *a) for page in range(3) for a in anchors[: 20 * page + 1]] + [("e", None, 1.0, 2.0)], "doc string, page int, top double, bottom double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        found = layout.anchored_names(df, beside).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    expected = [("d", page, j, "Firm Private Limited") for page in range(3) for j in range(20 * page + 1)] + [("e", None, 0, "")]
+    assert sorted(map(tuple, found)) == expected
+
+
+def test_columns_equal_single_misfits():
+    rng = random.Random(9)
+    for _ in range(30):
+        lines = sorted((rng.random() * 90, rng.random() * 99, rng.choice(["a", "pvt", "b and", "limited"])) for _ in range(rng.randrange(12)))
+        anchors = sorted((rng.random() * 90, rng.random() * 99) for _ in range(rng.randrange(1, 5)))
+        found = layout.misfits(lines, anchors, slice(0, len(anchors)))
+        for i, k, j in itertools.product(range(len(lines) + 1), range(layout.MOST_LINES + 1), range(len(anchors))):
+            assert found[i, k, j] == (layout.misfit(lines, anchors, i, i + k, j) if i + k <= len(lines) else float("inf"))
