@@ -250,3 +250,10 @@ def test_titles_as_written(spark):
     given = {"<title>a  &amp;\t b</title>": ("a & b", "a & b"), "<title>t = &quot;x</title>": ("t = &quot;x", 't = "x'), "<title>and&amp</title><title>2</title>": ("and&amp", "and&"), "<p>x</p>": ("", "")}
     df = spark.createDataFrame([(k,) for k in given], "html string").select("html", html.written_title(F.col("html")).alias("w"), html.read_page("html").alias("p"))
     assert {r.html: (r.w, r.p.title) for r in df.collect()} == given
+
+
+def test_contacts_are_looked_for_once(spark):
+    """The patterns stand once in the plan, however often the rule refers to its words."""
+    df = spark.createDataFrame([("builds pumps ,, ; mail other contact a@b.example",), ("  ",), (None,)], "t string").select(without_contacts(F.col("t")).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(r"(?:[\w-]+\.)+") == 1
+    assert [r.t for r in df.collect()] == ["builds pumps", None, None]
