@@ -2,7 +2,8 @@
 
 A document is parsed once into a VARIANT. Each round looks at one level of all documents: a list whose elements are all
 objects with the wanted keys is found, and isn't looked into; any other object or list gives its members to the next
-level. A level is a table, and there are as many rounds as the deepest document has levels.
+level. A list is judged by its own row, so a round is one narrow stage. A level is a table, and there are as many rounds as
+the deepest document has levels.
 """
 
 from __future__ import annotations
@@ -13,16 +14,26 @@ from pyspark.sql import functions as F
 from lodestone.operators.rounds import stored
 
 
+def is_object(node: Column) -> Column:
+    """Whether a VARIANT is an object, told without a look at its members."""
+    return F.try_variant_get(node, "$", "struct<any:variant>").isNotNull()
+
+
+def elements(node: Column) -> Column:
+    """array<variant> of a list; null for any other VARIANT."""
+    return F.try_variant_get(node, "$", "array<variant>")
+
+
 def has_keys(node: Column, keys: tuple[str, ...]) -> Column:
     """Whether a VARIANT is an object with all the keys; their values may be null."""
-    out = F.lit(True)
+    out = is_object(node)
     for k in keys:
         out = out & F.try_variant_get(node, f"$.{k}", "variant").isNotNull()
-    return F.startswith(F.schema_of_variant(node), F.lit("OBJECT")) & out
+    return out
 
 
 def members(nodes: DataFrame) -> DataFrame:
-    """(doc, path, place, node): the members of nodes (doc, path, node) that are objects or lists; path has their names and numbers."""
+    """(doc, path, place, name, node): the members of nodes (doc, path, node) that are objects or lists; name is theirs or their number."""
     nodes.createOrReplaceTempView("__nodes")
     return nodes.sparkSession.sql("SELECT doc, path, e.pos AS place, coalesce(e.key, CAST(e.pos AS STRING)) AS name, e.value AS node FROM __nodes, LATERAL variant_explode(node) AS e")
 
@@ -33,19 +44,17 @@ def record_lists(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     path names the members that lead to the list, `$.a.0.b`; place counts the list's records from 0. Malformed JSON, null
     and documents without such a list give no rows; an empty list is none.
     """
-    now = docs.select("doc", F.lit("$").alias("path"), F.try_parse_json("json").alias("node")).where("node is not null")
-    # VARIANT can't be a key or a map's part, but it can be a column of a table
+    now = docs.select("doc", F.lit("$").alias("path"), F.try_parse_json("json").alias("node"))
     found = None
     while True:
-        now = stored(now)
-        kind = F.schema_of_variant("node")
-        now = now.where(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+        now = now.where(is_object(F.col("node")) | elements(F.col("node")).isNotNull())
+        held = elements(F.col("node"))
+        full = F.coalesce((F.size(held) > 0) & F.forall(held, lambda x: has_keys(x, keys)), F.lit(False))
+        now = stored(now.withColumn("full", full))
         if now.isEmpty():
             break
-        children = stored(members(now).withColumn("fits", has_keys(F.col("node"), keys)))
-        lists = now.where(F.startswith(kind, F.lit("ARRAY"))).select("doc", "path")
-        full = lists.join(children.groupBy("doc", "path").agg(F.every("fits").alias("all")).where("all").drop("all"), ["doc", "path"]).distinct()
-        here = children.join(full, ["doc", "path"]).select("doc", "path", "place", F.to_json("node").alias("record"))
+        here = now.where("full").select("doc", "path", F.posexplode(elements(F.col("node"))).alias("place", "node"))
+        here = here.select("doc", "path", "place", F.to_json("node").alias("record"))
         found = here if found is None else found.union(here)
-        now = children.join(full, ["doc", "path"], "left_anti").select("doc", F.concat_ws(".", "path", "name").alias("path"), "node")
+        now = members(now.where("not full")).select("doc", F.concat_ws(".", "path", "name").alias("path"), "node")
     return found if found is not None else docs.limit(0).select("doc", F.lit("").alias("path"), F.lit(0).alias("place"), F.lit("").alias("record"))

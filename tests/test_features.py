@@ -257,3 +257,12 @@ def test_contacts_are_looked_for_once(spark):
     df = spark.createDataFrame([("builds pumps ,, ; mail other contact a@b.example",), ("  ",), (None,)], "t string").select(without_contacts(F.col("t")).alias("t"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count(r"(?:[\w-]+\.)+") == 1
     assert [r.t for r in df.collect()] == ["builds pumps", None, None]
+
+
+def test_lists_are_judged_without_a_join(spark):
+    """A list's own row tells whether it is one of records; equal names, null values and empty lists as before."""
+    given = ['{"a":[{"k":null},{"k":2}],"b":[[{"k":1}],[]],"c":[{"k":1},{"x":1}]}', '[{"k":[{"k":3}]}]', "[1,{}]", "{", None, "7"]
+    found = records.record_lists(spark.createDataFrame(list(enumerate(given)), "doc int, json string"), ("k",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, found.collect())) == [(0, "$.a", 0, '{"k":null}'), (0, "$.a", 1, '{"k":2}'), (0, "$.b.0", 0, '{"k":1}'), (1, "$", 0, '{"k":[{"k":3}]}')]
