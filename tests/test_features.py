@@ -266,3 +266,16 @@ def test_lists_are_judged_without_a_join(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert sorted(map(tuple, found.collect())) == [(0, "$.a", 0, '{"k":null}'), (0, "$.a", 1, '{"k":2}'), (0, "$.b.0", 0, '{"k":1}'), (1, "$", 0, '{"k":[{"k":3}]}')]
+
+
+def by_rows(df):
+    """The rows of df, whose plan must hand pages to Python by rows, not in Arrow batches of 10,000 pages."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    return df.collect()
+
+
+def test_pages_are_read_by_rows(spark):
+    df = spark.createDataFrame([("<title>T</title><h1>H</h1><p>P <a href='/x'>x</a></p>",), (None,)], "html string")
+    found = [r.p for r in by_rows(df.select(html.read_page("html").alias("p")))]
+    assert [(p.title, p.headings, p.paragraphs, p.links, p.visible, p.thin) for p in found] == [("T", ["H"], ["P x"], ["/x"], "H P x", True), ("", [], [], [], "", True)]
