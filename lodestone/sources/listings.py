@@ -60,13 +60,9 @@ class Cards(HTMLParser):
 
 def cards(html: Column, tag: str, cls: str | None = None) -> Column:
     """array<struct<title, text, href>> of a page's cards; stray links without words don't count."""
-    @F.pandas_udf(CARD)
-    def read(pages: pd.Series) -> pd.Series:
-        def of(x):
-            found = Cards(x or "", tag, cls).found
-            return [{"title": flat(c["title"]), "text": flat(c["text"]), "href": next((u for u, words in c["links"] if words.strip()), None)} for c in found]
-
-        return pages.map(of)
+    @F.udf(CARD, useArrow=False)
+    def read(page: str | None) -> list[tuple]:
+        return [(flat(c["title"]), flat(c["text"]), next((u for u, words in c["links"] if words.strip()), None)) for c in Cards(page or "", tag, cls).found]
 
     return read(html)
 
@@ -111,9 +107,9 @@ class Tables(HTMLParser):
 
 def table_rows(html: Column) -> Column:
     """array<map<header, cell>> of a page's tables; headers in lower case."""
-    @F.pandas_udf(ROWS)
-    def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda x: Tables(x or "").rows)
+    @F.udf(ROWS, useArrow=False)
+    def read(page: str | None) -> list[dict[str, str]]:
+        return Tables(page or "").rows
 
     return read(html)
 

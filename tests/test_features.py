@@ -279,3 +279,9 @@ def test_pages_are_read_by_rows(spark):
     df = spark.createDataFrame([("<title>T</title><h1>H</h1><p>P <a href='/x'>x</a></p>",), (None,)], "html string")
     found = [r.p for r in by_rows(df.select(html.read_page("html").alias("p")))]
     assert [(p.title, p.headings, p.paragraphs, p.links, p.visible, p.thin) for p in found] == [("T", ["H"], ["P x"], ["/x"], "H P x", True), ("", [], [], [], "", True)]
+
+
+def test_cards_are_read_by_rows(spark):
+    df = spark.createDataFrame([("<article><h2>A</h2>b<a href='/x'>c</a></article><table><tr><th>N<tr><td>1</table>",), (None,)], "html string")
+    assert [[tuple(c) for c in r.c] for r in by_rows(df.select(listings.cards(F.col("html"), "article").alias("c")))] == [[("A", "b c", "/x")], []]
+    assert [r.t for r in by_rows(df.select(listings.table_rows(F.col("html")).alias("t")))] == [[{"n": "1"}], []]
