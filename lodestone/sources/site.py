@@ -1,6 +1,6 @@
 """What a home page says about its site: contact, pages by kind, repository, roles, and whether it is parked (E-11, E-12).
 
-One Arrow pass reads a page's links (resolved against the site's address), its visible text and its short pieces of text;
+One pass reads a page's links (resolved against the site's address), its visible text and its short pieces of text;
 all rules are expressions over these. Links stay in page order, so every preference is stable.
 """
 
@@ -10,7 +10,6 @@ import urllib.parse
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,19 +128,16 @@ def mail_targets(href: str) -> list[str]:
     return [x.strip() for x in urllib.parse.unquote(href[7:]).split("?", 1)[0].split(",")]
 
 
-@F.pandas_udf(SITE)
-def read_site(html: pd.Series, website: pd.Series) -> pd.DataFrame:
-    """The parts of a page that the rules read; an address without // is taken as https."""
-    rows = []
-    for x, w in zip(html, website, strict=True):
-        p, base = Site(x or ""), (w or "").strip()
-        base = base if "//" in base else f"https://{base}"
-        links = [dict(zip(LINK.names, (*r, flat(held)), strict=True)) for href, held in p.links if (r := resolved(href, base))]
-        mails = [m for href, _ in p.links for m in mail_targets(href)]
-        bits = [b for b in (flat(held) for held in p.pieces) if b]
-        meta = next((p.metas[k] for k in ("description", "og:description") if p.metas.get(k)), None)
-        rows.append((links, mails, bits, flat(p.title) or None, flat([meta])[:300] if meta else None, flat([" ".join(p.visible)]), flat([" ".join(p.body)])))
-    return pd.DataFrame(rows, columns=SITE.names)
+@F.udf(SITE, useArrow=False)
+def read_site(html: str | None, website: str | None) -> tuple:
+    """The parts of a page that the rules read; an address without // is taken as https. Row by row, as the readers in `html`."""
+    p, base = Site(html or ""), (website or "").strip()
+    base = base if "//" in base else f"https://{base}"
+    links = [(*r, flat(held)) for href, held in p.links if (r := resolved(href, base))]
+    mails = [m for href, _ in p.links for m in mail_targets(href)]
+    bits = [b for b in (flat(held) for held in p.pieces) if b]
+    meta = next((p.metas[k] for k in ("description", "og:description") if p.metas.get(k)), None)
+    return links, mails, bits, flat(p.title) or None, flat([meta])[:300] if meta else None, flat([" ".join(p.visible)]), flat([" ".join(p.body)])
 
 
 def any_of(text: Column, parts) -> Column:

@@ -285,3 +285,9 @@ def test_cards_are_read_by_rows(spark):
     df = spark.createDataFrame([("<article><h2>A</h2>b<a href='/x'>c</a></article><table><tr><th>N<tr><td>1</table>",), (None,)], "html string")
     assert [[tuple(c) for c in r.c] for r in by_rows(df.select(listings.cards(F.col("html"), "article").alias("c")))] == [[("A", "b c", "/x")], []]
     assert [r.t for r in by_rows(df.select(listings.table_rows(F.col("html")).alias("t")))] == [[{"n": "1"}], []]
+
+
+def test_sites_are_read_by_rows(spark):
+    df = spark.createDataFrame([("<a href='/x#y'>c</a><h2>Engineer</h2>", "a.example"), (None, None)], "html string, website string")
+    found = [r.s for r in by_rows(df.select(site.read_site("html", "website").alias("s")))]
+    assert [([tuple(x) for x in s.links], s.bits, s.title, s.visible) for s in found] == [([("https://a.example/x", "https", "a.example", "/x", "", "y", "c")], ["c", "Engineer"], None, "c Engineer"), ([], [], None, "")]
