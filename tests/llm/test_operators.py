@@ -752,3 +752,12 @@ def test_bitmap_has_its_keys(spark):
     assert in_bitmap(words, np.array(keys)).all()
     others = np.array([rng.getrandbits(64) - (1 << 63) for _ in range(3000)])
     assert in_bitmap(words, others).mean() < 0.2
+
+
+def test_lines_of_any_length_are_compared_exactly():
+    """Lines of one word each that differ over more than EXACT characters: no alignment shows that they are near."""
+    rng = random.Random(2)
+    a = "".join(rng.choices("abcd", k=45_000))
+    b = "".join(c for i, c in enumerate(a) if i % 25 or i == 0)
+    assert min(map(len, line_dedup.core(a, b))) > line_dedup.EXACT
+    assert line_dedup.similar(a, b) and not line_dedup.similar(a, "".join(rng.choices("abcd", k=45_000)))
