@@ -14,16 +14,20 @@ of both. That is 65 rows a fingerprint however large the group is, and as exact.
 `near_copies` is for copies that differ in more: at a shingle similarity of 0.8, fingerprints are some ten bits apart, where
 no segment of a code word survives. So texts meet on their fingerprints' links and on BANDS bands of ROWS least shingle
 hashes as well, and every pair that meets is verified by its whole shingle sets. The texts of a key with more than FEW
-meet the key's least text, and the least text of each pair of this key and another of theirs, instead of each other.
+first meet the key's least text, and the least text of each pair of this key and another of theirs. Most are in one
+component by then. Texts of such a key that are still in different ones are all compared (`rest`): dealt into chunks of
+bounded size, a pair of chunks a task, so that no pair of a key is left out, however many texts it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,8 +45,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 HOT = 32
 #: Bands of least shingle hashes, and hashes a band: of pairs at a similarity of 0.8, one in 300 shares none.
 BANDS, ROWS = 8, 3
-#: Texts of a band that are paired up, at most.
+#: Texts of a band that are paired up at once, at most.
 FEW = 16
+#: Texts, and bytes of their sets, of a chunk of a larger band.
+CHUNK, CHUNK_BYTES = 1000, 4 << 20
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -189,9 +195,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def met(nodes: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): pairs of nodes (node, keys) that share a band; all pairs of up to FEW, else each node with the least one of the
-    band, and with the least one of each two bands that it shares."""
+def met(nodes: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes (node, keys) that share a band, and (key, node) of the bands of more than FEW.
+
+    All pairs of a band of up to FEW; else each node with the least one of the band, and with the least one of each two bands
+    that it shares. `rest` compares what that leaves.
+    """
     each = nodes.select("node", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     held = work.table(each.join(sizes, "key"))
@@ -202,7 +211,62 @@ def met(nodes: DataFrame, work: Workspace) -> DataFrame:
     own = work.table(hot.select("node", "key").join(nodes, "node").select("node", F.explode(F.transform(F.array_remove("keys", F.col("key")), lambda x: F.xxhash64("key", x))).alias("both")))
     least = work.table(own.groupBy("both").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("both", "a"))
     finer = own.join(least, "both").where("node > a").select("a", F.col("node").alias("b"))
-    return pairs.union(stars).union(finer).distinct()
+    return pairs.union(stars).union(finer).distinct(), hot.select("key", "node")
+
+
+def bridges(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Edges (a, b) between the components of near texts in two chunks of a band (or one); connected ones aren't compared."""
+    group = group.sort_values("chunk", ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    size, chunk, upper = np.array([len(x) for x in sets]), group["chunk"].to_numpy(), group["upper"].to_numpy() > group["level"].to_numpy()
+    roots, root = group["root"].tolist(), pd.factorize(group["root"])[0]
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    # shingles of one text alone aren't shared
+    kept = np.bincount(code)[code] > 1
+    code, first = code[kept], np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(size))]
+    asked, out = np.zeros(int(code.max(initial=0)) + 1, bool), []
+    one, begin = chunk[0] == chunk[-1], int(np.searchsorted(chunk, chunk[-1]))
+    for i in range(begin, len(sets)):
+        j = np.arange(i if one else begin)
+        # texts of the upper bucket meet in that one
+        j = j[(root[j] != root[i]) & ~(upper[j] & upper[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+        asked[code[first[i] : first[i + 1]]] = True
+        n = first[j + 1] - first[j]
+        at = np.repeat(first[j] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(np.repeat(np.arange(len(j)), n), asked[code[at]], minlength=len(j))
+        asked[code[first[i] : first[i + 1]]] = False
+        for k in j[both >= similarity * (size[i] + size[j] - both)].tolist():
+            if root[k] != root[i]:
+                out.append((roots[k], roots[i]))
+                root[root == root[k]] = root[i]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def rest(hot: DataFrame, owned: DataFrame, sets: DataFrame, similarity: float, work: Workspace) -> DataFrame:
+    """Edges (a, b) between the roots of nodes that share a band of `hot` (key, node) and are near, though in different components.
+
+    owned: node, size, root; sets: node, shingles. Each node stands in two buckets of its band by the size of its set: those
+    that may be near share one. The nodes of a bucket's largest component are compared with the others only, so a large group
+    of near copies with a few strangers takes time in proportion.
+    """
+    upper = F.floor(F.log(F.col("size") + 1e-6) / -math.log(similarity))
+    placed = hot.join(owned, "node").withColumn("upper", upper).withColumn("level", F.explode(F.array("upper", F.col("upper") - 1)))
+    placed = work.table(placed)
+    counted = placed.groupBy("key", "level", "root").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("upper").alias("upper"))
+    groups = counted.groupBy("key", "level").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.max("size").alias("largest"), F.min("upper").alias("least"), F.count("*").alias("roots"))
+    groups = groups.where("roots > 1 and least = level").withColumn("per", F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(CHUNK_BYTES / 8 / F.col("largest")))))
+    large = F.col("most.n") > F.col("per")
+    groups = groups.select("key", "level", F.when(large, F.col("most.root")).alias("main"), F.when(large, F.ceil(F.col("most.n") / F.col("per"))).otherwise(0).alias("mains"), F.ceil(F.when(large, F.col("all") - F.col("most.n")).otherwise(F.col("all")) / F.col("per")).alias("others"))
+    found = placed.join(work.table(groups), ["key", "level"]).withColumn("own", F.col("root").eqNullSafe(F.col("main")))
+    found = found.withColumn("chunk", F.when(F.col("own"), F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others")))
+    found = work.table(found.join(sets, "node"))
+    span = F.transform(F.sequence(F.when(F.col("own"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1), lambda c: F.struct(F.least(c, "chunk").alias("c1"), F.greatest(c, "chunk").alias("c2")))
+    tasks = found.select("key", "level", "root", "upper", "shingles", "chunk", F.inline(span)).groupBy("key", "level", "c1", "c2")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return bridges(group, similarity)
+
+    return tasks.applyInPandas(run, "a binary, b binary")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -221,19 +285,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
         for batch in slices(batches):
             own = raw(batch)
             nodes = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in own]
-            keys = [bands(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in own]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(nodes, pa.binary()), "fp": pa.array([fingerprint(t, shingle) for t in own], pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            hashes = [shingle_hashes(t, shingle) for t in own]
+            keys = [bands(h).view(np.int64).tolist() for h in hashes]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "node": pa.array(nodes, pa.binary()), "fp": pa.array([fingerprint(t, shingle) for t in own], pa.int64()), "size": pa.array([len(h) for h in hashes], pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-    held = work.table(rows.mapInArrow(read, f"id {kind}, node binary, fp bigint, keys array<bigint>"))
-    # rows of one node have one fingerprint and one list of keys
-    nodes = work.table(held.groupBy("node", "fp", "keys").agg(F.min("id").alias("first")))
+    held = work.table(rows.mapInArrow(read, f"id {kind}, node binary, fp bigint, size int, keys array<bigint>"))
+    # rows of one node have one fingerprint, one size and one list of keys
+    nodes = work.table(held.groupBy("node", "fp", "size", "keys").agg(F.min("id").alias("first")))
     prints = work.table(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
     same = nodes.join(prints.where("n > 1").select("fp", F.col("node").alias("a")), "fp").where("node > a").select("a", F.col("node").alias("b"))
     close = links(prints, work)
     for x in "ab":
         close = close.join(prints.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")), x)
     close = close.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    pairs = work.table(met(nodes.select("node", "keys"), work).union(same).union(close).distinct())
+    pairs, hot = met(nodes.select("node", "keys"), work)
+    pairs = work.table(pairs.union(same).union(close).distinct())
     wanted = work.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     half = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("bigint")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(half.alias("h")), "h", wanted.count()))
@@ -265,15 +331,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
 
     edges = work.table(pairs.select("a", "b", "sa", "sb").mapInArrow(verified, "a binary, b binary"))
     roots = connected_components(edges, work)
-    owned = work.table(nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    owned = work.table(nodes.select("node", "size", "first").join(roots, "node", "left").select("node", "size", "first", F.coalesce("root", "node").alias("root")))
+    more = work.table(rest(hot, owned.select("node", "size", "root"), found, similarity, work))
+    joined = connected_components(more, work).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    owned = work.table(owned.join(joined, "root", "left").select("node", "first", F.coalesce("top", "root").alias("root")))
     groups = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     return held.select("id", "node").join(owned.select("node", "root").join(groups, "root").select("node", "component_id"), "node").select("id", "component_id")
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay: one of each component of `near_copies`, the one with the smallest id.
+def first_of_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", grouping: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs that stay: one of each component that `grouping` finds, the one with the smallest id.
 
-    Rows with a null id, and further rows of a kept id, can't be told apart by id: they stay.
+    grouping: `near_duplicates` or `near_copies`. Rows with a null id, and further rows of a kept id, can't be told apart by
+    id: they stay.
     """
-    gone = near_copies(docs, id_col, text, shingle, similarity).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    gone = grouping(docs, id_col, text).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -112,6 +112,33 @@ def test_near_copies_are_found(spark, few, monkeypatch):
     assert all(found[i] == i for i in range(331, 391))
 
 
+@pytest.mark.parametrize("chunk", [1000, 25])
+def test_pairs_of_large_bands_are_all_found(spark, chunk, monkeypatch):
+    """Pairs whose texts share large bands only, with a least text that is near neither, beside a large group of near copies."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(17)
+
+    def copy(text, n):
+        text = list(text)
+        for i in rng.sample(range(len(text)), n):
+            text[i] = f"new{rng.randrange(10000)}"
+        return text
+
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [copy(base, 2) for _ in range(80)]
+    for _ in range(150):
+        own = copy(base, 14)
+        texts += [own, copy(own, 4)]
+    rng.shuffle(texts)
+    keys = [set(simhash.bands(simhash.shingle_hashes(" ".join(t).encode(), 5)).tolist()) for t in texts]
+    own = [{tuple(t[i : i + 5]) for i in range(296)} for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.id: r.component_id for r in simhash.near_copies(docs).collect()}
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b]))]
+    assert len(near) > 3000 and all(found[a] == found[b] for a, b in near if keys[a] & keys[b])
+    assert all(found[i] == i or any(i in pair for pair in near) for i in found) and len(set(found.values())) > 100
+
+
 def test_decontamination_stage(spark, stages):
     items = [lower_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     grams = {tuple(x[k : k + min(10, len(x))]) for x in items for k in range(len(x) - min(10, len(x)) + 1) if x}
