@@ -9,7 +9,9 @@ import textwrap
 import time
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -761,3 +763,42 @@ def test_lines_of_any_length_are_compared_exactly():
     b = "".join(c for i, c in enumerate(a) if i % 25 or i == 0)
     assert min(map(len, line_dedup.core(a, b))) > line_dedup.EXACT
     assert line_dedup.similar(a, b) and not line_dedup.similar(a, "".join(rng.choices("abcd", k=45_000)))
+
+
+def test_bounds_of_letters_never_part_similar_lines(monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(line_dedup, "LONG", 60)  # some pairs on either side of it
+    a, b = [], []
+    for size in (1, 2, 3, 20, 55, 80, 300) * 12:
+        x = rng.choices("ab \u00e9\u4e2d\U0001f600", k=size)
+        y = list(x)
+        for _ in range(rng.choice([0, size // 20, size // 10, size // 8, size])):
+            i = rng.randrange(len(y) or 1)
+            y[i : i + rng.randrange(2)] = rng.choices("abc", k=rng.randrange(2))
+        a, b = [*a, "".join(x)], [*b, "".join(y)]
+    most = np.array([int((1 - line_dedup.SIMILARITY) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)])
+    near = np.array([distance(x, y) <= m for x, y, m in zip(a, b, most, strict=True)])
+    assert 10 < near.sum() < len(a) - 10
+    assert not (line_dedup.apart(a, b, most) & near).any()
+    assert (line_dedup.similar_pairs(a, b) == near).all()
+    assert [len(line_dedup.similar_pairs([], [])), list(line_dedup.bounded([("x" * line_dedup.BLOCK, ""), ("a", "b")]))] == [0, [(0, 1), (1, 2)]]
+
+
+def test_candidates_of_blocks_over_several_batches():
+    rng = np.random.default_rng(4)
+    n = 300
+    block = np.sort(rng.integers(0, 40, n))
+    rows = {"block": block, "node": rng.permutation(n), "sim": rng.integers(0, 8, n), "size": rng.integers(80, 130, n).astype(np.int32)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, mask=rng.random(n) < 0.2 if k == "sim" else None) for k, v in rows.items()})
+    sims = batch.column("sim").to_pylist()
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            z = sorted([int(rows["size"][i]), int(rows["size"][j])])
+            bits = 0 if sims[i] is None or sims[j] is None else (sims[i] ^ sims[j]).bit_count()
+            if block[i] == block[j] and (bits <= line_dedup.DIFFER or z[0] < line_dedup.SHORT) and z[1] - z[0] <= (1 - line_dedup.SIMILARITY) * z[1] + 1e-9:
+                want.add(tuple(sorted([int(rows["node"][i]), int(rows["node"][j])])))
+    for size in (1, 7, 64, n):
+        found = [r for x in line_dedup.candidates(iter([batch.slice(i, size) for i in range(0, n, size)])) for r in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+        assert set(found) == want and len(found) == len(want), size
+    assert [x.num_rows for x in line_dedup.candidates(iter([batch.slice(0, 0)]))] == [0, 0]
