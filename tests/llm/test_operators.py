@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -802,3 +803,41 @@ def test_candidates_of_blocks_over_several_batches():
         found = [r for x in line_dedup.candidates(iter([batch.slice(i, size) for i in range(0, n, size)])) for r in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
         assert set(found) == want and len(found) == len(want), size
     assert [x.num_rows for x in line_dedup.candidates(iter([batch.slice(0, 0)]))] == [0, 0]
+
+
+def test_tables_of_bits_equal_distances():
+    """Near ends of the band, bands of one to four words, alphabets beyond LETTERS, letters beyond 16 bits, empty sides."""
+    rng = random.Random(8)
+    for alphabet, size, many in (("ab", 40, 30), ("abcdefgh ", 700, 20), ("abc ", 1800, 6), ([chr(0x4E00 + i) for i in range(400)], 150, 20), ("x\U0001f600￿", 60, 20)):
+        a, b = [""], ["".join(alphabet[:2])]
+        for _ in range(many):
+            text = rng.choices(alphabet, k=rng.randrange(1, size))
+            other, at = [c if rng.random() > 0.06 else rng.choice(alphabet) for c in text], rng.randrange(len(text))
+            cut = other[at : at + size // 30]
+            other[at : at + size // 30] = []
+            other += cut * rng.randrange(2)
+            a, b = [*a, "".join(text)], [*b, "".join(other)]
+        gap = np.array([abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)])
+        for most in (gap, gap + 1, gap + size // 15, gap + size // 8):
+            want = [line_dedup.edit_distance(x, y, int(m)) <= m for x, y, m in zip(a, b, most, strict=True)]
+            assert line_dedup.within(a, b, most).tolist() == line_dedup.within(b, a, most).tolist() == want
+            assert not (line_dedup.strange(a, b, most) & want).any()
+
+
+@pytest.mark.parametrize("together", [7, 1 << 18])
+def test_unlike_lines_of_a_large_block_are_hardly_compared(monkeypatch, together):
+    """300 lines of common words and copies of some, in two chunks: their near pairs are joined, and no others reach a table."""
+    rng = random.Random(5)
+    common = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 8))) for _ in range(400)]
+    lines = [" ".join(rng.choices(common, k=80))[:400] for _ in range(300)]
+    lines += [x[: 10 * i] + "zz" + x[10 * i :] for i, x in enumerate(lines[:20])]
+    rows = {"node": range(len(lines)), "normal": lines, "sim": 0, "size": [len(x) for x in lines], "block": 7, "chunk": [i // 7 % 2 for i in range(len(lines))]}
+    group = pd.DataFrame(rows | {k: 7 if k == "k0" else 0 for k in line_dedup.KEYS})
+    compared = []
+    similar_pairs = line_dedup.similar_pairs
+    monkeypatch.setattr(line_dedup, "similar_pairs", lambda a, b, judged: compared.append(len(a)) or similar_pairs(a, b, judged=judged))
+    monkeypatch.setattr(line_dedup, "PAIRS", together)
+    want = {(i, 300 + i) for i in range(20)}
+    found = [line_dedup.forest(group[(group["chunk"] == c1) | (group["chunk"] == c2)].assign(c1=c1, c2=c2)) for c1, c2 in ((0, 0), (0, 1), (1, 1))]
+    assert {tuple(sorted(x)) for f in found for x in f.itertuples(index=False)} == want and sum(map(len, found)) == len(want)
+    assert len(want) <= sum(compared) < 40
