@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,55 +21,95 @@ CONTINUES = re.compile(r"^(?:private|limited|pvt\.?|ltd\.?|llp|\(opc\))(?:\s|$)"
 UNFINISHED = re.compile(r"(?:\b(?:private|pvt\.?|and|of|&)|-)$", re.IGNORECASE)
 
 
+def changes(batch: pa.RecordBatch, key: tuple | None) -> np.ndarray:
+    """Whether each row's (doc, page) is another one than the row's before, the first row's another than `key`."""
+    new = np.zeros(batch.num_rows, bool)
+    for name in ("doc", "page"):
+        column = batch.column(name)
+        now, before = column.slice(1), column.slice(0, max(0, len(column) - 1))
+        other = pc.fill_null(pc.not_equal(now, before), False).to_numpy(zero_copy_only=False)
+        new[1:] |= other | (now.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+    if len(new):
+        new[0] = key != (batch.column("doc")[0].as_py(), batch.column("page")[0].as_py())
+    return new
+
+
+def line_starts(top: np.ndarray, new: np.ndarray, first: float) -> np.ndarray:
+    """The rows at which a line begins; heights grow within a page. first: of the line that is open before the first row."""
+    with np.errstate(invalid="ignore"):
+        begins = new | (np.diff(top, prepend=first) > SAME_LINE)
+        # only stretches without a gap that are higher than a line are walked through
+        at = np.nonzero(begins)[0]
+        at = at if len(at) and at[0] == 0 else np.append(0, at)
+        firsts = top[at].copy()
+        if not begins[0]:
+            firsts[0] = first
+        high = np.nonzero(np.fmax.reduceat(top, at) - firsts > SAME_LINE)[0]
+    ends = np.append(at[1:], len(top))
+    for k in high.tolist():
+        first = float(firsts[k])
+        for i, x in enumerate(top[at[k] : ends[k]].tolist(), int(at[k])):
+            if abs(x - first) > SAME_LINE:
+                begins[i], first = True, x
+    return np.nonzero(begins)[0]
+
+
+def read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines (doc, page, line, top, bottom, text) of words that are sorted by page and height."""
+    key, number, first, held = None, -1, np.nan, []
+
+    def closed(batch: pa.RecordBatch, starts: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        """The lines that begin at the rows `starts`, each with its words by x0."""
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+        x0, top, bottom = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "top", "bottom"))
+        order = np.lexsort((x0, of))
+        words = batch.column("text").take(pa.array(order))
+        there = words.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.bincount(of[there], minlength=len(starts))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), words.drop_null()), " ")
+        docs, pages = (batch.column(c).take(pa.array(starts)) for c in ("doc", "page"))
+        columns = [docs, pages, pa.array(numbers, pa.int32()), pa.array(np.fmin.reduceat(top, starts)), pa.array(np.fmax.reduceat(bottom, starts)), texts]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "page", "line", "top", "bottom", "text"])
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new, top = changes(batch, key), batch.column("top").to_numpy(zero_copy_only=False)
+        starts = line_starts(top, new, first)
+        key = (batch.column("doc")[-1].as_py(), batch.column("page")[-1].as_py())
+        if not len(starts):
+            held.append(batch)
+            continue
+        # lines are counted from the last start that is a page's
+        places = np.arange(len(starts))
+        of_page = np.maximum.accumulate(np.where(new[starts], places, -1))
+        numbers = np.where(of_page < 0, number + 1 + places, places - of_page)
+        if held:  # the line left open ends before the first start
+            whole = joined([*held, batch.slice(0, starts[0])] if starts[0] else held)
+            yield closed(whole, np.zeros(1, np.int64), np.array([number]))
+        if len(starts) > 1:
+            yield closed(batch.slice(starts[0], starts[-1] - starts[0]), starts[:-1] - starts[0], numbers[:-1])
+        held, number, first = [batch.slice(starts[-1])], int(numbers[-1]), float(top[starts[-1]])
+    if held:
+        yield closed(joined(held), np.zeros(1, np.int64), np.array([number]))
+
+
+def words_by_page(words: DataFrame) -> DataFrame:
+    """The words of each page in one task, by height."""
+    kept = words.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("top", "x0", "bottom")], "text")
+    return kept.repartition("doc", "page").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("doc", "page", "top", "x0", "bottom", "text")])
+
+
 def page_lines(words: DataFrame) -> DataFrame:
     """(doc, page, line, top, bottom, text) of positioned words (doc, page, text, x0, x1, top, bottom).
 
     A line begins where a word's top is further from the line's first word than SAME_LINE. The words are sorted by page and
     height and read in one pass, which holds a batch and the words of the line that is open.
     """
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number, first, held = None, -1, None, []
-
-        def closed(batch: pa.RecordBatch, starts: list[int], keys: list[tuple]) -> pa.RecordBatch:
-            """The lines that begin at the rows `starts`, each with its words by x0."""
-            starts = np.array(starts)
-            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
-            x0, top, bottom = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "top", "bottom"))
-            words = batch.column("text").take(pa.array(np.lexsort((x0, of)))).to_pylist()
-            ends = [*starts[1:].tolist(), batch.num_rows]
-            texts = [" ".join(w for w in words[i:j] if w is not None) for i, j in zip(starts.tolist(), ends, strict=True)]
-            docs, pages, numbers = zip(*keys, strict=True)
-            columns = [pa.array(docs, pa.string()), pa.array(pages, pa.int32()), pa.array(numbers, pa.int32()), pa.array(np.fmin.reduceat(top, starts)), pa.array(np.fmax.reduceat(bottom, starts)), pa.array(texts, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, ["doc", "page", "line", "top", "bottom", "text"])
-
-        for batch in batches:
-            starts, keys = [], []
-            of_rows = zip(batch.column("doc").to_pylist(), batch.column("page").to_pylist(), batch.column("top").to_numpy(zero_copy_only=False).tolist(), strict=True)
-            for i, (doc, page, top) in enumerate(of_rows):
-                if first is None or (doc, page) != key:
-                    key, number = (doc, page), 0
-                elif abs(top - first) > SAME_LINE:
-                    number += 1
-                else:
-                    continue
-                first = top
-                starts.append(i)
-                keys.append((doc, page, number))
-            if not starts:
-                held.append((batch, None))
-                continue
-            if held:  # the line left open ends before the first start
-                whole = pa.Table.from_batches([b for b, _ in held] + [batch.slice(0, starts[0])]).combine_chunks().to_batches()[0]
-                yield closed(whole, [0], [held[0][1]])
-            if len(starts) > 1:
-                yield closed(batch.slice(starts[0], starts[-1] - starts[0]), [i - starts[0] for i in starts[:-1]], keys[:-1])
-            held = [(batch.slice(starts[-1]), keys[-1])]
-        if held:
-            yield closed(pa.Table.from_batches([b for b, _ in held]).combine_chunks().to_batches()[0], [0], [held[0][1]])
-
-    kept = words.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("top", "x0", "bottom")], "text")
-    ordered = kept.repartition("doc", "page").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("doc", "page", "top", "x0", "bottom", "text")])
-    return ordered.mapInArrow(lines, "doc string, page int, line int, top double, bottom double, text string")
+    return words_by_page(words).mapInArrow(read_lines, "doc string, page int, line int, top double, bottom double, text string")
 
 
 def margin_names(chars: DataFrame, margin: float = 120.0, pitch: float = 6.0, gap: float = 1.5) -> DataFrame:
@@ -156,37 +197,138 @@ def assign(lines: list[tuple], anchors: list[tuple]) -> list[tuple[int, int]]:
     return runs
 
 
+def assign_pages(pages: list[tuple]) -> list[list[tuple[int, int]]]:
+    """`assign` for pages (doc, page, lines, anchors) that have as many lines each and as many anchors each, worked out together."""
+    n, m, count = len(pages[0][2]), len(pages[0][3]), len(pages)
+    if count == 1 or not n:
+        return [assign(lines, anchors) for _, _, lines, anchors in pages]
+    top, bottom = (np.array([[x[c] for x in lines] for _, _, lines, _ in pages], float) for c in (0, 1))
+    head, foot = (np.array([[x[c] for x in anchors] for _, _, _, anchors in pages], float) for c in (0, 1))
+    middle, near = (top + bottom) / 2, ((head + foot) / 2)[:, None]
+    further = np.zeros((count, n, m))
+    if m > 1:
+        away = np.abs(middle[:, :, None] - near)
+        best, least = away.argmin(2), np.partition(away, 1, axis=2)
+        other = np.where(np.arange(m) == best[:, :, None], least[:, :, 1:2], least[:, :, :1])
+        further = np.fmax(0.0, away - other)
+    begins = np.array([[bool(CONTINUES.match(x[2] or "")) for x in lines] for _, _, lines, _ in pages], int)
+    # what makes a line unfinished is in its last ten letters
+    ends = np.array([[bool(UNFINISHED.search((x[2] or "")[-10:])) for x in lines] for _, _, lines, _ in pages], int)
+    costs = np.full((count, n + 1, MOST_LINES + 1, m), np.inf)
+    costs[:, :, 0] = EMPTY
+    for k in range(1, min(n, MOST_LINES) + 1):
+        w = n - k + 1
+        cost = np.minimum(np.abs(((top[:, :w] + bottom[:, k - 1 :]) / 2)[:, :, None] - near), np.abs(top[:, :w, None] - head[:, None]))
+        for i in range(k):
+            cost = cost + further[:, i : i + w]
+        costs[:, :w, k] = cost + (BROKEN * (begins[:, :w] + ends[:, k - 1 :]))[:, :, None]
+    costs = np.ascontiguousarray(costs.transpose(3, 1, 2, 0))  # [anchor, line, lines taken, page]
+    best = np.repeat(np.append(SKIPPED * (n - np.arange(n + 1)), np.full(MOST_LINES, np.inf))[:, None], count, axis=1)
+    ahead, taken = np.arange(n + 1)[:, None] + np.arange(MOST_LINES + 1), np.zeros((m, n + 1, count), np.int8)
+    for j in range(m - 1, -1, -1):
+        total = costs[j] + best[ahead]
+        take, least = total.argmin(1), total.min(1)
+        for i in range(n - 1, -1, -1):
+            skip = SKIPPED + least[i + 1]
+            less = skip < least[i]
+            if less.any():
+                least[i][less], take[i][less] = skip[less], -1
+        taken[j], best[: n + 1] = take, least
+    runs, at, page = np.zeros((m, 2, count), int), np.zeros(count, int), np.arange(count)
+    for j in range(m):
+        while (skip := taken[j, at, page] < 0).any():
+            at = at + skip
+        runs[j, 0], runs[j, 1] = at, at + taken[j, at, page]
+        at = runs[j, 1]
+    return [list(map(tuple, x)) for x in runs.transpose(2, 0, 1).tolist()]
+
+
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, page, anchor, name) of rows (doc, page, anchor, top, bottom, text) sorted by page: its lines, then its anchors.
+
+    Pages of as many lines and anchors are worked out together; all that are held have at most BLOCK costs, or are one page.
+    """
+    names = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("anchor", pa.int32()), ("name", pa.string())])
+    held: dict[tuple[int, int], list[tuple]] = {}
+    open_page, size = None, 0
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        out = []
+        for pages in held.values():
+            for (doc, page, lines, _), runs in zip(pages, assign_pages(pages), strict=True):
+                out += [(doc, page, j, " ".join([x[2] for x in lines[i:k] if x[2] is not None])) for j, (i, k) in enumerate(runs)]
+        held.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), names, strict=True)], schema=names)
+
+    def closed() -> int:
+        _, _, lines, anchors = open_page
+        if not anchors:
+            return 0
+        held.setdefault((len(lines), len(anchors)), []).append(open_page)
+        return (len(lines) + 1) * (MOST_LINES + 1) * len(anchors)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.nonzero(changes(batch, open_page and open_page[:2]))[0].tolist()
+        docs, pages = (batch.column(c).take(pa.array(starts, pa.int64())).to_pylist() for c in ("doc", "page"))
+        top, bottom, text, anchor = (batch.column(c).to_pylist() for c in ("top", "bottom", "text", "anchor"))
+        rows = list(zip(top, bottom, text, strict=True))
+        for i, k, doc, page in zip([0, *starts], [*starts, batch.num_rows], [None, *docs], [None, *pages], strict=True):
+            # the rows before the first start go on with the page that is open
+            if i or starts[:1] == [0] and k:
+                if open_page:
+                    size += closed()
+                    if size > BLOCK:
+                        yield from dealt()
+                        size = 0
+                open_page = (doc, page, [], [])
+            if k > i:
+                flags = anchor[i:k]
+                n = flags.index(True) if True in flags else k - i
+                if all(flags[n:]):
+                    open_page[2].extend(rows[i : i + n])
+                    open_page[3].extend([x[:2] for x in rows[i + n : k]])
+                else:
+                    open_page[2].extend([x for x, f in zip(rows[i:k], flags, strict=True) if not f])
+                    open_page[3].extend([x[:2] for x, f in zip(rows[i:k], flags, strict=True) if f])
+    if open_page:
+        closed()
+    yield from dealt()
+
+
+DEALT = "doc string, page int, anchor int, name string"
+
+
 def anchored_names(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc, page, anchor, name): the lines (doc, page, top, bottom, text) dealt to the anchors (doc, page, top, bottom) of their page.
 
-    Lines and anchors are sorted by page and read in one pass, which holds one page and a batch.
+    Lines and anchors are sorted by page and read in one pass, which holds some pages and a batch.
     """
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.schema([("doc", pa.string()), ("page", pa.int32()), ("anchor", pa.int32()), ("name", pa.string())])
-
-        def dealt(key: tuple, held: list[tuple], beside: list[tuple]) -> list[tuple]:
-            runs = assign(held, beside) if beside else []
-            return [(*key, j, " ".join(x[2] for x in held[i:k] if x[2] is not None)) for j, (i, k) in enumerate(runs)]
-
-        key, held, beside = None, [], []
-        for batch in batches:
-            out = []
-            for doc, page, anchor, top, bottom, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (doc, page) != key:
-                    out += dealt(key, held, beside)
-                    key, held, beside = (doc, page), [], []
-                if anchor:
-                    beside.append((top, bottom))
-                else:
-                    held.append((top, bottom, text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), names, strict=True)], schema=names)
-        if beside:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*dealt(key, held, beside), strict=True), names, strict=True)], schema=names)
 
     def rows(of: DataFrame, anchor: bool, text: Column) -> DataFrame:
         return of.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("int").alias("page"), F.lit(anchor).alias("anchor"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), text.alias("text"))
 
     both = rows(lines, False, F.col("text")).union(rows(anchors, True, F.lit(None).cast("string")))
     ordered = both.repartition("doc", "page").sortWithinPartitions(*[F.asc_nulls_last(c) for c in ("doc", "page", "anchor", "top", "bottom", "text")])
-    return ordered.mapInArrow(deal, "doc string, page int, anchor int, name string")
+    return ordered.mapInArrow(deal, DEALT)
+
+
+def names_of_words(words: DataFrame, anchors: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """`anchored_names` of `page_lines` where the anchors are some of the lines: those of a batch of lines that `anchors` tells.
+
+    Words are sorted by page once, and their lines are dealt as they are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flagged() -> Iterator[pa.RecordBatch]:
+            for lines in read_lines(batches):
+                some = np.asarray(anchors(lines), bool)
+                rows = np.repeat(np.arange(lines.num_rows), 1 + some)
+                flags = np.diff(rows, prepend=-1) == 0
+                yield lines.select(["doc", "page", "top", "bottom", "text"]).take(pa.array(rows)).append_column("anchor", pa.array(flags))
+
+        return deal(flagged())
+
+    return words_by_page(words).mapInArrow(run, DEALT)

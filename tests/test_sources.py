@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import reports
@@ -189,3 +190,53 @@ def test_columns_equal_single_misfits():
         found = layout.misfits(lines, anchors, slice(0, len(anchors)))
         for i, k, j in itertools.product(range(len(lines) + 1), range(layout.MOST_LINES + 1), range(len(anchors))):
             assert found[i, k, j] == (layout.misfit(lines, anchors, i, i + k, j) if i + k <= len(lines) else float("inf"))
+
+
+def test_pages_of_one_shape_equal_single_pages():
+    """Costs with ties, lines that go on, and pages without lines or with a single anchor, dealt together as one by one."""
+    rng = random.Random(4)
+    for n, m in ((0, 2), (1, 1), (3, 1), (7, 3), (12, 6), (5, 8)):
+        pages = []
+        for i in range(9):
+            lines = sorted((rng.randrange(40) * 2.5, rng.randrange(90) * 1.5, rng.choice([None, "a", "pvt x", "b and", "x" * 30 + " private\n", "limited"])) for _ in range(n)) if i % 2 else [(12.0 * k, 12.0 * k + 10, "a") for k in range(n)]
+            anchors = sorted((rng.randrange(90) * 0.7, rng.randrange(90) * 1.1) for _ in range(m)) if i % 3 else [(24.0 * k, 24.0 * k + 10) for k in range(m)]
+            pages.append(("d", i, lines, anchors))
+        assert layout.assign_pages(pages) == [layout.assign(lines, anchors) for _, _, lines, anchors in pages]
+
+
+def test_dense_lines_begin_like_single_words():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        new = rng.random(n) < 0.1
+        top = rng.choice([0.5, 0.7, 2.0, 3.0], n).cumsum()
+        top = np.concatenate([np.sort(x) for x in np.split(np.where(rng.random(n) < 0.1, np.nan, top), np.nonzero(new)[0])])
+        # heights that are missing come last in a page
+        new[0] |= rng.random() < 0.5
+        first, want = (np.nan if new[0] else float(np.nanmin([*top, 9.0])) - 1.0), []
+        open_at = first
+        for i, x in enumerate(top.tolist()):
+            if new[i] or abs(x - open_at) > layout.SAME_LINE:
+                want.append(i)
+                open_at = x
+        assert layout.line_starts(top, new, first).tolist() == want
+
+
+def test_lines_are_dealt_as_they_are_read(spark):
+    """The lines that are anchors and the others go through one shuffle, with the names that two tables of lines give."""
+    rng = random.Random(6)
+    words = [(f"d{i % 7}" if i % 7 else None, i % 3, rng.choice(["a", "private", "and", None]), float(rng.randrange(9)), 0.0, rng.randrange(60) * 0.75, float(rng.randrange(90))) for i in range(900)]
+    df = spark.createDataFrame(words, "doc string, page int, text string, x0 double, x1 double, top double, bottom double")
+    lines = layout.page_lines(df)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = sorted(map(repr, layout.anchored_names(lines, lines.where("line % 2 = 0")).collect()))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        found = layout.names_of_words(df, lambda b: b.column("line").to_numpy() % 2 == 0)
+        assert sorted(map(repr, found.collect())) == expected and len(expected) > 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    from lodestone.plans import catalog
+
+    plan = catalog.queries()["page_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Generate") == 1, plan
