@@ -826,10 +826,10 @@ def test_tables_of_bits_equal_distances():
 
 @pytest.mark.parametrize("together", [7, 1 << 18])
 def test_unlike_lines_of_a_large_block_are_hardly_compared(monkeypatch, together):
-    """300 lines of common words and copies of some, in two chunks: their near pairs are joined, and no others reach a table."""
+    """300 lines of common words and copies of some, in two chunks: their near pairs are joined, and few others reach a table."""
     rng = random.Random(5)
-    common = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 8))) for _ in range(400)]
-    lines = [" ".join(rng.choices(common, k=80))[:400] for _ in range(300)]
+    common = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 8))) for _ in range(220)]
+    lines = [" ".join(rng.choices(common, k=150))[:800] for _ in range(300)]
     lines += [x[: 10 * i] + "zz" + x[10 * i :] for i, x in enumerate(lines[:20])]
     rows = {"node": range(len(lines)), "normal": lines, "sim": 0, "size": [len(x) for x in lines], "block": 7, "chunk": [i // 7 % 2 for i in range(len(lines))]}
     group = pd.DataFrame(rows | {k: 7 if k == "k0" else 0 for k in line_dedup.KEYS})
@@ -840,4 +840,4 @@ def test_unlike_lines_of_a_large_block_are_hardly_compared(monkeypatch, together
     want = {(i, 300 + i) for i in range(20)}
     found = [line_dedup.forest(group[(group["chunk"] == c1) | (group["chunk"] == c2)].assign(c1=c1, c2=c2)) for c1, c2 in ((0, 0), (0, 1), (1, 1))]
     assert {tuple(sorted(x)) for f in found for x in f.itertuples(index=False)} == want and sum(map(len, found)) == len(want)
-    assert len(want) <= sum(compared) < 40
+    assert len(want) <= sum(compared) < 1000  # letters and pairs of letters alone leave some 4000
